@@ -22,6 +22,13 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hands texts to Python in batches of a few megabytes, as one row may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

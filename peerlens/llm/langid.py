@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, runs
+from .common import documents, held_out, runs, small_batches
 from .letters import ngram_codes
 
 BITS = 7
@@ -133,7 +133,7 @@ def predictor(spark: SparkSession, prototypes: dict[str, np.ndarray]):
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``, learnt from its rows that are not held out."""
-    predict = predictor(docs.sparkSession, learn(docs.where(~held_out())))
+    predict = predictor(small_batches(docs.sparkSession), learn(docs.where(~held_out())))
     out = docs.select("doc_id", held_out().alias("held_out"), predict(F.col("text")).alias("found"))
     return out.select("doc_id", "held_out", "found.lang_pred", "found.score")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, shuffle_parts
+from .common import documents, materialise, shuffle_parts, small_batches
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -55,6 +55,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, row, np.array(own, "<i4").tobytes()))
             yield pd.DataFrame(out, columns=["h1", "h2", "doc_id", "row", "places"])
 
+    small_batches(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", row_key().alias("row"), "text")
     return keyed.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(split, "h1 long, h2 long, doc_id long, row long, places binary")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, runs
+from .common import documents, materialise, runs, small_batches
 from .components import components
 
 WORDS = 5
@@ -159,7 +159,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         dense[owner[p:q], column[p:q] - x] = 1
         common += dense[: len(a)] @ dense[len(a) :].T
     common = np.rint(common).astype(np.int64)
-    return np.nonzero(100 * common >= PERCENT * (size[: len(a), None] + size[None, len(a) :] - common))
+    return np.nonzero((common > 0) & (100 * common >= PERCENT * (size[: len(a), None] + size[None, len(a) :] - common)))
 
 
 def told(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -204,6 +204,7 @@ def meet(members: DataFrame, weight: Column, bound: int, payload: str, sets: boo
 
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     sketch = F.pandas_udf(_sketch, "n long, d1 long, d2 long, sig binary")
     packed_set = F.pandas_udf(_packed_set, "binary")
     key = F.col("doc_id").cast("long")
@@ -220,7 +221,7 @@ def link(docs: DataFrame) -> DataFrame:
     members = classes.select("node", "n", "sig").join(families, "node")
     families = components(meet(members, F.lit(1), BLOCK_MEMBERS, "sig", False)).withColumnRenamed("component", "family")
     texts = docs.select(key.alias("node"), "text").join(families, "node")
-    full = materialise(texts.select("family", "node", packed_set("text").alias("set")).where(F.length("set") > 0), "sets")
+    full = materialise(texts.select("family", "node", packed_set("text").alias("set")), "sets")
     links = components(meet(full, F.length("set"), BLOCK_BYTES, "set", True))
 
     found = classes.select("n", "d1", "d2", "node").join(links, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("_component"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, neardup, tokens, toxicity
+from . import langid, linededup, mixing, neardup, packing, tokens, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, runs
+from .common import documents, materialise, runs, small_batches
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
@@ -79,6 +79,8 @@ class WordEncoder:
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with n_tokens added: the ids of the whole text, 0 for a null or empty one."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = WordEncoder(vocabulary)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, runs
+from .common import documents, held_out, runs, small_batches
 from .letters import ngram_codes
 
 BITS = 6
@@ -136,7 +136,7 @@ def calibrate(bins: pd.DataFrame) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame):
     """The function from a text column to a score column, learnt from labelled rows that are not held out."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
