@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, runs, small_batches
-from .tokens import WordEncoder
+from .tokens import encoder_for
 
 LENGTH = 2048
 SHARD = 4096
@@ -47,12 +47,12 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None)
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(vocabulary), 0
+        encoder, seen = encoder_for(vocabulary), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, size, crc = [], [], [], [], []
-            for a, b in runs(texts):
+            for a, b in runs(texts, 1 << 22):
                 ids, n = encoder.encode(texts[a:b])
                 stop = 0
                 for i, m in enumerate(n.tolist(), a):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ class WordEncoder:
     Each distinct word is encoded once and remembered; ``remember`` bounds how many words are.
     """
 
-    def __init__(self, vocabulary: str | None = None, remember: int = 300_000) -> None:
+    def __init__(self, vocabulary: str | None = None, remember: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,7 +57,10 @@ class WordEncoder:
         """For each word its slot, and how many words each text has."""
         if len(self.known) > self.remember:
             self.clear()
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        whole = pa.array(texts, pa.large_string())
+        if not pc.any(pc.match_substring(whole, "<|")).as_py():  # else the case may tell a special token from its letters
+            whole = pc.ascii_lower(whole)
+        split = pc.ascii_split_whitespace(whole)
         kinds = split.flatten().dictionary_encode()
         words = kinds.dictionary.to_pylist()
         self._learn([w for w in words if w not in self.known])
@@ -76,6 +80,12 @@ class WordEncoder:
         return self.ids[place], np.bincount(np.repeat(np.arange(len(texts)), n), size, len(texts)).astype(np.int64)
 
 
+@cache
+def encoder_for(vocabulary: str | None) -> WordEncoder:
+    """One encoder in each Python worker, which keeps its words from task to task."""
+    return WordEncoder(vocabulary)
+
+
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with n_tokens added: the ids of the whole text, 0 for a null or empty one."""
 
@@ -83,10 +93,10 @@ def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         for s in texts:
             own, out = s.fillna("").tolist(), np.zeros(len(s), np.int64)
-            for a, b in runs(own):
+            for a, b in runs(own, 1 << 22):
                 out[a:b] = encoder.lengths(own[a:b])
             yield pd.Series(out)
 
