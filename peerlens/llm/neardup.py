@@ -202,6 +202,23 @@ def meet(members: DataFrame, weight: Column, bound: int, payload: str, sets: boo
     return pairs.mapInPandas(compare, "a long, b long")
 
 
+#: Bits of the filter that marks documents whose text is fetched; it takes 1 MB at most, whatever the corpus.
+MARK_BITS = 1 << 23
+
+
+def marked(docs: DataFrame, node: Column, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``node`` may be one of ``nodes``; which of them are is for a join to tell.
+
+    A bitmap of hashed nodes, of at most MARK_BITS bits, is broadcast, so that most texts that nobody asks for aren't
+    shuffled. If it fills up, it lets all rows pass."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS)) + 1
+    maps = nodes.select(place(F.col("node")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    found = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place(node)) == F.col("_bucket"))
+    at = F.bitmap_bit_position(place(node))
+    byte = F.conv(F.hex(F.col("_bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     small_batches(docs.sparkSession)
@@ -220,7 +237,8 @@ def link(docs: DataFrame) -> DataFrame:
     families = components(candidates).withColumnRenamed("component", "family")
     members = classes.select("node", "n", "sig").join(families, "node")
     families = components(meet(members, F.lit(1), BLOCK_MEMBERS, "sig", False)).withColumnRenamed("component", "family")
-    texts = docs.select(key.alias("node"), "text").join(families, "node")
+    families = materialise(families, "families")
+    texts = marked(docs.select(key.alias("node"), "text"), F.col("node"), families).join(families, "node")
     full = materialise(texts.select("family", "node", packed_set("text").alias("set")), "sets")
     links = components(meet(full, F.length("set"), BLOCK_BYTES, "set", True))
 

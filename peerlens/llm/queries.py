@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, neardup, packing, tokens, toxicity
+from . import langid, linededup, mixing, neardup, packing, syncmers, tokens, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_fingerprints": syncmers.op7_fingerprints,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op8_near_duplicates": neardup.ORACLE,
 }
