@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialise, runs, small_batches
 
+#: ASCII marks that, in a row after letters, are one piece of their own; an apostrophe may be part of a contraction.
+MARKS = ".,;:!?|#$%&*()[]{}+-=/~@^_"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -30,7 +32,7 @@ class WordEncoder:
     Each distinct word is encoded once and remembered; ``remember`` bounds how many words are.
     """
 
-    def __init__(self, vocabulary: str | None = None, remember: int = 600_000) -> None:
+    def __init__(self, vocabulary: str | None = None, remember: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,10 +43,31 @@ class WordEncoder:
         self.known: dict[str, int] = {"": 0}
         self.start, self.length = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         self.ids, self.used = np.zeros(1 << 12, np.uint32), 0
+        self.tails: dict[str, list[int]] = {}
+
+    def _ids(self, word: str) -> list[int]:
+        """Letters and the marks after them are cut apart by the vocabulary, so that letters known alone needn't be encoded again."""
+        core = word.rstrip(MARKS)
+        if core != word and core.isalpha():
+            if core not in self.known:
+                self._learn([core])
+            at = self.known[core]
+            return [*self.ids[self.start[at] : self.start[at] + self.length[at]].tolist(), *self._marks(word[len(core) :])]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _marks(self, tail: str) -> list[int]:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+        return self.tails[tail]
 
     def _learn(self, words: Sequence[str]) -> None:
         for w in words:
-            ids, at = self.tokenizer.encode(w, add_special_tokens=False).ids, len(self.known)
+            if w in self.known:
+                continue
+            ids = self._ids(w)
+            at = len(self.known)
             if at >= len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
             while self.used + len(ids) > len(self.ids):
