@@ -62,8 +62,8 @@ def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, fe
     t = targets.select(*by, F.col(key).alias("target"), vector(features).alias("_t"))
     t = t.where(F.size(F.array_compact("_t")) >= least)
     c = rows.select(*by, key, minutes, vector(features).alias("_c"))
-    pairs = c.join(t, list(by)).where(F.col(key) != F.col("target")).withColumn("m", compare(F.col("_t"), F.col("_c")))
-    pairs = pairs.where(F.col("m.shared") >= required(len(features), least))
-    measured = pairs.select(*by, "target", key, minutes, F.col("m.shared").alias("shared"), index(F.col("m.cosine")).alias("index"), F.col("m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
+    pairs = c.join(t, list(by)).where(F.col(key) != F.col("target")).withColumn("_m", compare(F.col("_t"), F.col("_c")))
+    pairs = pairs.where(F.col("_m.shared") >= required(len(features), least))
+    measured = pairs.select(*by, "target", key, minutes, F.col("_m.shared").alias("shared"), index(F.col("_m.cosine")).alias("index"), F.col("_m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
     ranked = rank_by_evidence(measured, "index", minutes, [*by, "target"])
     return ranked.where(F.col("index") >= MIN_INDEX)

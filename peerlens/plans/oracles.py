@@ -95,7 +95,7 @@ targets AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY peer_group,
 compared AS (
   SELECT c.peer_group, c.season_id, t.entity_key AS target, c.entity_key, c.minutes, {' + '.join(f"(c.{f} IS NOT NULL AND t.{f} IS NOT NULL)::INT" for f in FEATURES)} AS shared,
     {' + '.join(f"(t.{f} IS NOT NULL)::INT" for f in FEATURES)} AS own, {_d} AS dot, sqrt({_n['t']}) AS nt, sqrt({_n['c']}) AS nc,
-    [{', '.join(f"abs(t.{f} - c.{f})" for f in FEATURES)}] AS gaps
+    [{', '.join(f"abs((t.{f} - 50.0::DOUBLE) - (c.{f} - 50.0::DOUBLE))" for f in FEATURES)}] AS gaps
   FROM mains c JOIN targets t ON c.peer_group = t.peer_group AND c.season_id = t.season_id AND c.entity_key <> t.entity_key
 ), alike AS (
   SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN nt > 0 AND nc > 0 THEN dot / (nt * nc) ELSE 0.0::DOUBLE END)) * 100.0::DOUBLE AS index,
