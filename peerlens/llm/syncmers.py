@@ -79,36 +79,37 @@ def as_text(sketch: Column) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id, h: distinct pairs; n) with next_id and next_h, by descending doc_id and h, the last before the first.
+    """``ids`` (k, h: distinct pairs; n) with next_k and next_h, by descending id and then h, the last before the first.
 
     Each range of ids is one partition of a window; a range's last row gets the first of the next range, from a table
     with one row per range."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
+    order = [(F.col("h") % 2 != 0).asc(), F.col("k").desc(), F.col("h").asc()]
     dealt = materialise(ids.repartitionByRange(shuffle_parts(ids.sparkSession), *order).withColumn("part", F.spark_partition_id()), "ids")
-    own = Window.partitionBy("part").orderBy(*order)
-    rows = dealt.withColumn("next", F.lead(F.struct("doc_id", "h")).over(own))
-    heads = dealt.groupBy("part").agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.col("h"))).alias("head"))
+    rows = dealt.withColumn("next", F.lead(F.struct("k", "h")).over(Window.partitionBy("part").orderBy(*order)))
+    heads = dealt.groupBy("part").agg(F.min_by(F.struct("k", "h"), F.struct(F.col("h") % 2 != 0, -F.col("k"), F.col("h"))).alias("head"))
     around = Window.orderBy("part")
     after = heads.select(F.col("part").alias("_part"), F.coalesce(F.lead("head").over(around), F.first("head").over(around)).alias("head"))
-    out = rows.join(F.broadcast(after), F.col("part") == F.col("_part"))
     following = F.coalesce("next", "head")
-    return out.select("doc_id", "h", "n", following["doc_id"].alias("next_id"), following["h"].alias("next_h"))
+    return rows.join(F.broadcast(after), F.col("part") == F.col("_part")).select("k", "h", "n", following["k"].alias("next_k"), following["h"].alias("next_h"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text"))
-    pairs = materialise(followers(base.select("doc_id", "h", "n").distinct()), "followers")
-    held = base.select("doc_id", "h", "text", "n", sketch(F.col("text")).alias("own")).repartition(shuffle_parts(docs.sparkSession), "doc_id", "h")
-    same = lambda d, h: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("h") == F.col(h))
-    asked = pairs.select(F.col("doc_id").alias("_for"), F.col("h").alias("_for_h"), F.floor(F.col("n") / 3).cast("int").alias("_chars"), F.col("next_id").alias("_id"), F.col("next_h").alias("_h"))
-    sent = held.join(asked, same("_id", "_h")).select("_for", "_for_h", F.expr("substring(text, 1, _chars)").alias("_head"), F.col("own").alias("_own")).dropDuplicates(["_for", "_for_h"])
-    both = held.join(sent, same("_for", "_for_h"))
-    kept = F.expr("substring(text, 1, n - CAST(floor(n / 3) AS INT))")
-    edited = both.select("doc_id", "n", "own", "_own", F.concat(kept, F.col("_head")).alias("edited"))
-    sketched = edited.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "own", "_own", sketch(F.col("edited")).alias("_edited"))
-    return sketched.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("_edited")).alias("near_edited"), likeness(F.col("own"), F.col("_own")).alias("near_next"))
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+
+    A row's key is its id, 0 for null, and a hash of its text whose lowest bit tells null ids apart. Both joins read the
+    same shuffle of (key, text, sketch)."""
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().cast("long").alias("null"))
+    base = base.select("k", (F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("null"))).alias("h"), "text")
+    pairs = materialise(followers(base.select("k", "h", F.length("text").alias("n")).distinct()), "followers")
+    held = base.select("k", "h", "text", sketch(F.col("text")).alias("own")).repartition(shuffle_parts(docs.sparkSession), "k", "h")
+    asked = pairs.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 3).cast("int").alias("chars"), F.col("next_k").alias("k"), F.col("next_h").alias("h"))
+    sent = held.join(asked, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("substring(text, 1, chars)").alias("head"), F.col("own").alias("next_own")).dropDuplicates(["k", "h"])
+    both = held.join(sent, ["k", "h"])
+    n = F.length("text")
+    kept = F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int"))
+    edited = both.select(F.when(F.col("h") % 2 == 0, F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"), "own", "next_own", F.concat(kept, F.col("head")).alias("edited"))
+    sketched = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "own", "next_own", sketch(F.col("edited")).alias("new"))
+    return sketched.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
