@@ -163,10 +163,10 @@ def keep_mask(n_lines: int, drops: list[bytes] | None) -> np.ndarray:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    """``docs`` with _drops; the row key is worked out anew, as it is a function of the text."""
-    found = bitmaps(docs).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("drops").alias("_drops"))
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["_key"] == found["_row"]), "left")
+    """(r, drops): each row of ``docs`` as a struct; the row key is worked out anew, as it is a function of the text."""
+    found = bitmaps(docs)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"))
+    return keyed.join(found, ["doc_id", "row"], "left").select("r", "drops")
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
             out.append((len(lines), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), zlib.compress(np.packbits(keep).tobytes(), 1)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_sha256", "keep_bitmap"])
 
-    return _joined(docs.select("doc_id", "text")).select("doc_id", fold("text", "_drops").alias("f")).select("doc_id", "f.*")
+    return _joined(docs.select("doc_id", "text")).select("r.doc_id", fold("r.text", "drops").alias("f")).select("doc_id", "f.*")
 
 
 def apply(docs: DataFrame) -> DataFrame:
@@ -198,11 +198,12 @@ def apply(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(cut("text", "_drops"))
-    out = _joined(docs).withColumn("text", text)
+    text = F.when(F.col("drops").isNull(), F.col("r.text")).otherwise(cut("r.text", "drops"))
+    out = _joined(docs).select("r", text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

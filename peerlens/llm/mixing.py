@@ -72,9 +72,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, tota
     if len(by_source.select("_source").limit(MAX_BROADCAST_SOURCES + 1).collect()) <= MAX_BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    counted = docs.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_n", poisson_count(F.col("_rate"), F.col("doc_id"), seed))
-    copies = counted.where(F.col("_n") > 0).select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", F.lit("order")).cast("binary")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("r"), "source", F.col("doc_id").cast("string").alias("doc_id"))
+    counted = held.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("many", poisson_count(F.col("_rate"), F.col("doc_id"), seed))
+    copies = counted.where(F.col("many") > 0).select("r", "doc_id", F.explode(F.sequence(F.lit(1), F.col("many"))).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("doc_id", F.lit("")), "copy", F.lit("order")).cast("binary"))
+    keyed = copies.select(*[F.col(f"r.`{c}`").alias(c) for c in kept], "copy", key.alias("shuffle_key"))
     return keyed.repartition(shuffle_parts(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
