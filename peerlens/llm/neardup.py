@@ -175,14 +175,19 @@ def told(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[moved], "b": label[moved]})
 
 
-def meet(members: DataFrame, weight: Column, bound: int, payload: str, sets: bool) -> DataFrame:
-    """Links (a, b) within each family. ``members``: family, node, n and ``payload``, a signature or a set.
-
-    A family is cut into blocks of about ``bound`` by a hash of its members, and each block meets itself and the later
-    ones."""
-    blocks = members.groupBy("family").agg(F.ceil(F.sum(weight) / bound).cast("int").alias("blocks"), F.count("*").alias("many")).where("many > 1")
-    cut = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = cut.groupBy("family", "block", "blocks").agg(F.collect_list(F.struct("node", payload)).alias("m"))
+def cut(families: DataFrame, weight: Column, bound: int) -> DataFrame:
+    """(node, family, block, blocks): each family cut into blocks of about ``bound`` by a hash of its members.
+
+    This is done before members get their payload, so that the rows that one family's key deals to one task are small."""
+    blocks = families.groupBy("family").agg(F.ceil(F.sum(weight) / bound).cast("int").alias("blocks"))
+    return families.join(blocks, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+
+def meet(members: DataFrame, payload: str, sets: bool) -> DataFrame:
+    """Links (a, b) within each family. ``members``: family, block, blocks, node and ``payload``, a signature or a set.
+
+    Each block of a family meets itself and the later ones."""
+    held = members.groupBy("family", "block", "blocks").agg(F.collect_list(F.struct("node", payload)).alias("m"))
     held = held.select("family", "block", "blocks", F.col("m.node").alias("nodes"), F.col(f"m.{payload}").alias("data"))
     left = held.select("family", F.col("nodes").alias("nodes_a"), F.col("data").alias("data_a"), "block", F.explode(F.expr("sequence(block, blocks - 1)")).alias("other"))
     right = held.select("family", F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("data").alias("data_b"))
@@ -235,12 +240,13 @@ def link(docs: DataFrame) -> DataFrame:
     candidates = bands.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("low").alias("b"))
 
     families = components(candidates).withColumnRenamed("component", "family")
-    members = classes.select("node", "n", "sig").join(families, "node")
-    families = components(meet(members, F.lit(1), BLOCK_MEMBERS, "sig", False)).withColumnRenamed("component", "family")
-    families = materialise(families, "families")
+    members = classes.select("node", "sig").join(cut(families, F.lit(1), BLOCK_MEMBERS), "node")
+    families = components(meet(members, "sig", False)).withColumnRenamed("component", "family")
+    sizes = classes.groupBy("node").agg(F.sum("n").alias("n"))
+    families = materialise(cut(families.join(sizes, "node"), 8 * F.col("n"), BLOCK_BYTES), "families")
     texts = marked(docs.select(key.alias("node"), "text"), F.col("node"), families).join(families, "node")
-    full = materialise(texts.select("family", "node", packed_set("text").alias("set")), "sets")
-    links = components(meet(full, F.length("set"), BLOCK_BYTES, "set", True))
+    full = materialise(texts.select("family", "block", "blocks", "node", packed_set("text").alias("set")), "sets")
+    links = components(meet(full, "set", True))
 
     found = classes.select("n", "d1", "d2", "node").join(links, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("_component"))
     out = rows.select("doc_id", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
