@@ -183,5 +183,18 @@ parts AS (
     "identity_candidates": """WITH r AS (SELECT c_custkey AS id, 's' || (c_custkey % 41) AS s, CASE WHEN c_custkey % 10 <> 0 THEN DATE '1980-01-01' + CAST(c_custkey * 37 % 9000 AS INTEGER) END AS born, c_nationkey < 12 AS l FROM customer),
 small AS (SELECT s FROM r WHERE NOT l GROUP BY s HAVING count(*) <= 400)
 SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM r a JOIN r b ON a.l AND NOT b.l AND (a.born = b.born OR (a.s = b.s AND (year(a.born) = year(b.born) OR (a.born IS NULL AND a.s IN (SELECT s FROM small)))))""",
+    "identity_decisions": """WITH s AS (SELECT o_custkey AS left_id, o_orderkey AS right_id, (floor(o_totalprice)::BIGINT % 200 + 800)::DOUBLE / 1000 AS confidence FROM orders),
+b AS (SELECT *, lead(confidence) OVER w AS runner_up, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY left_id ORDER BY confidence DESC, right_id)),
+o AS (SELECT o_custkey AS left_id, min(o_orderkey) AS manual FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1),
+j AS (SELECT *, CASE WHEN confidence < 0.9::DOUBLE THEN 'unmatched' WHEN confidence - coalesce(runner_up, 0) < 0.05::DOUBLE - 1e-9 THEN 'ambiguous' ELSE 'matched' END AS found FROM b LEFT JOIN o USING (left_id) WHERE rn = 1)
+SELECT left_id, CASE WHEN manual IS NOT NULL THEN manual WHEN found = 'matched' THEN right_id END AS right_id, CASE WHEN manual IS NOT NULL THEN 1.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN manual IS NOT NULL THEN 'manual' ELSE found END AS status FROM j""",
+    "identity_merges": """WITH s AS (SELECT o_custkey AS e, o_orderpriority AS c, strftime(o_orderdate::DATE, '%Y-%m') AS y FROM orders),
+p AS (SELECT c_custkey AS source_id, c_custkey - c_custkey % 4 AS target_id FROM customer WHERE c_custkey % 4 <> 0),
+own AS (SELECT p.*, c, y, rank() OVER (PARTITION BY target_id, c, y ORDER BY source_id) AS r FROM p JOIN s ON source_id = e),
+bad AS (SELECT DISTINCT source_id FROM own LEFT JOIN (SELECT DISTINCT e, c, y FROM s) h ON h.e = own.target_id AND h.c = own.c AND h.y = own.y WHERE r > 1 OR h.e IS NOT NULL)
+SELECT source_id, target_id, source_id IN (SELECT source_id FROM bad) AS refused FROM p""",
+    "distribution_profile": base() + "SELECT peer_group, metric, count(value) AS known, round(min(value), 6) AS least, round(median(value), 6) AS middle, round(quantile_cont(value, 0.99), 6) AS high, round(max(value), 6) AS most FROM long GROUP BY ALL",
+    "unscored_roles": base(WIDE, ROLES) + f"SELECT {K}, role, round(0.5::DOUBLE - coverage, 6) AS shortfall FROM roles WHERE raw IS NULL",
+    "shortlist_counts": "SELECT c_custkey, count(o_orderkey) AS entries, strftime(max(o_orderdate)::DATE, '%Y-%m-%d') AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

@@ -366,6 +366,41 @@ def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
     return identity.candidates(rows.where("c_nationkey < 12"), rows.where("c_nationkey >= 12"))
 
 
+def identity_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's order of highest confidence, with some orders as manual overrides; prices stand in for confidence."""
+    (orders,) = tables(spark, d, "orders")
+    scored = orders.select(F.col("o_custkey").alias("left_id"), F.col("o_orderkey").alias("right_id"), ((F.floor("o_totalprice") % 200 + 800) / 1000).alias("confidence"))
+    manual = orders.where("o_orderkey % 97 = 0").groupBy(F.col("o_custkey").alias("left_id")).agg(F.min("o_orderkey").alias("right_id"))
+    return identity.decide(scored, manual)
+
+
+def identity_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers planned to merge into the one before them whose number 4 divides; months stand in for seasons."""
+    customer, orders = tables(spark, d, "customer", "orders")
+    plan = customer.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") - F.col("c_custkey") % 4).alias("target_id"))
+    held = orders.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderpriority").alias("competition_id"), F.date_format("o_orderdate", "yyyy-MM").alias("season_id"))
+    return identity.merges(plan, held)
+
+
+def distribution_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Least, median, 99th percentile and largest value of each metric in each group."""
+    rows = unpivot(derive(stats(spark, d), METRICS), ["peer_group"], NAMES)
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return rows.groupBy("peer_group", "metric").agg(F.count("value").alias("known"), six(F.min("value"), "least"), six(F.median("value"), "middle"), six(F.percentile("value", F.lit(0.99)), "high"), six(F.max("value"), "most"))
+
+
+def unscored_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Roles that a row has too little for, and the coverage that is short."""
+    return _roles(spark, d).where("raw IS NULL").select(*KEYS, "role", F.round(0.5 - F.col("coverage"), 6).alias("shortfall"))
+
+
+def shortlist_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer with the number of orders, 0 included, and the latest one's date."""
+    customer, orders = tables(spark, d, "customer", "orders")
+    entries = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("entries"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("latest"))
+    return customer.select("c_custkey").join(entries, "c_custkey", "left").select("c_custkey", F.coalesce("entries", F.lit(0)).alias("entries"), "latest")
+
+
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.ingest import hourly
 
@@ -378,5 +413,6 @@ QUERIES = {f.__name__: f for f in (
     percentiles_widened, z_scores, maturity, composite_scores, unproducible_scores, role_scores, role_fit, best_roles, shrunk_ranking, recruitment, opportunity_funnel,
     opportunities, player_search, similar_profiles, replacements, embedding_neighbours, compared_leaders, metric_coverage, mean_coverage, field_profile, identity_coverage,
     identity_by_competition, ledger_freshness, latest_checks, served_fingerprint, candidate_checks, orphans, referenced_nations, duplicate_lines, loader_checks, quarantine,
-    value_history, pruned_history, csv_export, reference_lists, role_presets, highlights, inert_ranking, denominators, promotion_guard, json_fields, identity_candidates, hourly_events,
+    value_history, pruned_history, csv_export, reference_lists, role_presets, highlights, inert_ranking, denominators, promotion_guard, json_fields, identity_candidates, identity_decisions, identity_merges,
+    distribution_profile, unscored_roles, shortlist_counts, hourly_events,
 )}
