@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, held_out, runs, small_batches
 from .letters import ngram_codes
+from .neardup import marked
 
 BITS = 6
 ORDER = 4
@@ -140,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame):
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
-    llr = scorer(spark, count_ngrams(texts.where(~fold).join(known.where(~fold), "doc_id").select("text", "toxic")))
+    learnt, key = known.where(~fold), F.col("doc_id").cast("long")
+    own = marked(texts.where(~fold), key, learnt.select(key.alias("node")))  # texts without a label mostly aren't shuffled
+    llr = scorer(spark, count_ngrams(own.join(learnt, "doc_id").select("text", "toxic")))
     scored = texts.where(fold).select("doc_id", llr("text").alias("llr")).join(known.where(fold), "doc_id")
     bins = scored.groupBy((F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), "llr")) + SPAN) * (BINS / (2 * SPAN))) * (2 * SPAN / BINS) - SPAN).alias("llr"), F.col("toxic").alias("y")).agg(F.count("*").alias("n"))
     slope, base = calibrate(bins.toPandas())
