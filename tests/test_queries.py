@@ -7,8 +7,7 @@ import os
 import duckdb
 import pytest
 
-from peerlens.plans.oracles import ORACLES
-from peerlens.plans.queries import QUERIES
+from peerlens.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -36,7 +35,19 @@ def test_query(spark, con, name):
 
 
 def test_the_rest_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"role_presets"}
+    assert set(QUERIES) - set(ORACLES) == {"role_presets", "similarity_stability"}
+
+
+def test_stability_is_high_and_bounded(spark):
+    got = QUERIES["similarity_stability"](spark, DATA).collect()
+    assert all(0 <= r["jaccard"] <= 1 for r in got)
+
+
+def test_stats_of_some_are_those_of_all(spark):
+    asked = spark.createDataFrame([(7,), (7,), (11,)], "entity_key long")
+    all_, some = QUERIES["player_stats"](spark, DATA), QUERIES["player_stats"](spark, DATA, asked)
+    want = sorted(map(repr, all_.where("entity_key IN (7, 11)").collect()))
+    assert want and sorted(map(repr, some.collect())) == want
 
 
 def test_order_of_input_does_not_matter(spark):
