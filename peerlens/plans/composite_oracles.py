@@ -26,7 +26,6 @@ def _seen(kind: str, name: str, parts: dict[str, float], least: float) -> str:
 
 SEEN = f"seen AS (SELECT *, attempts_per90 AND headline_per90 AS volume, success_percentage AND successes_per90 AS finish, returns_per90 OR success_percentage AS security FROM (SELECT {', '.join(f'count({f}) > 0 AS {f}' for f in FEATURES)} FROM rates))"
 CENSUS = "".join(f" UNION ALL SELECT '{f}', CASE WHEN count({t}) > 0 AND ({'count(minutes) > 0 OR count(recorded_minutes) > 0' if f.endswith('90') else 'count(attempts) > 0'}) THEN 'DERIVABLE' ELSE 'UNAVAILABLE' END FROM stats" for f, t in zip(FEATURES, ("attempts", "successes", "discounted", "returns", "headline", "successes"), strict=True))
-CHECKS = "SELECT * FROM (VALUES ('recorded_beyond_played', {a}, 100), ('minutes_beyond_appearances', {b}, 1000000), ('value_unknown', {c}, 1000000), ('negative_minutes', {d}, 1)) AS v(n, r, f)"
 
 ORACLES: dict[str, str] = {
     "widest_contexts": NATIONS + f"""SELECT {K}, score, w.c AS competitions, w.n AS members FROM (
@@ -75,4 +74,6 @@ ORACLES: dict[str, str] = {
     "check_report": base() + "SELECT '| season_stats | ' || n || ' | ' || CASE WHEN r >= f THEN 'fail' WHEN r >= 1 THEN 'warn' ELSE 'pass' END || ' | ' || r || ' |' AS line FROM (" + " UNION ALL ".join(
         f"SELECT '{n}' AS n, count(*) FILTER (WHERE {t}) AS r, {f} AS f FROM stats" for n, t, f in (("recorded_beyond_played", "recorded_minutes > minutes", 100), ("minutes_beyond_appearances", "minutes > appearances * 120", 1000000), ("value_unknown", "market_value IS NULL", 1000000), ("negative_minutes", "minutes < 0", 1)))
     + ") UNION ALL SELECT '| entity | check_name | status | record_count |' UNION ALL SELECT '|---|---|---|---|'",
+    "club_countries": "SELECT s_suppkey, n_name AS competition, r_name AS country FROM supplier LEFT JOIN (SELECT * FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0) ON s_nationkey = n_nationkey",
+    "canonical_records": base() + f"SELECT {K}, greatest(attempts - returns, 0) AS unreturned, CASE WHEN recorded_minutes IS NOT NULL THEN greatest(minutes - recorded_minutes, 0) END AS unrecorded, successes + returns AS taken FROM stats",
 }

@@ -168,7 +168,20 @@ def check_report(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.markdown_head(spark, checks.columns).union(lifecycle.markdown(checks))
 
 
+def club_countries(spark: SparkSession, d: str) -> DataFrame:
+    """Clubs with the country of the competition that they belong to; a club of no known competition keeps nulls."""
+    supplier, nation, region = tables(spark, d, "supplier", "nation", "region")
+    places = nation.where("n_nationkey % 7 <> 0").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.col("n_name").alias("competition"), F.col("r_name").alias("country"))
+
+
+def canonical_records(spark: SparkSession, d: str) -> DataFrame:
+    """Totals with what is derived when a record is built: differences that don't fall below 0, sums; unknown parts stay unknown."""
+    return stats(spark, d).select(*KEYS, R.nonnegative_difference("attempts", "returns").alias("unreturned"), R.nonnegative_difference("minutes", "recorded_minutes").alias("unrecorded"), (F.col("successes") + F.col("returns")).alias("taken"))
+
+
 QUERIES = {f.__name__: f for f in (
     widest_contexts, player_summary, player_stats, player_roles, player_profile, comparison_caveats, score_distributions, similarity_stability, source_purge, ownership_checks,
-    context_checks, publication_ledger, staging_equality, provider_status, volumes, name_resolution, weight_report, metric_census, check_report,
+    context_checks, publication_ledger, staging_equality, provider_status, volumes, name_resolution, weight_report, metric_census, check_report, club_countries,
+    canonical_records,
 )}
