@@ -441,6 +441,23 @@ def test_webp_stores_texts(spark, docs, empty):
     assert len(webp.load(webp.store(big))) == webp.MAX_SIDE + 3
 
 
+def test_webp_stored_texts_are_coded(monkeypatch):
+    rng = np.random.default_rng(4)
+    payloads = [(prose(5, 900) + " " * 192)[: 192 * 20].encode(), (prose(6, 40)[:192] * 9).encode(), rng.integers(0, 256, 192 * 9, dtype=np.uint8).tobytes(), rng.integers(0, 3, 1920, dtype=np.uint8).tobytes(), bytes(192 * 5000)]
+    plain, kinds, palettes = webp._at_once, [], []
+    undo = webp.undo_palette
+    monkeypatch.setattr(webp, "undo_palette", lambda *a: palettes.append(1) or undo(*a))
+    monkeypatch.setattr(webp, "_at_once", lambda bits, width, n, codes, cache_bits: kinds.append((cache_bits > 0, bool(((s := codes[0].symbols) >= 256).any()), len(s) > 256)) or plain(bits, width, n, codes, cache_bits))
+    stored = [webp.store(p) for p in payloads]
+    assert [webp.load(m)[..., :3].tobytes() == p for m, p in zip(stored, payloads, strict=True)] == [True] * len(payloads)
+    assert [len(m) < len(p) for m, p in zip(stored, payloads, strict=True)] == [True, True, False, True, True]
+    assert palettes and all(any(k[i] for k in kinds) for i in range(3))
+    monkeypatch.setattr(webp, "_at_once", lambda *a: None)  # one pixel after the other gives the same
+    assert [webp.load(m)[..., :3].tobytes() == p for m, p in zip(stored, payloads, strict=True)] == [True] * len(payloads)
+    with pytest.raises(ValueError):
+        webp.decode(stored[0][: len(stored[0]) // 2])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
