@@ -9,7 +9,7 @@ from the least ``SIZE`` of both together. ``anchors`` returns every anchor with
 Documents follow each other in descending doc_id. Ids alone are range-partitioned to find each one's next; a document
 then sends only the characters that its predecessor asks for, with its fingerprint.
 
-Defined results: a null text is empty; a text of less than K pieces has its s-mers for anchors; an empty text has an empty
+Defined results: a null text is empty; a text without a closed syncmer has its s-mers for anchors; an empty text has an empty
 fingerprint, which is like another empty one (1.0) and unlike all else (0.0); rows with one doc_id follow each other by
 the hash of their text, null ids come last, and rows that repeat are one document with a result row for each; a single
 document is its own next; an empty table gives an empty result; further columns are ignored.
@@ -43,11 +43,12 @@ def _kmer(s: Column, i: Column, found: Column) -> Column:
 
 
 def _each(text: Column, make) -> Column:
-    """``make(s-mers, place)`` for each closed syncmer, or for each s-mer of a short text; the s-mers are made once."""
+    """``make(s-mers, place)`` for each closed syncmer, or for each s-mer of a text without one; the s-mers are made once."""
     window = K - S + 1
     every = lambda s: F.filter(F.transform(F.sequence(F.lit(0), F.size(s) - window), lambda i: _kmer(s, i, make(s, i, True))), lambda x: x.isNotNull())
     short = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: make(s, i, False))
-    return F.transform(F.array(smers(text)), lambda s: F.when(F.size(s) >= window, every(s)).when(F.size(s) > 0, short(s)))[0]
+    some = lambda s: F.transform(F.array(every(s)), lambda found: F.when(F.size(found) > 0, found).otherwise(short(s)))[0]
+    return F.transform(F.array(smers(text)), lambda s: F.when(F.size(s) >= window, some(s)).when(F.size(s) > 0, short(s)))[0]
 
 
 def _hash(s: Column, i: Column, whole: bool) -> Column:

@@ -251,6 +251,14 @@ def test_syncmers_are_context_free_and_followers_wrap(spark, docs, empty):
     assert len(a) > 20 and a <= b
 
 
+def test_short_texts_without_syncmers_have_anchors(spark):
+    rows = [(1, "Ingea therre he.", "en", "a", 0), (2, "Thtiedly erly anwhan.", "en", "a", 0), (3, "Hahere ananing re.", "en", "a", 0), (4, "", "en", "a", 0)]
+    rows += [(10 + i, " ".join(random.Random(i).choices(WORDS, k=5 + i % 2)), "en", "a", 0) for i in range(40)]
+    got = {r["doc_id"]: r for r in syncmers.fingerprint(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {d for d, r in got.items() if r["fingerprint"] == ""} == {4}
+    assert got[3]["near_next"] == got[2]["near_next"] == 0.0
+
+
 def test_warc(spark):
     html = '<html lang="en"><head><title>A &amp; B</title></head><body><script>x</script><p>One &lt;two&gt;</p><a href="/q?a=1&amp;b=2">l</a><br>three</body></html>'
     pages = spark.createDataFrame([(1, "http://e.org/", html), (2, None, None)], "page_id long, url string, html string")
