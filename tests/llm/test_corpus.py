@@ -251,6 +251,30 @@ def test_syncmers_are_context_free_and_followers_wrap(spark, docs, empty):
     assert len(a) > 20 and a <= b
 
 
+def test_fingerprints_hold_all_anchors_and_places(spark):
+    passage = prose(70, 50)
+    texts = {2: f"{prose(71, 3000)} {passage} {prose(72, 900)}".replace("the", "tho"), 1: f"{prose(73, 4000).replace('e', 'u')} {passage} and".replace("the", "tho"), 0: "one of one of one of one of one of one of one of one of"}
+    rows = [(d, t, "en", "a", 0) for d, t in texts.items()]
+    got = {r["doc_id"]: r for r in syncmers.fingerprint(spark.createDataFrame(rows, SCHEMA)).collect()}
+    df = spark.createDataFrame(list(texts.items()), "d long, t string")
+    all_of = {r[0]: [(x["hash"], x["place"]) for x in r[1]] for r in df.select("d", syncmers.anchors(F.col("t"))).collect()}
+    for d, own in all_of.items():
+        f = got[d]["fingerprint"]
+        assert [(int(f[i : i + 8], 16), int(f[i + 8 : i + 16], 16)) for i in range(0, len(f), 16)] == own
+        assert got[d]["sketch"] == "".join(f"{h:08X}" for h in sorted({h for h, _ in own})[: syncmers.SIZE])
+        a, b = ({} for _ in range(2))
+        for to, of in ((a, own), (b, all_of[(d - 1) % 3])):
+            for h, place in of:
+                to.setdefault(h, place)
+        common = a.keys() & b.keys()
+        assert got[d]["near_next"] == len(common) / len(a.keys() | b.keys())
+        stretches = {}
+        for h in common:
+            stretches.setdefault(b[h] - a[h], []).append(a[h])
+        assert got[d]["passages_next"] == " ".join(f"{min(p)}-{max(p)}{s:+d}" for s, p in sorted(stretches.items()))
+    assert got[2]["near_next"] > 0 and got[2]["passages_next"]
+
+
 def test_short_texts_without_syncmers_have_anchors(spark):
     rows = [(1, "Ingea therre he.", "en", "a", 0), (2, "Thtiedly erly anwhan.", "en", "a", 0), (3, "Hahere ananing re.", "en", "a", 0), (4, "", "en", "a", 0)]
     rows += [(10 + i, " ".join(random.Random(i).choices(WORDS, k=5 + i % 2)), "en", "a", 0) for i in range(40)]
