@@ -2,10 +2,8 @@
 
 Toxic and ordinary training texts each get an interpolated Kneser-Ney model of order ``ORDER`` over letter symbols. The
 highest order is counted by class; all lower orders are the continuation counts of both classes together, so that what is
-rare in one class is smoothed by what both share. A text's score compares the two log-likelihoods per symbol. A symbol
-whose log-likelihoods differ by less than ``MARGIN`` counts as a tie, and of larger differences the margin is taken off:
-that leaves out what only the mixture of languages and styles in either class brings about. The sum over a text's symbols
-divided by their number, as a signed square root, is ``llr``; a logistic curve over it is fitted on a fold of the training
+rare in one class is smoothed by what both share. A text's score compares the two log-likelihoods per symbol. The sum of
+their plain differences over a text's symbols divided by their number, as a signed square root, is ``llr``; a logistic curve over it is fitted on a fold of the training
 rows that the models have not seen.
 
 With 64 symbols and order 4 there are at most 2**24 n-grams, however large the corpus, so the model that is sent to the
@@ -33,8 +31,6 @@ from .neardup import marked
 BITS = 6
 ORDER = 4
 DISCOUNT = 0.75
-#: Differences of a symbol's log-likelihoods up to this many nats count as none.
-MARGIN = 3.0
 #: The calibration histogram: bins of llr over -SPAN to SPAN.
 BINS = 2000
 SPAN = 1.0
@@ -79,7 +75,7 @@ def _shared(codes: np.ndarray) -> np.ndarray:
 
 def log_ratios(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The log of P(symbol | context, toxic) over P(symbol | context, ordinary) of each n-gram, the contexts, and the log
-    ratio in each context of an n-gram that neither class has, in which the shared probability cancels; less the margin."""
+    ratio in each context of an n-gram that neither class has, in which the shared probability cancels."""
     contexts, of = np.unique(codes >> BITS, return_inverse=True)
     shared, logs, rest = _shared(codes), [], []
     for c in (toxic, ordinary):
@@ -87,8 +83,7 @@ def log_ratios(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tu
         left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[of] + left[of] * shared))
         rest.append(np.log(left))
-    margin = lambda x: np.sign(x) * np.maximum(np.abs(x) - MARGIN, 0)
-    return margin(logs[0] - logs[1]), contexts, margin(rest[0] - rest[1])
+    return logs[0] - logs[1], contexts, rest[0] - rest[1]
 
 
 def scorer(spark: SparkSession, counts: DataFrame):

@@ -84,6 +84,15 @@ def test_kneser_ney_sums_to_one():
     assert np.abs(ratio).max() == 0 and np.abs(rest).max() == 0 and len(contexts) == len(np.unique(codes >> toxicity.BITS))
 
 
+def test_mild_toxic_expressions_count():
+    codes, n = np.unique(letters.ngram_codes([prose(3, 2000)], toxicity.BITS, toxicity.ORDER)[0], return_counts=True)
+    mild = int(np.argmax(n * (np.bincount((codes >> toxicity.BITS).astype(np.int64))[codes >> toxicity.BITS] > 1)))
+    toxic = n.copy()
+    toxic[mild] *= 8
+    ratio, _, _ = toxicity.log_ratios(codes.astype(np.int64), n, toxic)
+    assert 0 < ratio[mild] < np.log(20)
+
+
 def brute_lines(rows):
     keys = {}
     for d, t, *_ in rows:
