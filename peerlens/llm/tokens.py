@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -26,6 +27,16 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def stays_letters(core: str) -> bool:
+    """Whether a word is letters before and after the vocabulary composes it and lower-cases it.
+
+    Lower-casing can make a mark of a letter's part (capital i with a dot), which would join the marks that follow. Beyond the
+    code points named here tables of letters differ between Unicode versions, so such words are always encoded whole."""
+    if core.isascii():
+        return core.isalpha()
+    return max(core) < "\u0530" and core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core)
+
+
 class WordEncoder:
     """Ids of texts under a vocabulary that never joins characters across white space.
 
@@ -48,7 +59,7 @@ class WordEncoder:
     def _ids(self, word: str) -> list[int]:
         """Letters and the marks after them are cut apart by the vocabulary, so that letters known alone needn't be encoded again."""
         core = word.rstrip(MARKS)
-        if core != word and core.isalpha():
+        if core != word and stays_letters(core):
             if core not in self.known:
                 self._learn([core])
             at = self.known[core]

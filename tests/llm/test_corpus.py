@@ -206,6 +206,22 @@ def test_mixing(spark, docs, empty):
 
 
 @pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="no vocabularies here")
+def test_word_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole, encoder, rng = Tokenizer.from_file(tokens.vocabulary_path()), tokens.WordEncoder(), random.Random(5)
+    letters_ = ["a", "B", "don", "the", "\u0130", "I", "\u0131", "\u00e9", "e\u0301", "\u0301", "\u0307", "\u03a3", "\u03c3", "\u01c5", "\ufb01", "\u1e9e", "\u6f22", "\u0e01\u0e33", "\U0001f600", "7", "\u00b2"]
+    others = [*tokens.MARKS, "'s", "'", "n't", "<|endoftext|>", "<|", "|>", "\u00a0", "\u3000", "\x85", "\x1c", "\u200d", "\u00ad"]
+    texts = ["b\u0130##", "xY\u0130-", ""]
+    for _ in range(20_000):
+        texts.append("".join(rng.choice(rng.choice([letters_, letters_, others, [" ", "\n", "\t"]])) for _ in range(rng.randint(1, 12))))
+    ids, n = encoder.encode(texts)
+    stops = np.cumsum(n)
+    wrong = [t for t, b, m in zip(texts, stops.tolist(), n.tolist()) if ids[b - m : b].tolist() != whole.encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[:5]
+    assert encoder.lengths(texts).tolist() == n.tolist()
+
+
 def test_packing_and_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
