@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, neardup, packing, syncmers, tokens, toxicity, warc, webp
+from . import langid, linededup, mixing, neardup, packing, syncmers, tokens, toxicity, warc, webpstore
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
     "op3_warc": warc.op3_warc,
-    "op4_webp": webp.op4_webp,
+    "op4_webp": webpstore.op4_webp,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_fingerprints": syncmers.op7_fingerprints,

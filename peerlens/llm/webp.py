@@ -1,38 +1,23 @@
-"""Lossless WebP: images in a binary column become pixel arrays, and bytes can be stored as images.
+"""Lossless WebP: images in a binary column become pixel arrays.
 
 ``decode`` reads the format as published: canonical prefix codes, simple or with coded lengths, back-references with the
 short distance map, the colour cache, groups of codes by an entropy image, and the predictor, cross-colour, subtract-green
-and palette transforms, undone in reverse order.
+and palette transforms, undone in reverse order. ``webpbatch`` reads and writes many images at once.
 
-``store`` puts bytes into images of 64 pixels a row, three samples a pixel, with references to earlier runs of pixels, a
-colour cache and a palette where they save bits, and Huffman codes; payloads that exceed the format's height continue in
-further images.
-
-Defined results: a null blob has null pixels, and so has one that isn't a lossless WebP; a null or empty text is stored
-as 192 blanks; rows that repeat are stored alike; an empty table gives an empty result; further columns are ignored.
+Defined results of ``pixel_arrays``: a null blob has null pixels, and so has one that isn't a lossless WebP; rows that repeat
+are read alike; an empty table gives an empty result; further columns are kept, those named height, width and pixels replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
-from collections.abc import Iterator
 from functools import cache
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
-
-UNIT = 192
-WIDTH = UNIT // 3
-MAX_SIDE = 1 << 14
-FRAME = UNIT * MAX_SIDE
-
 # Fixed values of the format: the order in which lengths of the code-length code come, and the near distances.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -44,11 +29,8 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_FACTOR = 0x1E35A7BD
-#: Bytes of a stream that are decoded at once.
-CHUNK = 1 << 15
-#: References of the encoder: the fewest pixels, the most of one reference, the furthest way back; sizes of the cache it tries.
-LEAST_RUN, LONGEST, FURTHEST = 3, 4096, (1 << 20) - 120
-CACHES = (0, 7, 10)
+#: Bytes of a stream that are laid out at a time while it is decoded.
+WINDOW = 1 << 13
 
 
 class Bits:
@@ -75,18 +57,19 @@ def _reversal(n: int) -> np.ndarray:
 
 
 class PrefixCode:
-    """A canonical code: for each value of the next ``longest`` bits the symbol that they begin with and its bits."""
-
-    def __init__(self, lengths: dict[int, int]) -> None:
-        used = sorted((n, s) for s, n in lengths.items() if n)
-        if len(used) == 1:
-            used = [(0, used[0][1])]
-        self.longest = used[-1][0] if used else 0
-        if not used or self.longest > 15 or sum(1 << self.longest - n for n, _ in used) != 1 << self.longest:
+    """A canonical code, from each symbol's bits: for each value of the next ``longest`` bits the symbol that they begin
+    with and how many of them it takes."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        used = np.flatnonzero(lengths)
+        n = lengths[used] if len(used) != 1 else np.zeros(1, np.int64)
+        self.longest = int(n.max()) if len(used) else 0
+        width = 1 << (self.longest - n)
+        if not len(used) or self.longest > 15 or width.sum() != 1 << self.longest:
             raise ValueError("not a complete prefix code")
-        n, s = np.array(used, np.int64).T
-        order = _reversal(self.longest)
-        self.symbols, self.taken = (np.repeat(x, 1 << (self.longest - n))[order] for x in (s, n))
+        order = np.argsort(n, kind="stable")
+        place = _reversal(self.longest)
+        self.symbols, self.taken = (np.repeat(x[order].astype(np.int32), width[order])[place] for x in (used, n))
 
     def read(self, bits: Bits) -> int:
         found = bits.read(self.longest)
@@ -95,35 +78,43 @@ class PrefixCode:
 
 
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
+    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         many, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if many else [])
-        return PrefixCode({s: 1 for s in symbols})
-    count = 4 + bits.read(4)
-    coder = PrefixCode({s: n for s, n in [(s, bits.read(3)) for s in LENGTH_ORDER[:count]] if n})
+        lengths[[bits.read(8 if wide else 1)] + ([bits.read(8)] if many else [])] = 1
+        return PrefixCode(lengths)
+    count, own = 4 + bits.read(4), np.zeros(len(LENGTH_ORDER), np.int64)
+    for s in LENGTH_ORDER[:count]:
+        own[s] = bits.read(3)
+    coder = PrefixCode(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    lengths: dict[int, int] = {}
+    symbols, taken, mask = coder.symbols.tolist(), coder.taken.tolist(), (1 << coder.longest) - 1
+    window, skip, limit = 0, 0, -1  # some bytes of the stream as one number, so that a symbol is a shift and two look-ups
     at, before = 0, 8
     while at < alphabet and left > 0:
+        if skip > limit:
+            bits.read(max(skip, 0))
+            window, skip = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 64], "little") >> (bits.at & 7), 0
+            limit = 480
         left -= 1
-        s = coder.read(bits)
+        found = window >> skip & mask
+        s, skip = symbols[found], skip + taken[found]
         if s < 16:
-            lengths[at], at = s, at + 1
-            before = s or before
-        else:
-            n, value = {16: (2, before), 17: (3, 0), 18: (7, 0)}[s]
-            for _ in range(bits.read(n) + (11 if s == 18 else 3)):
-                lengths[at], at = value, at + 1
+            lengths[at] = s
+            at, before = at + 1, s or before
+            continue
+        n, least, value = ((2, 3, before), (3, 3, 0), (7, 11, 0))[s - 16]
+        run = (window >> skip & ((1 << n) - 1)) + least
+        skip += n
+        if at + run > alphabet:
+            raise ValueError("more lengths than symbols")
+        if value:
+            lengths[at : at + run] = value
+        at += run
+    bits.read(skip)
     return PrefixCode(lengths)
 
 
-def _extra(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    n = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
-
-
 def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """An entropy-coded image as ARGB numbers."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -134,46 +125,79 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
         groups_of = (read_pixels(bits, across, (height + (1 << block) - 1) >> block) >> 8) & 0xFFFF
         groups_of, many = groups_of.tolist(), int(groups_of.max()) + 1
     groups = [[read_code(bits, n) for n in (256 + 24 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40)] for _ in range(many)]
-    start = bits.at
-    if many == 1 and (found := _at_once(bits, width, width * height, groups[0], cache_bits)) is not None:
-        return found
-    bits.at = start
-    return _one_by_one(bits, width, width * height, groups, cache_bits, groups_of, block, across)
-
-
-def _one_by_one(bits: Bits, width: int, n: int, groups: list[list[PrefixCode]], cache_bits: int, groups_of: list[int] | None = None, block: int = 0, across: int = 0) -> np.ndarray:
-    """Pixels in the order of the stream, for images of several groups of codes."""
-    out, kept = [0] * n, [0] * (1 << cache_bits)
-    at, cached = 0, 0
-    while at < len(out):
-        if groups_of is None:
-            green, red, blue, alpha, far = groups[0]
-        else:
-            green, red, blue, alpha, far = groups[groups_of[(at // width >> block) * across + (at % width >> block)]]
-        s = green.read(bits)
-        if s < 256:
-            r, b = red.read(bits), blue.read(bits)
-            out[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
+    return np.array(_tokens(bits, width, width * height, groups, cache_bits, groups_of, block, across), np.int64)
+
+
+def _tables(codes: list[PrefixCode]) -> tuple:
+    """For each alphabet a list of what the next bits stand for, times 16, plus the bits that it takes, and the mask of those
+    bits. Red comes in its place in the pixel, together with alpha if that never varies."""
+    green, red, blue, alpha, far = codes
+    fixed = int(alpha.symbols[0]) << 24 if not alpha.longest else 0
+    red_part = (red.symbols.astype(np.int64) << 16 | fixed) << 4 | red.taken
+    lists = [red_part.tolist() if c is red else (c.symbols << 4 | c.taken).tolist() for c in codes]
+    return *lists, *[(1 << c.longest) - 1 for c in codes]
+
+
+def _tokens(bits: Bits, width: int, n: int, groups: list[list[PrefixCode]], cache_bits: int, groups_of: list[int] | None, block: int, across: int) -> list[int]:
+    """The pixels of an image in the order of its stream. ``ahead`` has for each of the next bytes the eight from there on as
+    one number, so that a symbol is a shift and a look-up; what the cache holds is worked out when a token asks for it."""
+    tables = [_tables(codes) for codes in groups]
+    green, red, blue, alpha, far, green_mask, red_mask, blue_mask, alpha_mask, far_mask = tables[0]
+    data, end, near = bits.data, 8 * len(bits.data), _near(width).tolist()
+    kept, cached, at = [0] * (1 << cache_bits), 0, 0
+    start, p, held, out = bits.at, 0, -1, []
+    while at < n:
+        if p > held:
+            start += p
+            if start > end:
+                raise ValueError("the image ends early")
+            own = data[start >> 3 : (start >> 3) + WINDOW + 8] + bytes(24)
+            ahead = np.lib.stride_tricks.sliding_window_view(np.frombuffer(own, np.uint8), 8).copy().view("<u8").ravel().tolist()
+            start, p, held = start & ~7, start & 7, 8 * min(WINDOW, len(own) - 24)
+        if groups_of is not None:
+            green, red, blue, alpha, far, green_mask, red_mask, blue_mask, alpha_mask, far_mask = tables[groups_of[(at // width >> block) * across + (at % width >> block)]]
+        w = ahead[p >> 3] >> (p & 7)
+        g = green[w & green_mask]
+        k = g & 15
+        if g < 4096:
+            w >>= k
+            r = red[w & red_mask]
+            j = r & 15
+            b = blue[w >> j & blue_mask]
+            p += k + j + (b & 15)
+            pixel = r >> 4 | (g << 4 & 0xFF00) | b >> 4
+            if alpha_mask:
+                a = alpha[ahead[p >> 3] >> (p & 7) & alpha_mask]
+                p += a & 15
+                pixel |= a >> 4 << 24
+            out.append(pixel)
             at += 1
-        elif s < 280:
-            length, d = _extra(bits, s - 256), _extra(bits, far.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
-            if d > at or at + length > len(out):
+            continue
+        s, p = g >> 4, p + k
+        if s < 280:
+            more = max(0, s - 258 >> 1)
+            length = (s - 256 if s < 260 else (2 + (s & 1) << more) + (w >> k & ((1 << more) - 1))) + 1
+            p += more
+            f = far[ahead[p >> 3] >> (p & 7) & far_mask]
+            p, f = p + (f & 15), f >> 4
+            more = max(0, f - 2 >> 1)
+            d = (f if f < 4 else (2 + (f & 1) << more) + (ahead[p >> 3] >> (p & 7) & ((1 << more) - 1))) + 1
+            p += more
+            d = d - 120 if d > 120 else near[d]
+            if d > at or at + length > n:
                 raise ValueError("a reference leaves the image")
-            for _ in range(length):
-                out[at] = out[at - d]
-                at += 1
+            out += out[at - d : at - d + length] if d >= length else (out[at - d :] * (length // d + 1))[:length]
+            at += length
         else:
-            while cached < at:
-                kept[(out[cached] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
-                cached += 1
-            out[at] = kept[s - 280]
+            for pixel in out[cached:]:
+                kept[(pixel * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
+            cached = at
+            out.append(kept[s - 280])
             at += 1
-    return np.array(out, np.int64)
+    bits.at = start + p
+    if bits.at > end:
+        raise ValueError("the image ends early")
+    return out
 
 
 @cache
@@ -182,103 +206,6 @@ def _near(width: int) -> np.ndarray:
     return np.array([0] + [max(1, x + y * width) for x, y in NEAR], np.int64)
 
 
-def _roots(source: np.ndarray) -> np.ndarray:
-    """Follows each place's source to one that is its own."""
-    while (further := source[source]).tobytes() != source.tobytes():
-        source = further
-    return source
-
-
-def _at_once(bits: Bits, width: int, n: int, codes: list[PrefixCode], cache_bits: int) -> np.ndarray | None:
-    """Pixels of one group of codes. Every bit of a chunk is decoded as if a token began there, and then only the chain of
-    tokens from the first one is followed; references and the cache become pointers to earlier pixels. None if the
-    cache is read where nothing was put yet, which the pointers can't tell."""
-    green, red, blue, alpha, far = codes
-    data = np.frombuffer(bits.data, np.uint8)
-    value, source, slot = np.zeros(n, np.int64), np.arange(n), np.full(n, -1)
-    made, simple = 0, True
-    more = lambda prefix: np.where(prefix < 4, 0, (prefix - 2) >> 1)
-    full = lambda prefix, extra: np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << more(prefix)) + extra) + 1
-    while made < n:
-        first, size = bits.at >> 3, min(CHUNK, 8 * (n - made) + 8)
-        if bits.at > 8 * len(data):
-            raise ValueError("the image ends early")
-        raw = np.zeros(size + 16, np.uint32)
-        own = data[first : first + size + 16]
-        raw[: len(own)] = own
-        ahead = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        ahead = (ahead[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.int64)
-        end = 8 * min(size, max(1, len(own)))
-        sees = lambda code, at, ahead=ahead: ahead[at] & ((1 << code.longest) - 1)
-        kind = green.symbols[(found := ahead[:end] & ((1 << green.longest) - 1))]
-        to_red = np.arange(end) + green.taken[found]
-        after = to_red
-        for code in (red, blue, alpha):
-            if code.longest:
-                after = after + code.taken[sees(code, after)]
-        if len(far.symbols) > 1 or cache_bits or green.symbols.max() >= 256:
-            after = np.where(kind < 256, after, to_red)
-            refs = np.flatnonzero((kind >= 256) & (kind < 280))
-            at = to_red[refs] + more(kind[refs] - 256)
-            f = sees(far, at)
-            after[refs] = at + far.taken[f] + more(far.symbols[f])
-        chain, p, left, step = [], bits.at - 8 * first, n - made, memoryview(after)
-        while p < end and len(chain) < left:
-            chain.append(p)
-            p = step[p]
-        chain = np.array(chain, np.int64)
-        s, at = kind[chain], to_red[chain]
-        lengths, is_ref = np.ones(len(s), np.int64), (s >= 256) & (s < 280)
-        if refs_here := bool(is_ref.any()):
-            prefix = s[is_ref] - 256
-            lengths[is_ref] = full(prefix, ahead[at[is_ref]] & ((1 << more(prefix)) - 1))
-        ends = np.cumsum(lengths)
-        if ends[-1] >= left:
-            k = int(np.searchsorted(ends, left))
-            if ends[k] > left:
-                raise ValueError("a reference leaves the image")
-            p = int(after[chain[k]])
-            s, at, lengths, ends, is_ref = (x[: k + 1] for x in (s, at, lengths, ends, is_ref))
-        begin = made + ends - lengths
-        plain = s < 256
-        at_red = at[plain]
-        r, after_red = red.symbols[(f := sees(red, at_red))], at_red + red.taken[f]
-        b, after_blue = blue.symbols[(f := sees(blue, after_red))], after_red + blue.taken[f]
-        value[begin[plain]] = alpha.symbols[sees(alpha, after_blue)] << 24 | r << 16 | s[plain] << 8 | b
-        if refs_here and is_ref.any():
-            prefix, from_ = s[is_ref] - 256, at[is_ref]
-            from_ = from_ + more(prefix)
-            kinds = far.symbols[(f := sees(far, from_))]
-            d = full(kinds, ahead[from_ + far.taken[f]] & ((1 << more(kinds)) - 1))
-            d = np.where(d > 120, d - 120, _near(width)[np.minimum(d, 120)])
-            if (d > begin[is_ref]).any():
-                raise ValueError("a reference leaves the image")
-            n_each = lengths[is_ref]
-            where = np.arange(n_each.sum()) + np.repeat(begin[is_ref] - np.cumsum(n_each) + n_each, n_each)
-            source[where] = where - np.repeat(d, n_each)
-            simple = False
-        if (hits := s >= 280).any():
-            slot[begin[hits]] = s[hits] - 280
-            simple = False
-        made += int(lengths.sum())
-        bits.at = 8 * first + p
-    if bits.at > 8 * len(data):
-        raise ValueError("the image ends early")
-    if simple:
-        return value
-    if (slot >= 0).any():
-        cached = np.flatnonzero(slot >= 0)
-        slots = np.where(slot < 0, (value * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits), slot)[_roots(source)]
-        order = np.argsort(slots, kind="stable")
-        before = np.full(n, -1)
-        same = slots[order[1:]] == slots[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
-        if (before[cached] < 0).any():
-            return None
-        source[cached] = before[cached]
-    return value[_roots(source)]
-
-
 def channels(argb: np.ndarray) -> np.ndarray:
     """(n, 4) samples a, r, g, b of ARGB numbers."""
     return np.stack([(argb >> s) & 255 for s in (24, 16, 8, 0)], -1)
@@ -383,223 +310,6 @@ def decode(data: bytes) -> np.ndarray:
     return channels(argb)[:, [1, 2, 3, 0]].astype(np.uint8).reshape(height, width, 4)
 
 
-def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix symbol, extra bits and their number for lengths or distances from 1 on."""
-    x = values - 1
-    high = np.maximum(np.frexp(x.astype(np.float64))[1] - 1, 1)
-    small = x < 4
-    n = np.where(small, 0, high - 1)
-    return np.where(small, x, 2 * high + (x >> n & 1)), x & ((1 << n) - 1), n
-
-
-def _code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Bits of each symbol in a Huffman code of at most ``limit`` bits; 1 for a symbol that is alone."""
-    out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
-    if len(used) < 2:
-        out[used] = 1
-        return out
-    own = counts[used]
-    while True:
-        order = np.argsort(own, kind="stable")
-        weights, n = own[order].tolist(), len(own)
-        up, leaf, node = [0] * (2 * n - 1), 0, n
-        for made in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= made or weights[leaf] <= weights[node]):
-                    total, up[leaf], leaf = total + weights[leaf], made, leaf + 1
-                else:
-                    total, up[node], node = total + weights[node], made, node + 1
-            weights.append(total)
-        depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[up[i]] + 1
-        if max(depth[:n]) <= limit:
-            out[used[order]] = depth[:n]
-            return out
-        own = (own + 1) >> 1
-
-
-def _code_words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol's bits, the first one lowest, and their number; none for a symbol that is alone."""
-    words, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
-    if len(used) < 2:
-        return words, words
-    used = used[np.argsort(lengths[used], kind="stable")]
-    longest = int(lengths[used[-1]])
-    steps = 1 << (longest - lengths[used])
-    words[used] = _reversal(longest)[np.cumsum(steps) - steps]
-    return words, lengths
-
-
-def _code_fields(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """(value, bits) fields that describe a code."""
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) < 3 and (not used or used[-1] < 256):
-        used = used or [0]
-        return [(1, 1), (len(used) - 1, 1), (1, 1), *[(s, 8) for s in used]]
-    told: list[tuple[int, int, int]] = []
-    for n, run in groupby(lengths.tolist()):
-        left = sum(1 for _ in run)
-        if n:
-            told.append((n, 0, 0))
-            left -= 1
-        while left >= 3:
-            k = min(left, 6 if n else 138)
-            told.append((16, k - 3, 2) if n else (17, k - 3, 3) if k < 11 else (18, k - 11, 7))
-            left -= k
-        told += [(n, 0, 0)] * left
-    coder = _code_lengths(np.bincount([s for s, _, _ in told], minlength=19), 7)
-    words, bits = (x.tolist() for x in _code_words(coder))
-    count = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if coder[s]))
-    out = [(0, 1), (count - 4, 4), *[(int(coder[s]), 3) for s in LENGTH_ORDER[:count]], (0, 1)]
-    for s, extra, k in told:
-        out += [(words[s], bits[s]), (extra, k)]
-    return out
-
-
-def _references(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of runs of at least LEAST_RUN pixels that are as far as before like earlier ones."""
-    n = len(image) - LEAST_RUN + 1
-    if n < 2:
-        return (np.zeros(0, np.int64),) * 3
-    key = np.zeros(n, np.uint64)
-    for k in range(LEAST_RUN):
-        key = (key ^ image[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(key, kind="stable")
-    here, there = order[1:], order[:-1]
-    alike = (key[here] == key[there]) & (here - there <= FURTHEST)
-    for k in range(LEAST_RUN):
-        alike &= image[here + k] == image[there + k]
-    d = np.zeros(n, np.int64)
-    d[here[alike]] = (here - there)[alike]
-    starts = np.flatnonzero((d > 0) & (d != np.concatenate([[0], d[:-1]])))
-    stops = np.flatnonzero((d > 0) & (d != np.concatenate([d[1:], [0]]))) + LEAST_RUN
-    far = d[starts]
-    starts = np.maximum(starts, np.concatenate([[0], stops[:-1]]))
-    held = stops - starts >= LEAST_RUN
-    starts, lengths, far = starts[held], (stops - starts)[held], far[held]
-    parts = (lengths + LONGEST - 1) // LONGEST
-    within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.repeat(starts, parts) + within * LONGEST, np.minimum(np.repeat(lengths, parts) - within * LONGEST, LONGEST), np.repeat(far, parts)
-
-
-def _fields(image: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(values, bits) of an entropy-coded image: references, then the size of the cache that takes the fewest bits."""
-    starts, lengths, far = _references(image)
-    first = np.zeros(len(image) + 1, np.int64)
-    np.add.at(first, starts, 1), np.add.at(first, starts + lengths, -1)
-    free = np.cumsum(first[:-1]) == 0
-    kind = np.where(free, 0, -1)
-    kind[starts] = 1
-    at = np.flatnonzero(kind >= 0)
-    ref, own = kind[at] == 1, image[at]
-    green = (own >> 8) & 255
-    (length_of, length_extra, length_bits), near = _prefixed(lengths), _near(width)
-    short = {int(x): i for i, x in reversed(list(enumerate(near))) if i}
-    far_of, far_extra, far_bits = _prefixed(np.array([short.get(x, x + 120) for x in far.tolist()], np.int64))
-    green[ref] = 256 + length_of
-
-    def tried(cache_bits: int):
-        symbols = green
-        if cache_bits:
-            slots = (image * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
-            order, hit = np.argsort(slots, kind="stable"), np.zeros(len(image), bool)
-            hit[order[1:]] = image[order[1:]] == image[order[:-1]]
-            symbols = np.where(hit[at] & ~ref, 280 + slots[at], green)
-        plain = symbols < 256
-        rest = [np.bincount((own[plain] >> k) & 255, minlength=256) for k in (16, 0, 24)]
-        counts = [np.bincount(symbols, minlength=280 + (cache_bits and 1 << cache_bits)), *rest, np.bincount(far_of, minlength=40)]
-        used = [c[c > 0] for c in counts]
-        return sum(float((c * np.log2(c.sum() / c)).sum()) + 4 * len(c) for c in used), cache_bits, symbols, counts
-
-    _, cache_bits, symbols, counts = min((tried(k) for k in CACHES), key=lambda x: x[0])
-    all_lengths = [_code_lengths(c, 15) for c in counts]
-    head = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
-    head += [(0, 1)] if main else []
-    for own_lengths in all_lengths:
-        head += _code_fields(own_lengths)
-    (gw, gn), (rw, rn), (bw, bn), (aw, an), (fw, fn) = map(_code_words, all_lengths)
-    values, bits = np.zeros((len(at), 4), np.int64), np.zeros((len(at), 4), np.int64)
-    values[:, 0], bits[:, 0] = gw[symbols], gn[symbols]
-    plain = symbols < 256
-    for k, (shift, w, n) in enumerate(((16, rw, rn), (0, bw, bn), (24, aw, an)), 1):
-        sample = (own[plain] >> shift) & 255
-        values[plain, k], bits[plain, k] = w[sample], n[sample]
-    for k, (v, n) in enumerate(((length_extra, length_bits), (fw[far_of], fn[far_of]), (far_extra, far_bits)), 1):
-        values[ref, k], bits[ref, k] = v, n
-    told = np.array(head, np.int64)
-    return np.concatenate([told[:, 0], values.ravel()]), np.concatenate([told[:, 1], bits.ravel()])
-
-
-def _packed(fields: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
-    """The bits of all fields in a row, the lowest of each first."""
-    values, bits = (np.concatenate([f[i] for f in fields]) for i in (0, 1))
-    out, step = [], 1 << 18
-    for a in range(0, len(bits), step):
-        v, n = values[a : a + step], bits[a : a + step]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append((np.repeat(v, n) >> place & 1).astype(np.uint8))
-    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
-
-
-def encode(payload: bytes, width: int = WIDTH) -> bytes:
-    """One lossless WebP whose r, g, b samples, row by row, are ``payload``; with a palette if that takes fewer bits."""
-    r, g, b = np.frombuffer(payload, np.uint8).reshape(-1, 3).astype(np.int64).T
-    image, height = 255 << 24 | r << 16 | g << 8 | b, len(payload) // (3 * width)
-    found = [(_small((0, 1)), _fields(image, width, True))]
-    colours, places = np.unique(image, return_inverse=True)
-    n = len(colours)
-    if n <= 256:
-        pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-        across = (width + (1 << pack) - 1) >> pack
-        wide = np.zeros((height, across << pack), np.int64)
-        wide[:, :width] = places.reshape(height, width)
-        packed = (wide.reshape(height, across, 1 << pack) << np.arange(1 << pack) * (8 >> pack)).sum(-1).ravel()
-        steps = channels(colours)
-        steps[1:] = (steps[1:] - steps[:-1]) & 255
-        found.append((_small((1, 1), (3, 2), (n - 1, 8)), _fields(numbers(steps), n, False), _small((0, 1)), _fields(packed << 8, across, True)))
-    best = min(found, key=lambda fs: sum(int(f[1].sum()) for f in fs))
-    body = b"\x2f" + _packed([_small((width - 1, 14), (height - 1, 14), (0, 1), (0, 3)), *best])
-    pad = b"\0" * (len(body) % 2)
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
-
-
-def _small(*fields: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    v, n = np.array(fields, np.int64).T
-    return v, n
-
-
-def store(payload: bytes) -> bytes:
-    """A payload of a multiple of UNIT bytes as one image, or several in a row if it exceeds FRAME bytes."""
-    return b"".join(encode(payload[a : a + FRAME]) for a in range(0, len(payload), FRAME))
-
-
-def load(media: bytes) -> np.ndarray:
-    """The pixels (rows, WIDTH, 4) of the images that ``store`` wrote."""
-    images, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        images.append(decode(media[at : at + size]))
-        at += size
-    return np.concatenate(images)
-
-
-def padded(text: str | None) -> tuple[bytes, int]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw + b" " * ((-len(raw)) % UNIT or (0 if raw else UNIT)), len(raw)
-
-
-def described(pixels: np.ndarray) -> str:
-    """Height, and each channel's mean, its standard deviation and the mean step from row to row."""
-    rgb = pixels[..., :3].reshape(-1, 3)
-    mean = rgb.mean(0)
-    deviation = np.sqrt(np.maximum(np.square(rgb, dtype=np.float32).mean(0, dtype=np.float64) - mean**2, 0))
-    steps = np.abs(np.diff(pixels[..., 1].astype(np.int16), axis=0)).mean() if len(pixels) > 1 else 0.0
-    return f"h={len(pixels)};mean={','.join(f'{x:.4f}' for x in mean)};std={','.join(f'{x:.4f}' for x in deviation)};step={steps:.4f}"
-
-
 def pixel_arrays(images: DataFrame, column: str = "image") -> DataFrame:
     """``images`` with height, width and pixels (binary, r g b a row by row) of the lossless WebP in ``column``."""
 
@@ -615,27 +325,5 @@ def pixel_arrays(images: DataFrame, column: str = "image") -> DataFrame:
         return pd.DataFrame(out, columns=["height", "width", "pixels"]).astype({"height": "Int32", "width": "Int32"})
 
     kept = [c for c in images.columns if c not in ("height", "width", "pixels")]
-    return images.select(*kept, read(column).alias("_p")).select(*kept, "_p.*")
-
-
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for every row."""
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    def keep(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            out = []
-            for text in s.tolist():
-                payload, n = padded(text)
-                media = store(payload)
-                pixels = load(media)
-                read = np.ascontiguousarray(pixels[..., :3]).tobytes()
-                out.append((n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(media), hashlib.sha256(media).hexdigest(), described(pixels)))
-            yield pd.DataFrame(out, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return docs.select("doc_id", keep("text").alias("k")).select("doc_id", "k.*")
-
-
-def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_texts(documents(spark, sf_dir))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("r")
+    return images.select(row, read(F.col(f"`{column}`")).alias("p")).select(*[F.col(f"r.`{c}`").alias(c) for c in kept], "p.*")

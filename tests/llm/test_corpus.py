@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peerlens.llm import components, langid, letters, linededup, mixing, neardup, packing, syncmers, tokens, toxicity, warc, webp
+from peerlens.llm import components, langid, letters, linededup, mixing, neardup, packing, syncmers, tokens, toxicity, warc, webp, webpbatch, webpstore
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LINE = "A line that many documents have in common."
@@ -485,34 +485,97 @@ def test_webp_palette():
 
 
 def test_webp_stores_texts(spark, docs, empty):
-    got = {r["doc_id"]: r for r in webp.stored_texts(docs).collect()}
+    got = {r["doc_id"]: r for r in webpstore.stored_texts(docs).collect()}
     for d, t, *_ in awkward():
         raw = (t or "").encode()
         own = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
         r = got[d]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]))
-    assert webp.stored_texts(empty).count() == 0
-    blobs = spark.createDataFrame([(bytearray(webp.encode(bytes(range(192)))),), (bytearray(b"RIFFxxxx"),), (None,)], "image binary")
+    assert webpstore.stored_texts(empty).count() == 0
+    blobs = spark.createDataFrame([(bytearray(webpstore.store([bytes(range(192))])[0]),), (bytearray(b"RIFFxxxx"),), (None,)], "image binary")
     assert [r["height"] for r in webp.pixel_arrays(blobs).collect()] == [1, None, None]
-    big = bytes(192 * (webp.MAX_SIDE + 3))
-    assert len(webp.load(webp.store(big))) == webp.MAX_SIDE + 3
+    dotted = blobs.select(F.col("image").alias("a.b"), F.lit(3).alias("width"), F.lit(4).alias("x.y"))
+    got = webp.pixel_arrays(dotted, "a.b").collect()
+    assert [r["x.y"] for r in got] == [4, 4, 4] and got[0]["width"] == 64 and len(got[0]["pixels"]) == 256
+    big = bytes(192 * 133)
+    assert len(webpstore.load(webpstore.store([big]))[0]) == 133
 
 
-def test_webp_stored_texts_are_coded(monkeypatch):
+def payloads():
     rng = np.random.default_rng(4)
-    payloads = [(prose(5, 900) + " " * 192)[: 192 * 20].encode(), (prose(6, 40)[:192] * 9).encode(), rng.integers(0, 256, 192 * 9, dtype=np.uint8).tobytes(), rng.integers(0, 3, 1920, dtype=np.uint8).tobytes(), bytes(192 * 5000)]
-    plain, kinds, palettes = webp._at_once, [], []
-    undo = webp.undo_palette
-    monkeypatch.setattr(webp, "undo_palette", lambda *a: palettes.append(1) or undo(*a))
-    monkeypatch.setattr(webp, "_at_once", lambda bits, width, n, codes, cache_bits: kinds.append((cache_bits > 0, bool(((s := codes[0].symbols) >= 256).any()), len(s) > 256)) or plain(bits, width, n, codes, cache_bits))
-    stored = [webp.store(p) for p in payloads]
-    assert [webp.load(m)[..., :3].tobytes() == p for m, p in zip(stored, payloads, strict=True)] == [True] * len(payloads)
-    assert [len(m) < len(p) for m, p in zip(stored, payloads, strict=True)] == [True, True, False, True, True]
-    assert palettes and all(any(k[i] for k in kinds) for i in range(3))
-    monkeypatch.setattr(webp, "_at_once", lambda *a: None)  # one pixel after the other gives the same
-    assert [webp.load(m)[..., :3].tobytes() == p for m, p in zip(stored, payloads, strict=True)] == [True] * len(payloads)
+    out = [(prose(5, 9000) + " " * 192)[: 192 * 150].encode(), (prose(6, 40)[:192] * 9).encode(), rng.integers(0, 256, 192 * 9, dtype=np.uint8).tobytes()]
+    out += [rng.integers(0, n, 192 * 5, dtype=np.uint8).tobytes() for n in (1, 2, 3, 5, 40)] + [bytes(192 * 500), b" " * 192, bytes(range(192)) * 3]
+    return out + [(prose(7 + i, 10 + 40 * i)[: 192 * (1 + i)] + " " * 192 * (1 + i))[: 192 * (1 + i)].encode() for i in range(12)]
+
+
+def test_webp_stored_texts_are_coded(monkeypatch):
+    """The query's own files hold coded lengths, references, a cache and a palette, and are read by what decodes these."""
+    seen, tokens_, palette, lengths = set(), webpbatch.read_tokens, webpbatch.undo_palette, webpbatch.read_lengths
+
+    def reading(stream, width, sizes, cache_bits):
+        seen.add("cache" if (cache_bits > 0).any() else "no cache")
+        return tokens_(stream, width, sizes, cache_bits)
+
+    def number(stream, at, prefix):
+        seen.add("reference")
+        return whole(stream, at, prefix)
+
+    def coded(stream, sizes):
+        found = lengths(stream, sizes)
+        seen.add("codes" if ((found > 0).sum(1) > 2).any() else "few symbols")
+        return found
+
+    whole = webpbatch._number
+    monkeypatch.setattr(webpbatch, "read_tokens", reading)
+    monkeypatch.setattr(webpbatch, "_number", number)
+    monkeypatch.setattr(webpbatch, "read_lengths", coded)
+    monkeypatch.setattr(webpbatch, "undo_palette", lambda *a: seen.add("palette") or palette(*a))
+    own = payloads()
+    stored = webpstore.store(own)
+    assert [p[..., :3].tobytes() for p in webpstore.load(stored)] == own
+    assert {"codes", "cache", "reference", "palette"} <= seen
+    assert sum(map(len, stored)) < sum(map(len, own))
+
+
+def test_webp_batches_equal_single_images():
+    own = payloads()
+    stored = webpstore.store(own)
+    assert [webpstore.store([p])[0] for p in own] == stored  # what else is in a batch changes nothing
+    for p, media in zip(own, stored, strict=True):
+        at, rows = 0, []
+        while at < len(media):
+            size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+            rows.append(webp.decode(media[at : at + size]))
+            at += size
+        assert np.concatenate(rows)[..., :3].tobytes() == p
+    with pytest.raises(ValueError):
+        webp.decode(stored[0][: len(stored[0]) // 40])
+    cut = stored[0][:20] + stored[0][20 : 20 + 300]
     with pytest.raises(ValueError):
-        webp.decode(stored[0][: len(stored[0]) // 2])
+        webpbatch.read([cut])
+
+
+def test_webp_code_lengths_are_optimal_and_bounded():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 50, (40, 60)) * (rng.random((40, 60)) < 0.5)
+    counts[0], counts[1], counts[2, :] = 0, 0, 0
+    counts[1, 7] = 5
+    counts[3, :40] = 2 ** np.arange(40)
+    for limit in (7, 15):
+        lengths = webpbatch.code_lengths(counts, limit)
+        assert ((lengths > 0) == (counts > 0)).all() and lengths.max() <= limit
+        for c, n in zip(counts.tolist(), lengths.tolist(), strict=True):
+            used = [(x, k) for x, k in zip(c, n, strict=True) if x]
+            if len(used) < 2:
+                continue
+            assert sum(2.0**-k for _, k in used) == 1.0
+            heap = sorted(x for x, _ in used)
+            cost = 0
+            while len(heap) > 1:  # the least total of any code is the sum of all merged weights
+                a, b, *rest = heap
+                cost, heap = cost + a + b, sorted([*rest, a + b])
+            got = sum(x * k for x, k in used)
+            assert got >= cost and (got == cost or max(k for _, k in used) >= limit - 2)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
