@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,21 +24,30 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Hands texts to Python in batches of a few megabytes, as one row may be long."""
+    """Hands texts to Python in batches of a few megabytes, as one row may be long.
+
+    Spark reads these settings when a job runs, which is after an operator has returned, so they hold for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder beside the warehouse
+    is set in local mode; on a cluster it is an error, as a folder of one machine would split the data."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: What ``materialise`` has written since the innermost ``tidied`` began.
+_written: list[list[DataFrame]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage durably."""
     spark = df.sparkSession
@@ -45,6 +55,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _written:
+        _written[-1].append(out)
     return out
 
 
@@ -58,6 +70,66 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def tidied() -> Iterator[None]:
+    """Deletes at its end all tables that were materialised inside. What is to be read later is written before or after."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        discard(*_written.pop())
+
+
+#: The parts that the rows of one key are dealt to where they meet what was aggregated over that key.
+SALTS = 32
+
+
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def over_keys(rows: DataFrame, keys: Sequence[str], partial: Sequence[Column], final: Sequence[Column]) -> DataFrame:
+    """Aggregates of ``rows`` (with a column _salt) over ``keys``, with the array _salts of the salts that a key's rows have.
+
+    ``partial`` aggregates by key and salt and ``final`` these over the key, so no key's rows meet in one task. A join on keys
+    and _salt, after ``F.explode("_salts")``, brings the result back to the rows, a hot key's in SALTS parts."""
+    parts = rows.groupBy(*keys, "_salt").agg(*partial)
+    return parts.groupBy(*keys).agg(*final, F.collect_list("_salt").alias("_salts"))
+
+
+#: Bits of the filter that marks documents whose text is fetched; it takes 1 MB at most, whatever the corpus.
+MARK_BITS = 1 << 23
+
+
+def hits(rows: DataFrame, node: Column, nodes: DataFrame, name: str = "_hit") -> DataFrame:
+    """``rows`` with a column that is false where ``node`` is surely none of the column node of ``nodes``.
+
+    A bitmap of hashed nodes, of at most MARK_BITS bits, is broadcast. If it fills up, all rows are hits."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS)) + 1
+    maps = nodes.select(place(F.col("node")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(node)) == F.col("_bucket"), "left")
+    at = F.bitmap_bit_position(place(node))
+    byte = F.conv(F.hex(F.col("_bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1, F.lit(False)) & node.isNotNull()
+    return found.withColumn(name, hit).drop("_bucket", "_bits")
+
+
+def marked(docs: DataFrame, node: Column, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``node`` may be one of ``nodes``, so that most texts that nobody asks for aren't shuffled;
+    which of them are is for a join to tell."""
+    return hits(docs, node, nodes).where("_hit").drop("_hit")
+
+
+def packed_rows(docs: DataFrame) -> Column:
+    """A row of ``docs`` as a struct, so that further columns can stand beside it whatever its own are named."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unpacked(docs: DataFrame, row: str, **new: Column) -> list[Column]:
+    """The columns of ``docs`` from the struct ``row``, some of them replaced."""
+    return [new[c].alias(c) if c in new else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

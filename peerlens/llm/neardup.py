@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, runs, small_batches
+from .common import SALTS, documents, hits, marked, materialise, over_keys, packed_rows, runs, salt, small_batches, unpacked
 from .components import components
 
 WORDS = 5
@@ -178,9 +178,11 @@ def told(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
 def cut(families: DataFrame, weight: Column, bound: int) -> DataFrame:
     """(node, family, block, blocks): each family cut into blocks of about ``bound`` by a hash of its members.
 
-    This is done before members get their payload, so that the rows that one family's key deals to one task are small."""
-    blocks = families.groupBy("family").agg(F.ceil(F.sum(weight) / bound).cast("int").alias("blocks"))
-    return families.join(blocks, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    This is done before members get their payload, and a hot family's rows are dealt to several tasks."""
+    salted = families.select("node", "family", weight.alias("_weight"), salt("node").alias("_salt"))
+    blocks = over_keys(salted, ["family"], [F.sum("_weight").alias("w")], [F.ceil(F.sum("w") / bound).cast("int").alias("blocks")])
+    found = salted.join(blocks.select("family", "blocks", F.explode("_salts").alias("_salt")), ["family", "_salt"])
+    return found.select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
 
 
 def meet(members: DataFrame, payload: str, sets: bool) -> DataFrame:
@@ -207,37 +209,23 @@ def meet(members: DataFrame, payload: str, sets: bool) -> DataFrame:
     return pairs.mapInPandas(compare, "a long, b long")
 
 
-#: Bits of the filter that marks documents whose text is fetched; it takes 1 MB at most, whatever the corpus.
-MARK_BITS = 1 << 23
-
-
-def marked(docs: DataFrame, node: Column, nodes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``node`` may be one of ``nodes``; which of them are is for a join to tell.
-
-    A bitmap of hashed nodes, of at most MARK_BITS bits, is broadcast, so that most texts that nobody asks for aren't
-    shuffled. If it fills up, it lets all rows pass."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS)) + 1
-    maps = nodes.select(place(F.col("node")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    found = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place(node)) == F.col("_bucket"))
-    at = F.bitmap_bit_position(place(node))
-    byte = F.conv(F.hex(F.col("_bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return found.where(F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
-
-
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     small_batches(docs.sparkSession)
     sketch = F.pandas_udf(_sketch, "n long, d1 long, d2 long, sig binary")
     packed_set = F.pandas_udf(_packed_set, "binary")
     key = F.col("doc_id").cast("long")
-    rows = materialise(docs.select(key.alias("doc_id"), sketch("text").alias("s")).select("doc_id", "s.*"), "sketches")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    rows = docs.select(key.alias("doc_id"), sketch("text").alias("s")).select("doc_id", "s.*", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
+    rows = materialise(rows, "sketches")
+    one = [F.min("node").alias("node"), F.first("sig").alias("sig")]
+    classes = over_keys(rows.where("n > 0 AND doc_id IS NOT NULL").withColumnRenamed("doc_id", "node"), ["n", "d1", "d2"], one, one)
     classes = materialise(classes, "classes")
 
     width = 2 * ROWS
-    bands = classes.select("node", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")).alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("many"), F.min("node").alias("low")).where("many > 1")
-    candidates = bands.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    bands = classes.select("node", salt("node").alias("_salt"), F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")).alias("bucket"))
+    buckets = over_keys(bands, ["bucket"], [F.count("*").alias("many"), F.min("node").alias("low")], [F.sum("many").alias("many"), F.min("low").alias("low")])
+    buckets = buckets.where("many > 1").select("bucket", "low", F.explode("_salts").alias("_salt"))
+    candidates = bands.join(buckets, ["bucket", "_salt"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
 
     families = components(candidates).withColumnRenamed("component", "family")
     members = classes.select("node", "sig").join(cut(families, F.lit(1), BLOCK_MEMBERS), "node")
@@ -248,16 +236,20 @@ def link(docs: DataFrame) -> DataFrame:
     full = materialise(texts.select("family", "block", "blocks", "node", packed_set("text").alias("set")), "sets")
     links = components(meet(full, "set", True))
 
-    found = classes.select("n", "d1", "d2", "node").join(links, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("_component"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
+    found = classes.select("n", "d1", "d2", "node", "_salts").join(links, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("_component"), F.explode("_salts").alias("_salt"))
+    out = rows.select("doc_id", "n", "d1", "d2", "_salt").join(found, ["n", "d1", "d2", "_salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("_component")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component, with all their columns."""
-    gone = link(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` whose document is the first of its component, with all their columns. Only rows that a bitmap
+    takes for others are shuffled."""
+    gone = link(docs).where(~F.col("kept")).select(F.col("doc_id").alias("node")).distinct()
+    gone = materialise(gone, "gone")
+    rows = hits(docs.select(packed_rows(docs).alias("r"), F.col("doc_id").cast("long").alias("node")), F.col("node"), gone)
+    kept = rows.where("NOT _hit").select("r").union(rows.where("_hit").join(gone, "node", "left_anti").select("r"))
+    return kept.select(*unpacked(docs, "r"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
