@@ -3,8 +3,10 @@
 Every document's lines become (hash, document, positions). These are range-partitioned by hash and then document, from
 the largest id down, and sorted the same way, so that a key's first occurrence is in the document that keeps it and a
 very common key spreads over many partitions. Each partition is read as a stream: groups that lie inside it are decided
-on the way; of a group that reaches over a partition's edge the rows are passed on with a count, and those counts, two a
-partition at most, decide them. Only dropped positions move on; each document gets them as one compressed bitmap.
+on the way; of a group that reaches over a partition's edge the rows are passed on with a count and its outermost documents,
+and those counts, two a partition at most, decide them; a document on both sides of an edge counts once. Only dropped
+positions move on; each document gets them as one compressed bitmap: the lengths of the runs of lines that stay and that
+go in turn, from one that stays (0 if the first line goes). Texts of documents that lose nothing aren't shuffled.
 
 Defined results: a null or empty text is one empty line; lines whose key is shorter than ``MIN_CHARS`` code points always
 stay; rows with a null doc_id neither count nor lose lines; rows that share a doc_id are one document when documents are
@@ -14,15 +16,14 @@ counted, and each row loses its own lines; further columns are ignored, or kept
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, shuffle_parts, small_batches
+from .common import discard, documents, hits, materialise, packed_rows, shuffle_parts, small_batches, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -60,16 +61,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(split, "h1 long, h2 long, doc_id long, row long, places binary")
 
 
-def row_key():
+def row_key(text: Column | None = None) -> Column:
     """Tells rows of one doc_id apart by their text."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
 
 
 class Stream:
     """Decides the groups of one sorted partition while its rows pass by.
 
-    Yields rows of kind ``drop`` (decided), ``open`` (for the counts of all partitions to decide) and ``edge`` (documents
-    and largest doc_id of the first and the last group, as either may reach over the partition's edge).
+    Yields rows of kind ``drop`` (decided), ``open`` (for the counts of all partitions to decide) and ``edge`` (of the first
+    and the last group, as either may reach over the partition's edge, the documents, the largest doc_id and as ``row`` the
+    smallest one).
     """
 
     columns = ["kind", "h1", "h2", "doc_id", "row", "places", "n"]
@@ -81,7 +83,7 @@ class Stream:
         self.waiting: list[pd.DataFrame] = []  # its rows while fewer than MIN_DOCS documents are known
 
     def edge(self) -> pd.DataFrame:
-        return pd.DataFrame([("edge", *self.key, self.top, 0, None, self.n)], columns=self.columns)
+        return pd.DataFrame([("edge", *self.key, self.top, int(self.last_doc), None, self.n)], columns=self.columns)
 
     def begin(self, key: tuple[int, int], rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if self.key is not None and self.first:
@@ -142,15 +144,20 @@ def dropped_places(docs: DataFrame) -> DataFrame:
     """(doc_id, row, places): for each key and document row the line numbers that go."""
     parts = shuffle_parts(docs.sparkSession)
     order = [F.col("h1"), F.col("h2"), F.desc("doc_id"), F.col("row")]
-    dealt = occurrences(docs).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = materialise(occurrences(docs), "lines")  # read once for the bounds of the ranges and once to be dealt to them
+    dealt = held.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = materialise(dealt.mapInPandas(decide, "kind string, h1 long, h2 long, doc_id long, row long, places binary, n long"), "line-groups")
+    discard(held)
     #: two rows a partition at most
-    edges = found.where("kind = 'edge'").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("keeper"))
+    along = Window.partitionBy("h1", "h2").orderBy(F.desc("doc_id"), F.desc("row"))
+    twice = F.coalesce((F.lag("row").over(along) == F.col("doc_id")).cast("int"), F.lit(0))
+    edges = found.where("kind = 'edge'").withColumn("twice", twice)
+    edges = edges.groupBy("h1", "h2").agg(F.sum(F.col("n") - F.col("twice")).alias("docs"), F.max("doc_id").alias("keeper"))
     late = found.where("kind = 'open'").join(F.broadcast(edges.where(F.col("docs") >= MIN_DOCS)), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     return found.where("kind = 'drop'").select("doc_id", "row", "places").unionAll(late.select("doc_id", "row", "places"))
 
 
-def bitmaps(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, drops): the packed line numbers that each document row loses; rows that lose none are absent."""
     return dropped_places(docs).groupBy("doc_id", "row").agg(F.collect_list("places").alias("drops"))
 
@@ -162,24 +169,45 @@ def keep_mask(n_lines: int, drops: list[bytes] | None) -> np.ndarray:
     return keep
 
 
+def keep_runs(keep: np.ndarray) -> str:
+    """The lengths of the runs of kept and dropped lines in turn, from a kept one."""
+    cuts = np.flatnonzero(keep[1:] != keep[:-1]) + 1
+    sizes = np.diff(np.concatenate([[0], cuts, [len(keep)]])).tolist()
+    return ",".join(map(str, sizes if keep[0] else [0, *sizes]))
+
+
+def mask_of_runs(runs: str) -> np.ndarray:
+    """A bit a line from ``keep_runs``."""
+    sizes = [int(x) for x in runs.split(",")]
+    return np.repeat(np.arange(len(sizes)) % 2 == 0, sizes)
+
+
 def _joined(docs: DataFrame) -> DataFrame:
-    """(r, drops): each row of ``docs`` as a struct; the row key is worked out anew, as it is a function of the text."""
-    found = bitmaps(docs)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"))
-    return keyed.join(found, ["doc_id", "row"], "left").select("r", "drops")
+    """(r, drops): each row of ``docs`` as a struct; the row key is worked out anew, as it is a function of the text. Only
+    rows that a bitmap takes for ones that lose lines are shuffled."""
+    found = materialise(dropped_lines(docs), "drops")
+    keyed = hits(docs.select(packed_rows(docs).alias("r"), F.col("doc_id").cast("long").alias("doc_id")), F.col("doc_id"), found.select(F.col("doc_id").alias("node")))
+    asked = keyed.where("_hit").select("r", "doc_id", row_key(F.col("r.text")).alias("row"))
+    rest = keyed.where("NOT _hit").select("r", F.lit(None).cast("array<binary>").alias("drops"))
+    return rest.union(asked.join(found, ["doc_id", "row"], "left").select("r", "drops"))
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256, keep_bitmap) for every row; the bitmap is zlib-compressed, a bit a line."""
+    """(doc_id, n_lines, n_dropped, kept_sha256, keep_bitmap) for every row."""
 
-    @F.pandas_udf("n_lines long, n_dropped long, kept_sha256 string, keep_bitmap binary")
+    @F.pandas_udf("n_lines long, n_dropped long, kept_sha256 string, keep_bitmap string")
     def fold(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
         out = []
         for text, d in zip(texts.tolist(), drops.tolist(), strict=True):
-            lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            if d is None:
+                n = raw.count(b"\n") + 1
+                out.append((n, 0, hashlib.sha256(raw).hexdigest(), str(n)))
+                continue
+            lines = raw.split(b"\n")
             keep = keep_mask(len(lines), d)
             kept = b"\n".join(x for x, k in zip(lines, keep.tolist(), strict=True) if k)
-            out.append((len(lines), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), zlib.compress(np.packbits(keep).tobytes(), 1)))
+            out.append((len(lines), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), keep_runs(keep)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_sha256", "keep_bitmap"])
 
     return _joined(docs.select("doc_id", "text")).select("r.doc_id", fold("r.text", "drops").alias("f")).select("doc_id", "f.*")
@@ -199,15 +227,14 @@ def apply(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text = F.when(F.col("drops").isNull(), F.col("r.text")).otherwise(cut("r.text", "drops"))
-    out = _joined(docs).select("r", text.alias("text"))
-    new = {"text": F.col("text")}
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return _joined(docs).select("r", text.alias("_text")).select(*unpacked(docs, "r", **new))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_bitmaps(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return keep_bitmaps(documents(spark, sf_dir))
 
 
 ORACLE = r"""
@@ -223,8 +250,13 @@ WITH lines AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
 ), marked AS (
   SELECT keyed.*, common.k IS NOT NULL AND keyed.doc_id <> common.keeper AS gone FROM keyed LEFT JOIN common ON keyed.k = common.k
+), islands AS (
+  SELECT doc_id, gone, min(place) AS first, count(*) AS many
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id, gone ORDER BY place) AS island FROM marked) GROUP BY doc_id, gone, island
+), bits AS (
+  SELECT doc_id, CASE WHEN bool_or(gone AND first = 1) THEN '0,' ELSE '' END || string_agg(many::VARCHAR, ',' ORDER BY first) AS keep_bitmap FROM islands GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+SELECT m.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep_bitmap) AS keep_bitmap
+FROM marked m JOIN bits b ON m.doc_id IS NOT DISTINCT FROM b.doc_id GROUP BY m.doc_id
 """
