@@ -2,12 +2,14 @@
 
 Toxic and ordinary training texts each get an interpolated Kneser-Ney model of order ``ORDER`` over letter symbols. The
 highest order is counted by class; all lower orders are the continuation counts of both classes together, so that what is
-rare in one class is smoothed by what both share. A text's score compares the two log-likelihoods per symbol. The sum of
-their plain differences over a text's symbols divided by their number, as a signed square root, is ``llr``; a logistic curve over it is fitted on a fold of the training
-rows that the models have not seen.
+rare in one class is smoothed by what both share. A text's score compares the two log-likelihoods per symbol: ``llr`` is the
+sum of their differences over a text's symbols divided by their number. A logistic curve turns it into a score.
 
-With 64 symbols and order 4 there are at most 2**24 n-grams, however large the corpus, so the model that is sent to the
-executors has a fixed bound; its counts are taken over all labelled training rows.
+All labelled rows that may be learnt from are counted, and the table of n-grams grows with them: with 512 symbols there
+are 2**36 possible ones. The curve is fitted to the same rows, each scored by a model that leaves out its third of them;
+the model that scores documents counts all thirds. Counts, smoothing and ratios are joins and aggregates over tables of
+n-grams. If the ratios are at most ``MAX_BROADCAST`` rows they are sent to the tasks, and otherwise the documents' n-grams
+are joined to them.
 
 Defined results: a null or letterless text has llr 0; without training rows of both classes every llr is 0 and the score
 is the base rate; a null doc_id counts as not held out; label rows that are null or other than 0 and 1 are not learnt
@@ -21,108 +23,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, runs, small_batches
-from .letters import ngram_codes
-from .neardup import marked
+from .common import SALTS, documents, held_out, marked, materialise, packed_rows, runs, salt, small_batches, unpacked
+from .letters import Dense, counted, ngram_codes, symbols_of
 
-BITS = 6
+BITS = 9
 ORDER = 4
 DISCOUNT = 0.75
+#: Remainders of crc32 that are learnt from; in place of the remainder that is held out stands the model of all of them.
+FOLDS = (0, 1, 3)
+ALL = 2
+#: The most rows of a model that are sent to the tasks: 12 bytes a row.
+MAX_BROADCAST = 1 << 22
 #: The calibration histogram: bins of llr over -SPAN to SPAN.
-BINS = 2000
-SPAN = 1.0
+BINS = 4000
+SPAN = 0.5
 THRESHOLD = 0.3
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, fold) of all labelled rows that may be learnt from, written once."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("node"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(F.col("node").isNotNull())
+    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = marked(texts, F.col("node"), known)  # texts without a label mostly aren't shuffled
+    fold = (F.crc32(F.col("node").cast("string").cast("binary")) % 4).cast("int")
+    return materialise(own.join(known, "node").select("text", "toxic", fold.alias("fold")), "labelled")
+
+
 def count_ngrams(rows: DataFrame) -> DataFrame:
-    """(code, ordinary, toxic): how often each n-gram occurs in texts of either class. ``rows``: text, toxic."""
+    """(fold, code, ordinary, toxic): how often each n-gram occurs in texts of either class. ``rows``: text, toxic, fold."""
+    keys = ["fold", "code"]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
-            for y, part in pdf.groupby("toxic"):
+            for (fold, y), part in pdf.groupby(["fold", "toxic"]):
                 texts = part["text"].tolist()
                 for a, b in runs(texts, 1 << 22):
-                    codes, n = np.unique(ngram_codes(texts[a:b], BITS, ORDER)[0], return_counts=True)
-                    held.append(pd.DataFrame({"code": codes.astype(np.int64), "ordinary": n * (y == 0), "toxic": n * (y == 1)}))
+                    codes, n = counted(ngram_codes(texts[a:b], BITS, ORDER)[0], BITS, ORDER)
+                    held.append(pd.DataFrame({"fold": fold, "code": codes, "ordinary": n * (y == 0), "toxic": n * (y == 1)}))
                     if sum(map(len, held)) > 2_000_000:
-                        held = [pd.concat(held).groupby("code", as_index=False).sum()]
+                        held = [pd.concat(held).groupby(keys, as_index=False).sum()]
+                        if len(held[0]) > 1_000_000:
+                            yield held.pop()
         if held:
-            yield pd.concat(held).groupby("code", as_index=False).sum()
+            yield pd.concat(held).groupby(keys, as_index=False).sum()
+
+    return rows.mapInPandas(partial, "fold int, code long, ordinary long, toxic long").groupBy(*keys).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
 
-    return rows.mapInPandas(partial, "code long, ordinary long, toxic long").groupBy("code").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+def _suffix(code: Column, symbols: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << BITS * symbols) - 1))
 
 
-def _shared(codes: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probability of each code's last symbol after the symbols but the first, from both classes' n-gram types."""
-    levels, now = [], np.unique(codes)
+def shared(grams: DataFrame) -> DataFrame:
+    """(model, gram, below): the probability, from both classes' n-gram types, of the last symbol of each gram of ORDER - 1 symbols
+    after the others. ``grams``: model, code."""
+    levels, now = {}, grams.select("model", F.col("code").alias("gram"))
     for k in range(ORDER - 1, 0, -1):
-        now, types = np.unique(now & ((1 << BITS * k) - 1), return_counts=True)
-        levels.append((now, types))
-    below = np.full(len(levels[-1][0]), 2.0**-BITS)
-    for k, (grams, types) in zip(range(1, ORDER), reversed(levels), strict=True):
-        contexts, of = np.unique(grams >> BITS, return_inverse=True)
-        total, kinds = np.bincount(of, types), np.bincount(of)
-        if k > 1:
-            below = prob[np.searchsorted(shorter, grams & ((1 << BITS * (k - 1)) - 1))]
-        prob = (types - DISCOUNT + DISCOUNT * kinds[of] * below) / total[of]
-        shorter = grams
-    return prob[np.searchsorted(shorter, codes & ((1 << BITS * (ORDER - 1)) - 1))]
-
-
-def log_ratios(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log of P(symbol | context, toxic) over P(symbol | context, ordinary) of each n-gram, the contexts, and the log
-    ratio in each context of an n-gram that neither class has, in which the shared probability cancels."""
-    contexts, of = np.unique(codes >> BITS, return_inverse=True)
-    shared, logs, rest = _shared(codes), [], []
-    for c in (toxic, ordinary):
-        total, kinds = np.bincount(of, c), np.bincount(of, c > 0)
-        left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[of] + left[of] * shared))
-        rest.append(np.log(left))
-    return logs[0] - logs[1], contexts, rest[0] - rest[1]
-
-
-def scorer(spark: SparkSession, counts: DataFrame):
-    """A pandas UDF from text to llr. At most 2**24 counts come to the driver, the number of possible n-grams."""
-    model = counts.toPandas().sort_values("code")
-    codes = model["code"].to_numpy(np.int64)
-    o, t = (model[c].to_numpy(np.float64) for c in ("ordinary", "toxic"))
-    both = len(codes) and o.sum() > 0 and t.sum() > 0
-    if both:
-        ratio, contexts, rest = log_ratios(codes, o, t)
-        sent = spark.sparkContext.broadcast((codes.astype(np.uint32), ratio.astype(np.float32), contexts, rest.astype(np.float32)))
+        now = now.groupBy("model", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("types"))
+        levels[k] = now
+    found = None
+    for k in range(1, ORDER):
+        w = Window.partitionBy("model", F.shiftright("gram", BITS))  # a context has as many rows as there are symbols at most
+        rows = levels[k].select("model", "gram", "types", F.sum("types").over(w).alias("total"), F.count("*").over(w).alias("kinds"))
+        if found is None:
+            rows = rows.withColumn("below", F.lit(2.0**-BITS))
+        else:
+            rows = rows.withColumn("suffix", _suffix(F.col("gram"), k - 1)).join(found.withColumnRenamed("gram", "suffix"), ["model", "suffix"])
+        found = rows.select("model", "gram", ((F.col("types") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")).alias("below"))
+    return found
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """(model, code, value): the log of P(symbol | context, toxic) over P(symbol | context, ordinary) of each n-gram; and at
+    code -1 - context the log ratio in that context of an n-gram that neither class has, in which the shared probability
+    cancels. In a context that neither class has the ratio is 0. Model h counts all folds but h, model ALL counts all.
+    Models without both classes have no rows. ``counts``: what ``count_ngrams`` gives."""
+    models = F.array_compact(F.array(F.lit(ALL), *[F.when(F.col("fold") != h, F.lit(h)) for h in FOLDS]))
+    own = counts.select(F.explode(models).alias("model"), "code", "ordinary", "toxic").groupBy("model", "code").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    own = materialise(own, "ngrams")
+    whole = own.groupBy("model").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).where("o > 0 AND t > 0").select("model")
+    own = own.join(F.broadcast(whole), "model").withColumn("gram", _suffix(F.col("code"), ORDER - 1))  # one row a model
+    context = F.shiftright("code", BITS)
+    w, sides = Window.partitionBy("model", context), ("toxic", "ordinary")
+    rows = own.join(shared(own), ["model", "gram"])
+    rows = rows.select("*", *[F.sum(c).over(w).alias(f"{c}_total") for c in sides], *[F.count_if(F.col(c) > 0).over(w).alias(f"{c}_kinds") for c in sides], F.row_number().over(w.orderBy("code")).alias("place"))
+    left = {c: F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(F.lit(1.0)) for c in sides}
+    p = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{c}_total"), F.lit(1)) + left[c] * F.col("below") for c in sides}
+    gram = F.struct(F.col("code"), F.log(p["toxic"] / p["ordinary"]).alias("value"))
+    rest = F.when(F.col("place") == 1, F.struct((-1 - context).alias("code"), F.log(left["toxic"] / left["ordinary"]).alias("value")))
+    return rows.select("model", F.explode(F.array_compact(F.array(gram, rest))).alias("g")).select("model", "g.*")
+
+
+def with_llr(rows: DataFrame, model: DataFrame, name: str = "llr", most: int = MAX_BROADCAST) -> DataFrame:
+    """``rows`` (text, model) with the llr of each text under its model. ``model``: what ``ratios`` gives, written."""
+    if model.count() <= most:
+        return rows.withColumn(name, _sent(model)("text", "model"))
+    return _joined(rows, model, name)
+
+
+class Values:
+    """The value of n-grams: their own, or else what their context has, or else 0."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        self.codes, self.values = codes, values
+        grams = codes >= 0
+        self.dense = Dense(symbols_of(codes[grams], BITS, ORDER), BITS, ORDER)
+        if self.dense.fits:
+            table = np.zeros((self.dense.size ** (ORDER - 1), self.dense.size), np.float32)
+            table[self.dense.number(-1 - codes[~grams], ORDER - 1)] = values[~grams, None]
+            self.table = table.ravel()
+            self.table[self.dense.number(codes[grams])] = values[grams]
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        if self.dense.fits:
+            return self.table[self.dense.number(grams)]
+        kinds, of = np.unique(grams, return_inverse=True)
+        value = np.zeros(len(kinds))
+        for wanted in (-1 - (kinds >> BITS), kinds):  # what the n-gram has replaces what its context has
+            at = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+            value = np.where(self.codes[at] == wanted, self.values[at], value)
+        return value[of]
+
+
+def _sent(model: DataFrame):
+    table = {}
+    for m, part in model.toPandas().sort_values("code").groupby("model"):
+        table[m] = part["code"].to_numpy(np.int64), part["value"].to_numpy(np.float32)
+    sent = model.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("double")
-    def llr(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if both:
-            at, values, ctx, left = sent.value
-            table = np.zeros(1 << BITS * (ORDER - 1), np.float32)
-            table[ctx] = left
-            table = np.repeat(table, 1 << BITS)
-            table[at] = values
-        for s in texts:
-            out, own = np.zeros(len(s)), s.fillna("").tolist()
-            for a, b in runs(own) if both else ():
-                grams, n = ngram_codes(own[a:b], BITS, ORDER)
-                sums = np.bincount(np.repeat(np.arange(b - a), n), table[grams], b - a)
-                mean = sums / np.maximum(n, 1)
-                out[a:b] = np.sign(mean) * np.sqrt(np.abs(mean))
+    def llr(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made: dict[int, Values] = {}
+        for texts, models in parts:
+            out, models = np.zeros(len(texts)), models.to_numpy()
+            for m in np.unique(models).tolist():
+                if m not in sent.value:
+                    continue
+                if m not in made:
+                    made[m] = Values(*sent.value[m])
+                mine = np.flatnonzero(models == m)
+                own = texts.iloc[mine].fillna("").tolist()
+                for a, b in runs(own):
+                    grams, n = ngram_codes(own[a:b], BITS, ORDER)
+                    out[mine[a:b]] = np.bincount(np.repeat(np.arange(b - a), n), made[m](grams), b - a) / np.maximum(n, 1)
             yield pd.Series(out)
 
     return llr.asNondeterministic()
 
 
+def _joined(rows: DataFrame, model: DataFrame, name: str) -> DataFrame:
+    """The same for a model of any size. Texts are told apart by a digest; what equal texts add to their sum of values they
+    also add to their number of n-grams. Each n-gram of the model is dealt to SALTS parts, as some occur in every text."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in runs(texts):
+                codes, n = ngram_codes(texts[a:b], BITS, ORDER)
+                owner = np.repeat(np.arange(a, b), n)
+                both = pd.DataFrame({"owner": owner, "code": codes}).groupby(["owner", "code"], as_index=False).size()
+                at = both["owner"].to_numpy()
+                yield pd.DataFrame({"key": pdf["key"].to_numpy()[at], "model": pdf["model"].to_numpy()[at], "code": both["code"], "n": both["size"]})
+
+    asked = rows.select(key.alias("key"), "model", F.coalesce("text", F.lit("")).alias("text"))
+    found = asked.mapInPandas(grams, "key string, model int, code long, n long").withColumn("_salt", salt("key"))
+    spread = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = lambda at, out: spread.select("model", F.col("code").alias(at), F.col("value").alias(out), "_salt")
+    found = found.withColumn("context", -1 - F.shiftright("code", BITS)).join(of("code", "own"), ["model", "code", "_salt"], "left").join(of("context", "rest"), ["model", "context", "_salt"], "left")
+    sums = found.groupBy("key", "model").agg((F.sum(F.col("n") * F.coalesce("own", "rest", F.lit(0.0))) / F.sum("n")).alias("_llr"))
+    keyed = rows.withColumn("_key", key)
+    both = keyed.join(sums.select(F.col("key").alias("_key"), "model", "_llr"), ["_key", "model"], "left")
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("_llr", F.lit(0.0)).alias(name))
+
+
 def calibrate(bins: pd.DataFrame) -> tuple[float, float]:
     """Slope and intercept of a logistic curve over llr. ``bins``: llr, y, n, of which there are 2 * (BINS + 1) at most."""
     x, y, n = (bins[c].to_numpy(np.float64) for c in ("llr", "y", "n"))
     if not len(x) or not 0 < (y * n).sum() < n.sum():
         return 0.0, float(np.log(((y * n).sum() + 1) / (((1 - y) * n).sum() + 1))) if len(x) else 0.0
     X, w = np.stack([x * 10, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
         grad = X.T @ (n * (y - p)) - 1e-3 * w
         step = np.linalg.solve((X * (n * p * (1 - p))[:, None]).T @ X + 1e-3 * np.eye(2), grad)
@@ -130,37 +216,34 @@ def calibrate(bins: pd.DataFrame) -> tuple[float, float]:
     return float(w[0] * 10), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame):
-    """The function from a text column to a score column, learnt from labelled rows that are not held out."""
-    spark = small_batches(docs.sparkSession)
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
-    learnt, key = known.where(~fold), F.col("doc_id").cast("long")
-    own = marked(texts.where(~fold), key, learnt.select(key.alias("node")))  # texts without a label mostly aren't shuffled
-    llr = scorer(spark, count_ngrams(own.join(learnt, "doc_id").select("text", "toxic")))
-    scored = texts.where(fold).select("doc_id", llr("text").alias("llr")).join(known.where(fold), "doc_id")
-    bins = scored.groupBy((F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), "llr")) + SPAN) * (BINS / (2 * SPAN))) * (2 * SPAN / BINS) - SPAN).alias("llr"), F.col("toxic").alias("y")).agg(F.count("*").alias("n"))
-    slope, base = calibrate(bins.toPandas())
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
+    """The model of all folds, and slope and intercept of the curve, from labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
+    rows = labelled(docs, labels)
+    models = materialise(ratios(count_ngrams(rows)), "ratios")
+    scored = with_llr(rows.select("text", "toxic", F.col("fold").alias("model")), models)
+    step = 2 * SPAN / BINS
+    bins = scored.groupBy((F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), "llr")) + SPAN) / step) * step - SPAN).alias("llr"), F.col("toxic").alias("y")).agg(F.count("*").alias("n"))
+    return models.where(F.col("model") == ALL), *calibrate(bins.toPandas())
 
-    def score(text: Column) -> Column:
-        return 1.0 / (1.0 + F.exp(-(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), llr(text))) * slope + base)))
 
-    return score
+def with_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(r, score): each row of ``docs`` as a struct, and its score."""
+    model, slope, base = train(docs, labels)
+    rows = docs.select(packed_rows(docs).alias("r"), F.col("text").cast("string").alias("text"), F.lit(ALL).alias("model"))
+    llr = F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("llr")))
+    return with_llr(rows, model).select("r", (1.0 / (1.0 + F.exp(-(llr * slope + base)))).alias("score"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    score = train(docs, labels)
-    out = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text")).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = with_score(docs.select("doc_id", "text"), labels)
+    return out.select("r.doc_id", held_out(F.col("r.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns."""
-    score = train(docs, labels)
-    kept, name = docs.columns, "_" * (1 + max(len(c) for c in docs.columns)) + "score"
-    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) < THRESHOLD).select(*kept)
+    return with_score(docs, labels).where(F.col("score") < THRESHOLD).select(*unpacked(docs, "r"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

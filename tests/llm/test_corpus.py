@@ -76,21 +76,80 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
-def test_kneser_ney_sums_to_one():
-    codes, n = np.unique(letters.ngram_codes([prose(3, 200)], toxicity.BITS, toxicity.ORDER)[0], return_counts=True)
-    shared = toxicity._shared(codes.astype(np.int64))
-    assert ((shared > 0) & (shared < 1)).all()
-    ratio, contexts, rest = toxicity.log_ratios(codes.astype(np.int64), n, n)
-    assert np.abs(ratio).max() == 0 and np.abs(rest).max() == 0 and len(contexts) == len(np.unique(codes >> toxicity.BITS))
-
-
-def test_mild_toxic_expressions_count():
-    codes, n = np.unique(letters.ngram_codes([prose(3, 2000)], toxicity.BITS, toxicity.ORDER)[0], return_counts=True)
-    mild = int(np.argmax(n * (np.bincount((codes >> toxicity.BITS).astype(np.int64))[codes >> toxicity.BITS] > 1)))
-    toxic = n.copy()
-    toxic[mild] *= 8
-    ratio, _, _ = toxicity.log_ratios(codes.astype(np.int64), n, toxic)
-    assert 0 < ratio[mild] < np.log(20)
+def kneser_ney(texts):
+    """P(symbol | context) of order ORDER by class, from dictionaries of n-grams as tuples; ``texts`` are (text, toxic)."""
+    order, d, size = toxicity.ORDER, toxicity.DISCOUNT, 1 << toxicity.BITS
+    table, top = letters.letter_table(size), [{}, {}]
+    for text, y in texts:
+        symbols = [0] * (order - 1)
+        for c in text + "\n":
+            s = int(table[ord(c)])
+            if s or symbols[-1]:
+                symbols.append(s)
+        for i in range(order - 1, len(symbols)):
+            g = tuple(symbols[i - order + 1 : i + 1])
+            top[y][g] = top[y].get(g, 0) + 1
+    types = {order: set(top[0]) | set(top[1])}
+    for k in range(order - 1, 0, -1):
+        types[k] = {g[1:] for g in types[k + 1]}
+
+    def below(g):
+        if not g:
+            return 1 / size
+        before = [h for h in types[len(g) + 1] if h[1:-1] == g[:-1]]
+        if not before:
+            return below(g[1:])
+        own, kinds = sum(h[1:] == g for h in before), len({h[-1] for h in before})
+        return (max(own - d, 0) + d * kinds * below(g[1:])) / len(before)
+
+    def p(g, y):
+        own = {h: n for h, n in top[y].items() if h[:-1] == g[:-1]}
+        total = sum(own.values())
+        return (max(own.get(g, 0) - d, 0) + d * len(own) * below(g[1:])) / total if total else below(g[1:])
+
+    return p, types[order]
+
+
+def test_kneser_ney_against_brute_force(spark):
+    texts = [(prose(3, 40), 0), (prose(4, 25) + " zorkfug", 1), ("zwölf über 漢字", 1), ("", 0), (prose(5, 30), 0)]
+    p, seen = kneser_ney(texts)
+    rng = random.Random(1)
+    for g in rng.sample(sorted(seen), 4) + [(1, 2, 500, 7)]:
+        for y in (0, 1):
+            assert abs(sum(p((*g[:-1], s), y) for s in range(1 << toxicity.BITS)) - 1) < 1e-9
+    rows = spark.createDataFrame([(t, y, 0) for t, y in texts], "text string, toxic int, fold int")
+    model = {r["code"]: r["value"] for r in toxicity.ratios(toxicity.count_ngrams(rows)).where(F.col("model") == toxicity.ALL).collect()}
+    code = lambda g: sum(s << toxicity.BITS * i for i, s in enumerate(reversed(g)))
+    contexts = {g[:-1] for g in seen}
+    assert set(model) == {code(g) for g in seen} | {-1 - code(c) for c in contexts}
+    for g in rng.sample(sorted(seen), 60):
+        assert abs(model[code(g)] - np.log(p(g, 1) / p(g, 0))) < 1e-9
+        new = next((*g[:-1], s) for s in range(511, 0, -1) if (*g[:-1], s) not in seen)
+        assert abs(model[-1 - code(g[:-1])] - np.log(p(new, 1) / p(new, 0))) < 1e-9
+
+
+def test_dense_and_sparse_ngrams_alike():
+    few = letters.ngram_codes([prose(i, 400) for i in range(300)], toxicity.BITS, toxicity.ORDER)[0]
+    many = letters.ngram_codes(["".join(map(chr, range(0x4E00, 0x5000))), prose(1, 50)], toxicity.BITS, toxicity.ORDER)[0]
+    for codes in (few, many, few[:0]):
+        got, want = letters.counted(codes, toxicity.BITS, toxicity.ORDER), np.unique(codes, return_counts=True)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    kinds = np.unique(few)[::3]
+    model = np.unique(np.concatenate([kinds, -1 - (kinds >> toxicity.BITS)]))
+    values = toxicity.Values(model, np.random.default_rng(3).normal(size=len(model)).astype(np.float32))
+    assert values.dense.fits
+    asked = np.concatenate([few[:5000], many])
+    quick = values(asked)
+    values.dense.fits = False
+    assert np.array_equal(quick, values(asked).astype(np.float32)) and len(set(quick.tolist())) > 50
+
+
+def test_toxicity_sent_or_joined_alike(spark, docs):
+    rows = spark.createDataFrame([(prose(i, 30) + " quibzork" * (i % 2), i % 2, (0, 1, 3)[i % 3]) for i in range(12)], "text string, toxic int, fold int")
+    model = toxicity.materialise(toxicity.ratios(toxicity.count_ngrams(rows)), "ratios")
+    asked = docs.select("doc_id", "text", F.lit(toxicity.ALL).alias("model"))
+    both = [sorted((r["doc_id"] or 0, r["text"] or "", round(r["llr"], 5)) for r in toxicity.with_llr(asked, model, "llr", most).collect()) for most in (1 << 22, 0)]
+    assert both[0] == both[1] and len({x for _, _, x in both[0]}) > 3
 
 
 def brute_lines(rows):
@@ -116,9 +175,11 @@ def brute_lines(rows):
 def test_line_dedup(docs, empty):
     got = linededup.keep_bitmaps(docs)
     assert sorted([tuple(r[:4]) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()], key=repr) == brute_lines(awkward())
-    for r in got.where("doc_id IN (20, 24)").collect():
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(r["keep_bitmap"]), np.uint8))[: r["n_lines"]]
-        assert bits.tolist() == ([1, 0, 1, 0] if r["doc_id"] == 20 else [1, 1, 1, 1])
+    for r in got.collect():
+        keep = linededup.mask_of_runs(r["keep_bitmap"])
+        assert (len(keep), int((~keep).sum())) == (r["n_lines"], r["n_dropped"])
+    assert {r["doc_id"]: r["keep_bitmap"] for r in got.where("doc_id IN (20, 24)").collect()} == {20: "1,1,1,1", 24: "4"}
+    assert linededup.keep_runs(np.array([False, False, True])) == "0,2,1"
     cut = linededup.apply(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert cut.where("doc_id = 1").first()["text"] is None and LINE not in cut.where("doc_id = 20").first()["text"]
@@ -129,17 +190,34 @@ def test_line_stream_over_partition_edges():
     import pandas as pd
 
     rng = random.Random(4)
-    rows = sorted({(rng.choice([1, 2, 2, 2, 3, 4]), 0, -rng.randrange(30), 0) for _ in range(90)})
-    df = pd.DataFrame([(h, g, -d, r, b"") for h, g, d, r in rows], columns=["h1", "h2", "doc_id", "row", "places"])
-    docs_of = df.groupby("h1")["doc_id"].agg(list)
-    want = {(h, d) for h, own in docs_of.items() if len(own) >= 3 for d in own if d != max(own)}
-    for cuts in ([], [10], [5, 6, 30], list(range(1, len(df)))):
-        parts = [df[a:b] for a, b in zip([0, *cuts], [*cuts, len(df)], strict=True)]
-        for step in (1, 4, 1000):
-            out = pd.concat([x for p in parts for x in linededup.decide(iter([p[i : i + step] for i in range(0, len(p), step)]))])
-            edges = out[out["kind"] == "edge"].groupby("h1").agg(n=("n", "sum"), top=("doc_id", "max"))
-            late = {(r.h1, r.doc_id) for r in out[out["kind"] == "open"].itertuples() if edges.loc[r.h1, "n"] >= 3 and r.doc_id != edges.loc[r.h1, "top"]}
-            assert late | {(r.h1, r.doc_id) for r in out[out["kind"] == "drop"].itertuples()} == want
+    for many in (30, 4):
+        rows = sorted({(rng.choice([1, 2, 2, 2, 3, 4]), 0, -rng.randrange(many), rng.randrange(4)) for _ in range(90)})
+        df = pd.DataFrame([(h, g, -d, r, b"") for h, g, d, r in rows], columns=["h1", "h2", "doc_id", "row", "places"])
+        docs_of = df.groupby("h1")["doc_id"].agg(set)
+        want = {(h, d) for h, own in docs_of.items() if len(own) >= 3 for d in own if d != max(own)}
+        for cuts in ([], [10], [5, 6, 30], list(range(1, len(df)))):
+            parts = [df[a:b] for a, b in zip([0, *cuts], [*cuts, len(df)], strict=True)]
+            for step in (1, 4, 1000):
+                out = pd.concat([x for p in parts for x in linededup.decide(iter([p[i : i + step] for i in range(0, len(p), step)]))])
+                edges = {}
+                for r in sorted(out[out["kind"] == "edge"].itertuples(), key=lambda r: (-r.doc_id, -r.row)):
+                    n, last, top = edges.get(r.h1, (0, None, r.doc_id))
+                    edges[r.h1] = n + r.n - (last == r.doc_id), r.row, top
+                late = {(r.h1, r.doc_id) for r in out[out["kind"] == "open"].itertuples() if edges[r.h1][0] >= 3 and r.doc_id != edges[r.h1][2]}
+                assert late | {(r.h1, r.doc_id) for r in out[out["kind"] == "drop"].itertuples()} == want
+
+
+def test_repeated_documents_count_once_over_edges(spark):
+    """Rows of one document on both sides of a partition's edge are one document: two documents don't drop a line."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = [(7, f"{LINE}\n{i}") for i in range(40)] + [(5, LINE)]
+        assert linededup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 0
+        got = linededup.keep_bitmaps(spark.createDataFrame([*rows, (6, LINE)], "doc_id long, text string")).where("n_dropped > 0").collect()
+        assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(5, 1), (6, 1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
 def test_near_duplicates(spark, docs, empty):
