@@ -48,14 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[list[DataFrame]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage durably."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage durably. ``keep``: ``tidied`` leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    if _written:
+    if _written and not keep:
         _written[-1].append(out)
     return out
 

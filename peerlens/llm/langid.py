@@ -29,6 +29,7 @@ from .letters import ngram_codes
 BITS = 7
 DIMS = 512
 SEED = 20240611
+MAX_HELD = 16
 
 
 @cache
@@ -76,16 +77,24 @@ class Bundler:
 
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Each language's prototype, of unit length. ``docs``: text, lang."""
+    """Each language's prototype, of unit length. ``docs``: text, lang.
+
+    A task holds the trigram counts of up to MAX_HELD languages at a time, 16 MB each, and hands out what it has beyond that."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
+                if lang not in counts and len(counts) >= MAX_HELD:
+                    yield from bundled(counts)
+                    counts.clear()
                 for a, b in runs(texts):
                     own = counts.setdefault(lang, np.zeros(1 << 3 * BITS, np.int64))
                     own += np.bincount(ngram_codes(texts[a:b], BITS, 3)[0], minlength=len(own))
+        yield from bundled(counts)
+
+    def bundled(counts: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, n in counts.items():
             kinds, total = np.flatnonzero(n), np.zeros(DIMS, np.int64)
             for a in range(0, len(kinds), 4096):

@@ -9,7 +9,7 @@ most ``MAX_BROADCAST_SOURCES`` of them and otherwise joined, a join whose hot ke
 
 Defined results: a null source is a source of its own; a null doc_id hashes as the empty string; rows that share a doc_id
 get the same count; a source without weight (or with a weight of 0 or less) gets rate 0; an empty table stays empty; columns
-of the input stay as they are, ``copy`` and ``shuffle_key`` replacing columns of that name.
+of the input stay as they are, in ``mix`` ``copy`` and ``shuffle_key`` replacing columns of that name.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_parts
+from .common import documents, packed_rows, shuffle_parts, unpacked
 
 MAX_BROADCAST_SOURCES = 10_000
 #: A Poisson variable of a larger mean is the sum of several with means up to this one.
@@ -66,20 +66,30 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, to
     return weighed.join(F.broadcast(sums)).select("source", "n_docs", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
-    """``docs`` with each row repeated by its Poisson count, and copy (from 1) and shuffle_key, in shuffled order."""
+def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
+    """(r, copy, shuffle_key): each row of ``docs`` as a struct, once for each of its copies, in shuffled order."""
     by_source = rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     if len(by_source.select("_source").limit(MAX_BROADCAST_SOURCES + 1).collect()) <= MAX_BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("r"), "source", F.col("doc_id").cast("string").alias("doc_id"))
+    held = docs.select(packed_rows(docs).alias("r"), F.col("source").alias("source"), F.col("doc_id").cast("string").alias("doc_id"))
     counted = held.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("many", poisson_count(F.col("_rate"), F.col("doc_id"), seed))
-    copies = counted.where(F.col("many") > 0).select("r", "doc_id", F.explode(F.sequence(F.lit(1), F.col("many"))).alias("copy"))
+    copied = counted.where(F.col("many") > 0).select("r", "doc_id", F.explode(F.sequence(F.lit(1), F.col("many"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("doc_id", F.lit("")), "copy", F.lit("order")).cast("binary"))
-    keyed = copies.select(*[F.col(f"r.`{c}`").alias(c) for c in kept], "copy", key.alias("shuffle_key"))
+    keyed = copied.select("r", "copy", key.alias("shuffle_key"))
     return keyed.repartition(shuffle_parts(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` with each row repeated by its Poisson count, and copy (from 1) and shuffle_key, in shuffled order."""
+    kept = [F.col(f"r.`{c}`").alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
+    return copies(docs, weights, total, seed).select(*kept, "copy", "shuffle_key")
+
+
+def repeat(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
+    """The same with the columns of ``docs`` alone, whatever their names."""
+    return copies(docs, weights, total, seed).select(*unpacked(docs, "r"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 

@@ -5,11 +5,12 @@ their own. The others are dealt by a hash to shards of about ``SHARD`` pieces, s
 document can crowd one. A shard is worked on by ``ISLANDS`` populations over ``EPOCHS`` epochs; between epochs each island's
 best packing migrates to the next one, as rows that Spark shuffles.
 
-An individual is a packing. Crossover puts whole well-filled bins of one parent into the other, drops the other's bins
-that share a piece with them, and puts the pieces that lost their bin into the fullest bin with room, longest first.
-Mutation empties the least filled bins in the same way. A shard ends early once its packing meets the lower bound,
-the sum of lengths over the sequence length rounded up. Bins that are still far from full are then taken apart and their
-pieces packed again, across shards.
+An individual is a packing. Islands start apart: from best-fit decreasing, from bins closed one by one with the fullest
+filling of up to three pieces, and from perturbed orders of either. Crossover puts whole well-filled bins of one parent
+into the other, drops the other's bins that share a piece with them, and puts the pieces that lost their bin into the
+fullest bin with room, longest first. Mutation empties the least filled bins and some others, and fills them anew in
+either way. A shard ends early once its packing meets a lower bound, below which no packing can be. Bins that are still
+far from full are then taken apart and their pieces packed again, across shards.
 
 Defined results: a null or empty text is the single id 0; every row is packed, so rows that repeat are packed each; a
 doc_id may be null; an empty table gives an empty result; further columns are ignored.
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,9 @@ SHARD = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 6
+#: The most generations of an epoch, and how many in a row may bring nothing.
+GENERATIONS = 40
+STALL = 8
 #: Bins of at least this share of the length are well filled.
 WELL = 0.999
 #: Bins under this share of the length are taken apart to be packed across shards.
@@ -61,7 +63,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None)
                     for k, at in enumerate(range(0, m + 1, length)):
                         part = own[at : at + length]
                         row.append(i), piece.append(k), start.append(at), size.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
-            item = [xxhash.xxh64_intdigest(f"{task}:{seen + k}") >> 1 for k in range(len(row))]
+            item = (task << 33) + seen + np.arange(len(row), dtype=np.int64)
             seen += len(row)
             columns = [pa.array(item, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
@@ -112,6 +114,31 @@ class Packing:
         self.loads = np.array(loads, np.int64)
         return self
 
+    def close(self, rng: np.random.Generator | None = None) -> Packing:
+        """Puts pieces without a bin into new bins, each begun with the longest piece left (sometimes another one, if ``rng``
+        is given) and filled with the one or two pieces that leave the least room, until none fits."""
+        free = np.flatnonzero(self.bins < 0)
+        free = free[np.argsort(self.sizes[free], kind="stable")]
+        size, k, loads = self.sizes[free], len(self.loads), self.loads.tolist()
+        while len(free):
+            first = len(free) - 1 if rng is None or rng.random() < 0.8 else int(rng.integers(len(free)))
+            room = self.length - int(size[first])
+            self.bins[free[first]] = k
+            free, size = np.delete(free, first), np.delete(size, first)
+            while m := int(np.searchsorted(size, room, "right")):
+                i = np.arange(m)
+                j = np.minimum(np.searchsorted(size, room - size[:m], "right"), i) - 1
+                both = np.where(j >= 0, size[:m] + size[np.maximum(j, 0)], 0)
+                pair = int(both.argmax())
+                taken = [m - 1] if size[m - 1] >= both[pair] else [pair, int(j[pair])]
+                room -= int(size[taken].sum())
+                self.bins[free[taken]] = k
+                free, size = np.delete(free, taken), np.delete(size, taken)
+            loads.append(self.length - room)
+            k += 1
+        self.loads = np.array(loads, np.int64)
+        return self
+
     def copy(self) -> Packing:
         return Packing(self.sizes, self.length, self.bins.copy())
 
@@ -138,27 +165,50 @@ def crossover(mother: Packing, father: Packing, rng: np.random.Generator) -> Pac
 
 
 def mutate(packing: Packing, rng: np.random.Generator) -> Packing:
-    """The least filled bins and a few others emptied and packed again."""
+    """The least filled bins and a few others emptied and filled again, in one of two ways."""
     n = len(packing.loads)
     worst = np.argsort(packing.loads)[: max(2, n // 20)]
-    return packing.without(np.union1d(worst, rng.choice(n, max(1, n // 50), replace=False))).fit()
-
-
-def evolve(sizes: np.ndarray, length: int, seed: int, migrants: list[np.ndarray]) -> np.ndarray:
-    """The bins of the best packing after GENERATIONS, from migrants, best-fit decreasing and perturbed orders of it."""
-    rng, bound = np.random.default_rng(seed), -(-int(sizes.sum()) // length)
-    people = [Packing(sizes, length, m.copy()) for m in migrants] or [Packing(sizes, length).fit()]
+    child = packing.without(np.union1d(worst, rng.choice(n, max(1, n // (50 if rng.random() < 0.5 else 10)), replace=False)))
+    return child.fit() if rng.random() < 0.4 else child.close(rng)
+
+
+def least_bins(sizes: np.ndarray, length: int) -> int:
+    """A number of bins that no packing can go below: of pieces longer than length - k each needs a bin of its own, and so
+    does each of those over half; what pieces of at least k have too much for the room beside the latter needs further ones.
+    The largest such number over all k (Martello and Toth's bound)."""
+    if not len(sizes):
+        return 0
+    s = np.sort(sizes.astype(np.int64))
+    sums = np.concatenate([[0], np.cumsum(s)])
+    k = np.concatenate([[0], np.unique(s[2 * s <= length])])
+    half, near = np.searchsorted(s, length // 2, "right"), np.searchsorted(s, length - k, "right")
+    near = np.maximum(near, half)
+    alone, beside = len(s) - near, near - half
+    low = np.searchsorted(s, k, "left")
+    small = sums[half] - sums[np.minimum(low, half)]
+    more = small - (beside * length - (sums[near] - sums[half]))
+    return int((alone + beside + np.maximum(0, -(-more // length))).max())
+
+
+def evolve(sizes: np.ndarray, length: int, seed: int, migrants: list[np.ndarray], island: int = 0) -> np.ndarray:
+    """The bins of the best packing after GENERATIONS, from migrants and the island's own start."""
+    rng, bound = np.random.default_rng(seed), least_bins(sizes, length)
+    made = lambda k: Packing(sizes, length).fit() if k % ISLANDS == 0 else Packing(sizes, length).close(rng if k >= ISLANDS else None)
+    people = [Packing(sizes, length, m.copy()) for m in migrants] or [made(island)]
     best = max(people, key=Packing.worth)
     if len(best.loads) <= bound:
         return best.bins
     while len(people) < POPULATION:
-        people.append(Packing(sizes, length).fit(np.argsort(-sizes * rng.uniform(0.9, 1.1, len(sizes)))))
+        perturbed = np.argsort(-sizes * rng.uniform(0.9, 1.1, len(sizes)))
+        people.append(Packing(sizes, length).fit(perturbed) if rng.random() < 0.5 else made(island + ISLANDS))
+    stalled = 0
     for _ in range(GENERATIONS):
         a, b = rng.choice(len(people), 2, replace=False)
-        children = [crossover(people[a], people[b], rng), crossover(people[b], people[a], rng), mutate(best, rng)]
+        children = [crossover(people[a], people[b], rng), crossover(people[b], people[a], rng), mutate(best, rng), mutate(people[b], rng)]
         people = sorted([*people, *children], key=Packing.worth, reverse=True)[:POPULATION]
+        stalled = 0 if people[0].worth() > best.worth() else stalled + 1
         best = people[0]
-        if len(best.loads) <= bound:
+        if len(best.loads) <= bound or stalled >= STALL:
             break
     return best.bins
 
@@ -170,7 +220,7 @@ def _grow(length: int):
         item, origin, size, bins = (table[c].to_numpy() for c in ("item", "origin", "length", "bin"))
         kept, at = np.unique(item, return_index=True)
         migrants = [bins[origin == o][np.argsort(item[origin == o])] for o in np.unique(origin) if o >= 0]
-        found = evolve(size[at], length, (int(shard) * 31 + int(island)) & 0x7FFFFFFF, migrants)
+        found = evolve(size[at], length, (int(shard) * 31 + int(island)) & 0x7FFFFFFF, migrants, int(island))
         n = len(kept)
         return pa.table({"shard": pa.array(np.full(n, shard), pa.int64()), "island": pa.array(np.full(n, island), pa.int32()), "origin": pa.array(np.full(n, island), pa.int32()), "item": kept, "length": size[at], "bin": found.astype(np.int64)})
 

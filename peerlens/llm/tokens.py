@@ -121,7 +121,10 @@ def encoder_for(vocabulary: str | None) -> WordEncoder:
 
 
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens added: the ids of the whole text, 0 for a null or empty one."""
+    """``docs`` with n_tokens added: the ids of the whole text, 0 for a null or empty one.
+
+    A column of that name is replaced, all others stay; long texts are split into runs of words for the encoder's bounds, which
+    changes no id, as the vocabulary joins nothing across white space; an empty table stays empty."""
 
     small_batches(docs.sparkSession)
 

@@ -10,7 +10,9 @@ are UTF-8 and Content-Length counts their bytes.
 Text of a page: scripts, styles, comments and head are left out, block tags end a line, other tags vanish, the five basic
 entities and nbsp are decoded (``&amp;`` last), blanks are run together and empty lines dropped.
 
-Defined results: a null html is an empty payload, a null url an empty target, a null page_id the empty string in names;
+Both derivatives have the date of their source as WARC-Refers-To-Date and as WARC-Date their own, by default the same one.
+
+Defined results: a null html is an empty payload, a null url an empty target, line breaks leave a url (they would end its header), a null page_id the empty string in names;
 equal pages that repeat get equal records each; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = "address article aside blockquote br dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
+#: The date of records whose source has none.
+UNDATED = "1970-01-01T00:00:00Z"
+
 DROPPED = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<head[^>]*>.*?</head>|<!DOCTYPE[^>]*>"
 BLOCK = rf"(?i)</?({'|'.join(BLOCK_TAGS)})(\s[^>]*)?/?>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -54,18 +59,20 @@ def plain_text(html: Column) -> Column:
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """(page_id, record_id, target_uri, source_headers, payload, payload_digest) for pages (page_id, url, html)."""
-    payload, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-    rows = pages.select("page_id", url.alias("target_uri"), payload.alias("payload"))
+def responses(pages: DataFrame, date: Column | None = None) -> DataFrame:
+    """(page_id, record_id, date, target_uri, source_headers, payload, payload_digest) for pages (page_id, url, html);
+    ``date`` is when they were fetched, as WARC writes it."""
+    payload, url = F.coalesce("html", F.lit("")), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "")
+    fetched = F.coalesce(F.lit(None) if date is None else date, F.lit(UNDATED))
+    rows = pages.select("page_id", url.alias("target_uri"), payload.alias("payload"), fetched.alias("date"))
     rows = rows.withColumn("payload_digest", sha1(F.col("payload")))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n"))
-    return rows.select("page_id", name(F.lit("response"), page, F.col("target_uri"), F.col("payload_digest")).alias("record_id"), "target_uri", headers.alias("source_headers"), "payload", "payload_digest")
+    return rows.select("page_id", name(F.lit("response"), page, F.col("target_uri"), F.col("payload_digest")).alias("record_id"), "date", "target_uri", headers.alias("source_headers"), "payload", "payload_digest")
 
 
-def derive(responses: DataFrame) -> DataFrame:
-    """Two rows for each response: its metadata record and its conversion record.
+def derive(responses: DataFrame, date: Column | None = None) -> DataFrame:
+    """Two rows for each response: its metadata record and its conversion record, made at ``date``.
 
     (page_id, warc_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, source_digest,
     source_headers, header, block)"""
@@ -82,11 +89,12 @@ def derive(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), F.concat(fields, F.lit("\r\n")).alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(html).alias("block")),
     )
-    rows = responses.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_digest"), "source_headers", F.explode(kinds).alias("k"))
-    rows = rows.select("page_id", "k.warc_type", name(F.col("k.warc_type"), F.col("refers_to")).alias("record_id"), "refers_to", "target_uri", "k.content_type", F.octet_length("k.block").cast("long").alias("content_length"), sha1(F.col("k.block")).alias("block_digest"), "source_digest", "source_headers", F.col("k.block").alias("block"))
+    rows = responses.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_digest"), "source_headers", F.col("date").alias("source_date"), (F.col("date") if date is None else date).alias("made"), F.explode(kinds).alias("k"))
+    rows = rows.select("page_id", "k.warc_type", name(F.col("k.warc_type"), F.col("refers_to")).alias("record_id"), "refers_to", "target_uri", "k.content_type", F.octet_length("k.block").cast("long").alias("content_length"), sha1(F.col("k.block")).alias("block_digest"), "source_digest", "source_headers", "source_date", "made", F.col("k.block").alias("block"))
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("warc_type"), F.lit("\r\nWARC-Record-ID: "), F.col("record_id"),
-        F.lit("\r\nWARC-Refers-To: "), F.col("refers_to"), F.lit("\r\nWARC-Refers-To-Target-URI: "), F.col("target_uri"),
+        F.lit("\r\nWARC-Date: "), F.col("made"),
+        F.lit("\r\nWARC-Refers-To: "), F.col("refers_to"), F.lit("\r\nWARC-Refers-To-Target-URI: "), F.col("target_uri"), F.lit("\r\nWARC-Refers-To-Date: "), F.col("source_date"),
         F.lit("\r\nWARC-Target-URI: "), F.col("target_uri"), F.lit("\r\nWARC-Block-Digest: "), F.col("block_digest"),
         F.lit("\r\nWARC-Source-Payload-Digest: "), F.col("source_digest"), F.lit("\r\nContent-Type: "), F.col("content_type"),
         F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n"),
@@ -115,7 +123,7 @@ def _decoded(x: str) -> str:
 
 ORACLE = f"""
 WITH source AS (
-  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha1:' || sha1(coalesce(html, '')) AS source_digest FROM pages
+  SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]+', '', 'g') AS target_uri, coalesce(html, '') AS payload, 'sha1:' || sha1(coalesce(html, '')) AS source_digest FROM pages
 ), named AS (
   SELECT *, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri || '|' || source_digest) AS h,
     'HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ' || strlen(payload)::VARCHAR || '\r\n' AS source_headers,
@@ -137,7 +145,8 @@ WITH source AS (
   FROM both_kinds
 ), records AS (SELECT *, {_uuid('h')} AS record_id FROM ids)
 SELECT page_id, warc_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, source_digest, source_headers,
-  'WARC/1.1\r\nWARC-Type: ' || warc_type || '\r\nWARC-Record-ID: ' || record_id || '\r\nWARC-Refers-To: ' || refers_to || '\r\nWARC-Refers-To-Target-URI: ' || target_uri
+  'WARC/1.1\r\nWARC-Type: ' || warc_type || '\r\nWARC-Record-ID: ' || record_id || '\r\nWARC-Date: {UNDATED}\r\nWARC-Refers-To: ' || refers_to || '\r\nWARC-Refers-To-Target-URI: ' || target_uri
+  || '\r\nWARC-Refers-To-Date: {UNDATED}'
   || '\r\nWARC-Target-URI: ' || target_uri || '\r\nWARC-Block-Digest: ' || block_digest || '\r\nWARC-Source-Payload-Digest: ' || source_digest
   || '\r\nContent-Type: ' || content_type || '\r\nContent-Length: ' || content_length::VARCHAR || '\r\n' AS header, block
 FROM records

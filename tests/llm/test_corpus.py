@@ -56,6 +56,38 @@ def test_language_id(spark, docs, empty):
     assert len(got) > 10 and all(r["lang_pred"] == ("en" if r["doc_id"] % 2 else "de") for r in got)
 
 
+def test_language_id_against_brute_force(spark):
+    texts = [("the old mill by the water", "en"), ("der alte Baum am See", "de"), ("zwölf über schön", "de"), ("a thin wire", "en"), (None, "en"), ("12 !", "de"), ("und", None), ("the sea, the wind", "en")]
+    rows = spark.createDataFrame([(i, t, lang, "a", 0) for i, (t, lang) in enumerate(texts)], SCHEMA)
+    vectors, table = langid.letter_vectors().astype(np.int64), letters.letter_table(1 << langid.BITS)
+
+    def bundle(text):
+        out, seen = np.zeros(langid.DIMS), [0, 0]
+        for c in (text or "") + "\n":
+            x = int(table[ord(c)])
+            if x or seen[-1]:
+                seen.append(x)
+        for a, b, c in zip(seen, seen[1:], seen[2:], strict=False):
+            out += [vectors[a][(i - 2) % langid.DIMS] * vectors[b][(i - 1) % langid.DIMS] * vectors[c][i] for i in range(langid.DIMS)]
+        return out
+
+    sums = {}
+    for i, (t, lang) in enumerate(texts):
+        if lang and t and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + bundle(t)
+    unit = {x: v / np.linalg.norm(v) for x, v in sums.items()}
+    centred = {x: v - 0.5 * sum(unit.values()) / len(unit) for x, v in unit.items()}
+    for r in langid.identify(rows).collect():
+        text = texts[r["doc_id"]][0]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = bundle(text)
+        cosines = {x: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for x, p in centred.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r["lang_pred"] == best and abs(r["score"] - max(0, cosines[best])) < 1e-5
+
+
 def test_held_out_is_crc32(spark, docs):
     from peerlens.llm.common import held_out
 
@@ -317,12 +349,27 @@ def test_packing_and_token_counts(docs, empty):
             at += n
         assert at <= packing.LENGTH
     assert len(bins) <= -(-sum(r["length"] for r in got) // packing.LENGTH) + 1
+    want = []
+    for d, text, *_ in awkward():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want.append((d, k, at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))))
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in got)
+    items = [r["item"] for r in packing.pieces(docs).collect()]
+    assert len(set(items)) == len(items) == len(got)
     assert packing.pack(empty).count() == 0
     hist = tokens.length_histogram(tokens.token_lengths(docs.select("text"))).collect()
     for r in hist:
         L = r["n_tokens"]
         assert r["truncated_tokens"] == sum(min(L, n) for n in lengths) and r["docs_longer"] == sum(n > L for n in lengths) and r["total_tokens"] == sum(lengths)
     assert tokens.length_histogram(tokens.token_lengths(empty.select("text"))).count() == 0
+    held = tokens.length_histogram(tokens.token_lengths(docs.select("text")))
+    asked = [0, 1, 50, 99, 10**6]
+    assert {r["limit"]: (r["docs_longer"], r["truncated_tokens"]) for r in tokens.at_limits(held, asked).collect()} == {x: (sum(n > x for n in lengths), sum(min(x, n) for n in lengths)) for x in asked}
+    shares = [0.1, 0.5, 0.9, 1.0]
+    want = {q: next(n for n in sorted(lengths) if sum(m <= n for m in lengths) >= q * len(lengths)) for q in shares}
+    assert {r["share"]: r["n_tokens"] for r in tokens.quantiles(held, shares).collect()} == want
 
 
 def test_genetic_packing_is_valid_and_no_worse():
@@ -335,6 +382,45 @@ def test_genetic_packing_is_valid_and_no_worse():
     assert (child.bins >= 0).all() and np.bincount(child.bins, sizes).max() <= 2048
 
 
+def test_genetic_packing_betters_best_fit():
+    rng = np.random.default_rng(0)
+    sizes = []
+    for _ in range(150):  # triplets that fill a bin
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers((2048 - a) // 2 - 150, (2048 - a) // 2 + 150))
+        sizes += [a, b, 2048 - a - b]
+    sizes = np.array(sizes)
+    best_fit = len(packing.Packing(sizes, 2048).fit().loads)
+    first = [packing.evolve(sizes, 2048, k, [], k) for k in (0, 1)]
+    second = packing.evolve(sizes, 2048, 5, first, 0)
+    assert np.bincount(second, sizes).max() <= 2048 and packing.least_bins(sizes, 2048) == 150
+    assert second.max() + 1 <= min(x.max() + 1 for x in first) and second.max() + 1 <= 152 < best_fit
+
+
+def test_least_bins_is_a_bound():
+    import itertools
+
+    rng = random.Random(2)
+
+    def fewest(sizes, length):
+        best = len(sizes)
+        for order in itertools.permutations(sizes):  # first fit over every order finds the fewest
+            loads = []
+            for x in order:
+                k = next((k for k, load in enumerate(loads) if load + x <= length), None)
+                if k is None:
+                    loads.append(x)
+                else:
+                    loads[k] += x
+            best = min(best, len(loads))
+        return best
+
+    for _ in range(40):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(1, 6))]
+        assert packing.least_bins(np.array(sizes), 10) <= fewest(sizes, 10)
+    assert packing.least_bins(np.array([6, 6, 6, 5, 5]), 10) == 4 and packing.least_bins(np.array([], np.int64), 10) == 0
+
+
 def test_syncmers_are_context_free_and_followers_wrap(spark, docs, empty):
     got = syncmers.fingerprint(docs)
     ordered = sorted({(r[0], r[1] or "") for r in awkward() if r[0] is not None}, reverse=True) + [(None, awkward()[4][1])]
@@ -396,6 +482,12 @@ def test_warc(spark):
     assert c["source_digest"] == "sha1:" + hashlib.sha1(html.encode()).hexdigest() and c["block_digest"] == "sha1:" + hashlib.sha1(c["block"].encode()).hexdigest()
     assert got[2, "conversion"]["content_length"] == 0
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+    dated = warc.derive(warc.responses(spark.createDataFrame([(1, "http://a/\r\nEvil: 1", "<p>x</p>")], "page_id int, url string, html string"), F.lit("2024-05-06T07:08:09Z")), F.lit("2025-01-02T03:04:05Z"))
+    for r in dated.join(warc.record(dated), "record_id").collect():
+        head, block = r["record"].split("\r\n\r\n", 1)
+        fields = dict(x.split(": ", 1) for x in head.split("\r\n")[1:])
+        assert fields["WARC-Date"] == "2025-01-02T03:04:05Z" and fields["WARC-Refers-To-Date"] == "2024-05-06T07:08:09Z" and "Evil" not in fields
+        assert block == r["block"] + "\r\n\r\n" and int(fields["Content-Length"]) == len(r["block"].encode())
 
 
 class Writer:
@@ -656,6 +748,82 @@ def test_webp_code_lengths_are_optimal_and_bounded():
             assert got >= cost and (got == cost or max(k for _, k in used) >= limit - 2)
 
 
+def poisson_by_hand(doc_id, rate):
+    n = max(1, -(-int(np.ceil(rate)) // 16)) if rate > 16 else 1
+    total = 0
+    for i in range(1, n + 1):
+        u = (int(hashlib.md5(f"17:{'' if doc_id is None else doc_id}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        k, term, below = 0, np.exp(-rate / n), np.exp(-rate / n)
+        while below < u:
+            k += 1
+            term *= rate / n / k
+            below += term
+        total += k
+    return total
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages over planted toxic texts, lines and copies, awkward rows and columns whose names clash."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = [(i, prose(i, 60) + (" you zorkfug quib" * 3 if i % 4 == 0 else ""), "en", "hot" if i % 3 else "b", 0) for i in range(160)]
+    rows += [(200 + i, f"{prose(500 + i, 50)}\n{LINE}\n{prose(700 + i, 50)}", "en", None if i % 2 else "hot", 0) for i in range(6)]
+    copy = prose(900, 90)
+    rows += [(300, copy, "en", "b", 0), (301, copy, "en", "hot", 0), (302, copy + " again", "en", "b", 0), (None, copy, "en", "b", 0), (303, None, "en", "b", None), (304, "", "en", "b", 0), (301, copy, "en", "hot", 0)]
+    clash = ["copy", "shuffle_key", "_hit", "node", "r", "drops", "model", "_text", "score"]
+    made = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(1).alias(c) for c in clash])
+    made.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+
+    left = [r for r in rows if r[0] is None or r[0] >= 160 or r[0] % 4]
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(map(repr, (tuple(r[:5]) for r in kept.collect()))) == sorted(map(repr, left))
+
+    left = [(d, None if t is None else "\n".join(x for x in t.split("\n") if x != LINE or d == 205), a, b, c) for d, t, a, b, c in left]
+    left = [(d, t, a, b, None if t is None else len(t)) for d, t, a, b, _ in left]
+    lines = corpus_pipeline.dedup_lines(spark, kept, sf)
+    assert lines.columns == docs.columns and sorted(map(repr, (tuple(r[:5]) for r in lines.collect()))) == sorted(map(repr, left))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, first = {d: shingles(t) for d, t, *_ in left if d is not None}, {}
+    for d in sorted(sets):
+        first[d] = min([first[e] for e in first if sets[d] and 4 * len(sets[d] & sets[e]) >= 3 * len(sets[d] | sets[e])], default=d)
+    left = [r for r in left if r[0] is None or first[r[0]] == r[0]]
+    assert {301, 302} & {r[0] for r in left} == set()
+    once = corpus_pipeline.dedup_documents(spark, lines, sf)
+    assert once.columns == docs.columns and sorted(map(repr, (tuple(r[:5]) for r in once.collect()))) == sorted(map(repr, left))
+
+    n = {s: sum(r[3] == s for r in left) for s in ("hot", "b", None)}
+    left = [r for r in left for _ in range(poisson_by_hand(r[0], len(left) / 3 / n[r[3]]))]
+    mixed = corpus_pipeline.mix_sources(spark, once, sf)
+    assert mixed.columns == docs.columns and sorted(map(repr, (tuple(r[:5]) for r in mixed.collect()))) == sorted(map(repr, left))
+
+    t, want = Tokenizer.from_file(tokens.vocabulary_path()), []
+    for d, text, *_ in left:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((d, 0, 0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(map(repr, (tuple(r[:5]) for r in got))) == sorted(map(repr, want))
+    bins = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == bins.get(r["sequence_id"], 0)
+        bins[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(bins.values()) <= 2048
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
