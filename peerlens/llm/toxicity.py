@@ -43,14 +43,17 @@ SPAN = 0.5
 THRESHOLD = 0.3
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold) of all labelled rows that may be learnt from, written once."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(node, toxic): the labels that may be learnt from."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("node"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("node").isNotNull())
+    return known.where(F.col("node").isNotNull())
+
+
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, fold, text) of the rows that may be learnt from, without most of those that have no label."""
     texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = marked(texts, F.col("node"), known)  # texts without a label mostly aren't shuffled
     fold = (F.crc32(F.col("node").cast("string").cast("binary")) % 4).cast("int")
-    return materialise(own.join(known, "node").select("text", "toxic", fold.alias("fold")), "labelled")
+    return marked(texts, F.col("node"), known).select("node", fold.alias("fold"), "text")
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
@@ -219,9 +222,11 @@ def calibrate(bins: pd.DataFrame) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
     """The model of all folds, and slope and intercept of the curve, from labelled rows that are not held out."""
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels)
-    models = materialise(ratios(count_ngrams(rows)), "ratios")
-    scored = with_llr(rows.select("text", "toxic", F.col("fold").alias("model")), models)
+    known = known_labels(labels)
+    own = candidates(docs, known)
+    models = materialise(ratios(count_ngrams(own.join(known, "node").select("text", "toxic", "fold"))), "ratios")
+    # rows are scored where they are read; only their llr meets the labels
+    scored = with_llr(own.select("node", F.col("fold").alias("model"), "text"), models).select("node", "llr").join(known, "node")
     step = 2 * SPAN / BINS
     bins = scored.groupBy((F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), "llr")) + SPAN) / step) * step - SPAN).alias("llr"), F.col("toxic").alias("y")).agg(F.count("*").alias("n"))
     return models.where(F.col("model") == ALL), *calibrate(bins.toPandas())
