@@ -1,7 +1,8 @@
 """Mid-rank percentiles inside populations.
 
-A population is counted by distinct value first, which pre-aggregates in each task; only those counts are ordered in a
-window, and each row looks its value up. Rows that are ranked without being members don't count.
+A population is counted by distinct value first, which pre-aggregates in each task. Those counts are ordered within spans of
+close values, and each span adds the counts of the spans below it, of which a population has some hundreds, so that no task
+orders a whole population; each row looks its value up. Rows that are ranked without being members don't count.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THIN = 10
+SPANS = 64
 
 
 def primary(rows: DataFrame, keys: Sequence[str], minutes: str, ties: Sequence[str]) -> DataFrame:
@@ -20,18 +22,32 @@ def primary(rows: DataFrame, keys: Sequence[str], minutes: str, ties: Sequence[s
     return rows.withColumn("is_primary", F.row_number().over(w) == 1)
 
 
+def span(value: Column) -> Column:
+    """A number that never falls as ``value`` rises: 0 for 0, and SPANS numbers for each doubling of its size."""
+    x = value.cast("double")
+    far = F.least(F.floor(F.log2(F.abs(x)) * SPANS), F.lit(1 << 19))
+    return F.when(x == 0, F.lit(0)).when(F.isnan(x), F.lit(1 << 21)).when(x > 0, (1 << 20) + far).otherwise(-(1 << 20) - far)
+
+
 def mid_rank(long: DataFrame, by: Sequence[str], member: Column | None = None, out: str = "percentile", size: str = "n") -> DataFrame:
     """``long`` with 100 * (#less + #less or equal) / (2 * #members) of ``value`` among the members with one, and #members.
 
-    ``by`` are the columns that tell populations apart; ``member`` is true for the rows that count."""
+    ``by`` are the columns that tell populations apart; ``member`` is true for the rows that count. Rows without a value get
+    null for both; they are dealt out by a hash of all their columns."""
     known = F.col("value").isNotNull()
     counted = F.when(known & (member if member is not None else F.lit(True)), 1)
-    kinds = long.where(known).groupBy(*by, "value").agg(F.count(counted).alias("_eq"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_eq").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = kinds.select(*by, "value", "_eq", upto.alias("_le"), F.sum("_eq").over(w).alias(size))
-    ranked = ranked.withColumn(out, F.when(F.col(size) > 0, F.lit(100.0) * (2 * F.col("_le") - F.col("_eq")) / (2 * F.col(size)))).drop("_eq", "_le")
-    return long.join(ranked, [*by, "value"], "left")
+    kinds = long.where(known).groupBy(*by, "value").agg(F.count(counted).alias("_eq")).withColumn("_span", span(F.col("value")))
+    within = Window.partitionBy(*by, "_span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    spans = kinds.groupBy(*by, "_span").agg(F.sum("_eq").alias("_own"))
+    every = Window.partitionBy(*by)
+    below = F.coalesce(F.sum("_own").over(every.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(*by, "_span", below.alias("_below"), F.sum("_own").over(every).alias(size))
+    ranked = kinds.select(*by, "_span", "value", "_eq", F.sum("_eq").over(within).alias("_in")).join(spans, [*by, "_span"])
+    upto = F.col("_below") + F.col("_in")
+    share = F.when(F.col(size) > 0, F.lit(100.0) * (2 * upto - F.col("_eq")) / (2 * F.col(size)))
+    ranked = ranked.select(*by, "value", F.lit(0).alias("_dealt"), F.col(size), share.alias(out))
+    dealt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in long.columns]), F.lit(1024)).cast("int"))
+    return long.withColumn("_dealt", dealt).join(ranked, [*by, "value", "_dealt"], "left").drop("_dealt")
 
 
 def scoped(long: DataFrame, group: Sequence[str], narrow: str, member: Column) -> DataFrame:

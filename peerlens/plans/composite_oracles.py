@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracles import BAND, COVER, FEATURES, FITS, GROUP, LEDGER, ROLES, WIDE, K, base, ranked
+import re
+
+from .oracles import BAND, COVER, FEATURES, FITS, GROUP, LEDGER, ROLES, SIMILAR, WIDE, K, base, ranked
 
 SAMPLE = BAND.format(v="minutes", null="'very_low'", a=900, b=450, c=180, x="full", y="limited", z="low", rest="very_low")
 COVER_BAND = BAND.format(v=COVER, null="NULL", a=90, b=75, c=50, x="high", y="good", z="partial", rest="low")
@@ -27,6 +29,36 @@ def _seen(kind: str, name: str, parts: dict[str, float], least: float) -> str:
 SEEN = f"seen AS (SELECT *, attempts_per90 AND headline_per90 AS volume, success_percentage AND successes_per90 AS finish, returns_per90 OR success_percentage AS security FROM (SELECT {', '.join(f'count({f}) > 0 AS {f}' for f in FEATURES)} FROM rates))"
 CENSUS = "".join(f" UNION ALL SELECT '{f}', CASE WHEN count({t}) > 0 AND ({'count(minutes) > 0 OR count(recorded_minutes) > 0' if f.endswith('90') else 'count(attempts) > 0'}) THEN 'DERIVABLE' ELSE 'UNAVAILABLE' END FROM stats" for f, t in zip(FEATURES, ("attempts", "successes", "discounted", "returns", "headline", "successes"), strict=True))
 
+PRESETS = """WITH parts AS (SELECT * FROM (VALUES ('runner', 'attempts_per90', 2.0), ('runner', 'headline_per90', 1.0), ('runner', 'discounted_per90', 1.0), ('finisher', 'success_percentage', 2.0),
+    ('finisher', 'score:finish', 1.0), ('finisher', 'returns_per90', 1.0), ('keeper', 'score:security', 2.0), ('keeper', 'attempts_per90', 1.0)) AS t(role, part, w)),
+owners AS (SELECT * FROM (VALUES ('attempts_per90', 'volume'), ('headline_per90', 'volume'), ('success_percentage', 'finish'), ('successes_per90', 'finish'), ('returns_per90', 'security'),
+    ('success_percentage', 'security'), ('score:volume', 'volume'), ('score:finish', 'finish'), ('score:security', 'security')) AS t(part, score)),
+shares AS (SELECT role, score, sum(w::DOUBLE / many) AS w FROM (SELECT role, part, w, score, count(*) OVER (PARTITION BY role, part) AS many FROM parts JOIN owners USING (part)) GROUP BY role, score),
+whole AS (SELECT role, sum(w) AS total FROM parts GROUP BY role),
+steps AS (SELECT role, score, (5 * round(w * 100 / sum(w) OVER (PARTITION BY role) / 5))::INT AS weight, sum(w) OVER (PARTITION BY role) >= 0.5 * total AS told FROM shares JOIN whole USING (role)),
+placed AS (SELECT *, sum(weight) OVER (PARTITION BY role) AS got, row_number() OVER (PARTITION BY role ORDER BY weight DESC, score DESC) AS place FROM steps WHERE told AND weight > 0)
+SELECT role, score, (CASE WHEN place = 1 THEN greatest(5, weight + 100 - got) ELSE weight END)::INT AS weight FROM placed"""
+
+
+def _unit(metric: str, salt: int) -> str:
+    return f"((('0x' || substr(md5(entity_key::VARCHAR || ':' || season_id || ':{metric}:{salt}'), 1, 10))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 1099511627776.0::DOUBLE"
+
+
+def _jitter(m: str) -> str:
+    noise = f"sqrt(-2.0::DOUBLE * ln({_unit(m, 1)})) * cos(2.0::DOUBLE * pi() * {_unit(m, 2)})"
+    return f"least(100.0::DOUBLE, greatest(0.0::DOUBLE, {m} * (1.0::DOUBLE + 0.03::DOUBLE * {noise}))) AS {m}"
+
+
+_second = re.sub(r"\b(targets|compared|alike|similar_rows|mains)\b", r"\1_b", SIMILAR.split("\n", 1)[1])
+JITTERED = f"mains_b AS (SELECT * REPLACE ({', '.join(_jitter(m) for m in FEATURES)}) FROM mains),\n" + _second + "".join(
+    f""", near{x} AS (SELECT peer_group, season_id, target, entity_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY peer_group, season_id, target ORDER BY round(ranked_value, 6) DESC, entity_key) AS place FROM similar_rows{x} WHERE index >= 50) WHERE place <= 10)"""
+    for x in ("", "_b")
+) + """, nearest AS (
+  SELECT peer_group, season_id, target, entity_key, count(*) AS n FROM (SELECT * FROM near UNION ALL SELECT * FROM near_b) GROUP BY ALL
+)"""
+STABILITY = "SELECT peer_group, season_id, target, round(count(*) FILTER (WHERE n = 2)::DOUBLE / count(*), 6) AS jaccard FROM nearest GROUP BY ALL"
+
 ORACLES: dict[str, str] = {
     "widest_contexts": NATIONS + f"""SELECT {K}, score, w.c AS competitions, w.n AS members FROM (
       SELECT {K}, score, max({{'c': CASE WHEN scope = 'global' THEN covered ELSE 1 END, 'n': CASE WHEN scope = 'global' THEN global_n ELSE narrow_n END}}) AS w
@@ -58,7 +90,9 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'outside home', CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END, count(*) FROM r WHERE c_nationkey <> s_nationkey
       UNION ALL SELECT 'past end', CASE WHEN count(ends) > 0 AND count(*) FILTER (WHERE ends < DATE '1998-03-01') >= 0.25::DOUBLE * count(ends) THEN 'warn' ELSE 'pass' END, count(*) FILTER (WHERE ends < DATE '1998-03-01') FROM r""",
     "publication_ledger": "SELECT user_id, event_type, coalesce(min(event_id) FILTER (WHERE ts < TIMESTAMP '2024-01-10'), min(event_id)) AS event_id FROM events GROUP BY 1, 2",
-    "staging_equality": "SELECT count(*) AS staged_rows, count(*) AS served_rows, TRUE AS equal FROM orders",
+    "staging_equality": "SELECT unnest(['reloaded', 'changed', 'twice']) AS candidate, unnest([count(*), count(*), count(*) + 1]) AS staged_rows, count(*) AS served_rows, unnest([TRUE, FALSE, FALSE]) AS equal FROM orders",
+    "role_presets": PRESETS,
+    "similarity_stability": base(WIDE, SIMILAR, JITTERED) + STABILITY,
     "provider_status": f"""WITH {LEDGER}, l AS (SELECT source, {', '.join(f"strftime(max(ran) FILTER (WHERE {t}), '%Y-%m-%d %H:%M') AS {n}" for t, n in (("context = 'PUBLISHED'", 'published'), ('context IS NULL', 'loaded'), ("context = 'CANDIDATE'", 'attempted')))}, count(*) FILTER (WHERE context = 'CANDIDATE' AND status = 'fail') AS failed FROM ledger GROUP BY source)
       SELECT source, published, loaded, attempted, coalesce(failed, 0) AS failed FROM l FULL JOIN (VALUES ('click'), ('silent')) AS p(source) USING (source)""",
     "volumes": " UNION ALL ".join(f"SELECT '{t}' AS entity, count(*) AS n_rows FROM {t}" for t in ("supplier", "part", "lineitem", "customer", "orders"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rates as R
 from ..operators import lifecycle, percentile, scoring, similarity
 from ..operators.metrics import derive, unpivot
+from ..sources.shared import written
 from .fixture import KEYS, METRICS, NAMES, ROLES, SCORES, population, stats, tables
 from .queries import GROUP, TODAY, _fits, _ledger, _long, _targets, loader_checks, ranked_wide
 
@@ -47,7 +48,7 @@ def player_stats(spark: SparkSession, d: str, entities: DataFrame | None = None)
 
 def player_roles(spark: SparkSession, d: str) -> DataFrame:
     """Per row its best role, the other full ones by standing, the partial ones, and the rest, closest to coverage first."""
-    fits = _fits(spark, d)
+    fits = _fits(ranked_wide(spark, d))
     standing = F.coalesce("fit", "raw")
     names = lambda test, order: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(test, F.struct(order.alias("o"), F.col("role"))))), lambda x: x["role"]), ",")
     full = names(F.col("validity") == "full", -F.round(standing, 6))
@@ -57,9 +58,10 @@ def player_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def player_profile(spark: SparkSession, d: str) -> DataFrame:
     """One row of everything: minutes and bands, scores with thin ones withheld, best role, counts of strong and weak metrics."""
-    wide = scoring.with_scores(ranked_wide(spark, d), SCORES)
+    ranked = written(ranked_wide(spark, d), "ranked")
+    wide = scoring.with_scores(ranked, SCORES)
     count = lambda test: sum((F.coalesce(test(F.col(m)), F.lit(False)).cast("int") for m in NAMES), F.lit(0))
-    best = scoring.best_role(_fits(spark, d), KEYS).select(*KEYS, F.col("role").alias("best"))
+    best = scoring.best_role(_fits(ranked), KEYS).select(*KEYS, F.col("role").alias("best"))
     cover = R.coverage_band(R.coverage("recorded_minutes", "minutes"))
     out = wide.select(*KEYS, "minutes", R.sample_band("minutes").alias("sample_band"), cover.alias("coverage_band"), *[F.when(F.col("minutes") >= 180, F.round(f"score:{s.name}", 6)).alias(s.name) for s in SCORES], count(lambda c: c >= 70).alias("strong"), count(lambda c: c <= 40).alias("weak"))
     return out.join(best, KEYS, "left")
@@ -74,10 +76,11 @@ def comparison_caveats(spark: SparkSession, d: str) -> DataFrame:
 
 def score_distributions(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles, scores and full role scores: how many are known, their spread and the share of 90 and more."""
-    wide = scoring.with_scores(ranked_wide(spark, d), SCORES)
+    ranked = written(ranked_wide(spark, d), "ranked")
+    wide = scoring.with_scores(ranked, SCORES)
     made = wide.select("peer_group", *[F.col(m).alias(f"percentile:{m}") for m in NAMES], *[F.col(f"`score:{s.name}`") for s in SCORES])
     long = unpivot(made, ["peer_group"], [c for c in made.columns[1:]]).select("peer_group", F.col("metric").alias("name"), "value")
-    roles = _fits(spark, d).select("peer_group", F.concat(F.lit("role:"), "role").alias("name"), F.when(F.col("validity") == "full", F.col("raw")).alias("value"))
+    roles = _fits(ranked).select("peer_group", F.concat(F.lit("role:"), "role").alias("name"), F.when(F.col("validity") == "full", F.col("raw")).alias("value"))
     six = lambda c, name: F.round(c, 6).alias(name)
     return long.union(roles).groupBy("peer_group", "name").agg(F.count("value").alias("known"), six(F.min("value"), "least"), six(F.median("value"), "middle"), six(F.max("value"), "most"), six(F.count_if(F.col("value") >= 90) / F.nullif(F.count("value"), F.lit(0)), "top_share"))
 
@@ -85,12 +88,13 @@ def score_distributions(spark: SparkSession, d: str) -> DataFrame:
 def similarity_stability(spark: SparkSession, d: str, spread: float = 0.03, top: int = 10) -> DataFrame:
     """Per target: the Jaccard similarity of its nearest ``top`` before and after all percentiles are jittered by normal
     noise of ``spread`` that is hashed from row and metric."""
-    rows = ranked_wide(spark, d).where("is_primary")
-    unit = lambda m, salt: (F.pmod(F.xxhash64("entity_key", "season_id", F.lit(m), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    rows = written(ranked_wide(spark, d).where("is_primary"), "ranked")
+    text = lambda m, salt: F.concat_ws(":", "entity_key", "season_id", F.lit(m), F.lit(salt)).cast("binary")
+    unit = lambda m, salt: (F.conv(F.substring(F.md5(text(m, salt)), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     noise = lambda m: F.sqrt(-2 * F.log(unit(m, 1))) * F.cos(2 * F.pi() * unit(m, 2))
     moved = rows.select(*[c for c in rows.columns if c not in NAMES], *[R.clamp(F.col(m) * (1 + spread * noise(m))).alias(m) for m in NAMES])
     by = ["peer_group", "season_id", "target"]
-    w = Window.partitionBy(*by).orderBy(F.desc("ranked"), "entity_key")
+    w = Window.partitionBy(*by).orderBy(F.desc(F.round("ranked", 6)), "entity_key")
     near = lambda df: similarity.similar(df, _targets(df), ["peer_group", "season_id"], "entity_key", NAMES, "minutes").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     both = near(rows).select(*by, "entity_key", F.lit(1).alias("_a")).join(near(moved).select(*by, "entity_key", F.lit(1).alias("_b")), [*by, "entity_key"], "full")
     return both.groupBy(*by).agg(F.round(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()) / F.count("*"), 6).alias("jaccard"))
@@ -123,8 +127,14 @@ def publication_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def staging_equality(spark: SparkSession, d: str) -> DataFrame:
+    """A reloaded copy of the orders, which is equal, and two candidates that aren't: one with a changed price, one with a row twice."""
     (orders,) = tables(spark, d, "orders")
-    return lifecycle.same_rows(orders.orderBy("o_totalprice"), orders, orders.columns)
+    odd = F.col("o_orderkey") == F.lit(orders.agg(F.min("o_orderkey")).first()[0])
+    reloaded = written(orders.orderBy("o_totalprice"), "orders")
+    changed = orders.withColumn("o_totalprice", F.when(odd, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    twice = orders.union(orders.where(odd))
+    parts = [lifecycle.same_rows(x, orders, orders.columns).select(F.lit(n).alias("candidate"), "*") for n, x in (("reloaded", reloaded), ("changed", changed), ("twice", twice))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def provider_status(spark: SparkSession, d: str) -> DataFrame:

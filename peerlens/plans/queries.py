@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rates as R
 from ..operators import filters, identity, percentile, presets, quality, reading, reliability, scoring, similarity
 from ..operators.metrics import coverage_by_group, derive, unpivot
+from ..sources.shared import written
 from ..sources.writers import csv_lines
 from .fixture import KEYS, LOWER, METRICS, NAMES, ROLES, SCORES, population, stats, tables
 
@@ -87,13 +88,17 @@ def maturity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("peer_group", "season_id", "units", "established", "share", "median_most", F.array_join("covered", ",").alias("covered"), "early_season")
 
 
+CARRIED = ["minutes", "recorded_minutes", "market_value", "is_primary"]
+
+
 def ranked_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Totals with the oriented global percentile of each metric under its name; one unpivot, one ranking, one pivot back."""
-    rows = population(spark, d)
-    ranks = percentile.mid_rank(_long(rows), GROUP, F.col("is_primary"))
+    """Totals with the oriented global percentile of each metric under its name: one unpivot, one ranking, and one pivot back,
+    through all of which the totals that are still needed are carried, so that the facts are read once."""
+    long = unpivot(population(spark, d), [*KEYS, *CARRIED], NAMES)
+    ranks = percentile.mid_rank(long, GROUP, F.col("is_primary"))
     ranks = ranks.withColumn("o", F.when(F.col("n") >= percentile.THIN, percentile.oriented(F.col("percentile"), F.col("metric"), LOWER)))
-    wide = ranks.groupBy(*KEYS).pivot("metric", NAMES).agg(F.first("o"))
-    return wide.join(rows.select(*KEYS, "minutes", "recorded_minutes", "market_value", "is_primary"), KEYS)
+    own = [F.max(F.when(F.col("metric") == m, F.col("o"))).alias(m) for m in NAMES]
+    return ranks.groupBy(*KEYS).agg(*own, *[F.first(c).alias(c) for c in CARRIED])
 
 
 def composite_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -106,27 +111,27 @@ def unproducible_scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.unproducible(derive(stats(spark, d), METRICS), SCORES)
 
 
-def _roles(spark: SparkSession, d: str) -> DataFrame:
-    scored = scoring.with_scores(ranked_wide(spark, d), SCORES)
+def _roles(wide: DataFrame) -> DataFrame:
+    scored = scoring.with_scores(wide, SCORES)
     return scoring.with_roles(scored, [*KEYS, "minutes", "market_value", "is_primary"], "peer_group", ROLES)
 
 
 def role_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _roles(spark, d).select(*KEYS, "role", F.round("raw", 6).alias("raw"), F.round("coverage", 6).alias("coverage"), "validity", scoring.coverage_band(F.round("coverage", 9)).alias("band"))
+    return _roles(ranked_wide(spark, d)).select(*KEYS, "role", F.round("raw", 6).alias("raw"), F.round("coverage", 6).alias("coverage"), "validity", scoring.coverage_band(F.round("coverage", 9)).alias("band"))
 
 
-def _fits(spark: SparkSession, d: str) -> DataFrame:
-    long = _roles(spark, d).withColumn("value", F.when(F.col("validity") == "full", F.round("raw", 6)))
+def _fits(wide: DataFrame) -> DataFrame:
+    long = _roles(wide).withColumn("value", F.when(F.col("validity") == "full", F.round("raw", 6)))
     out = percentile.mid_rank(long, ["role", "season_id"], None, "_fit", "_n")
     return out.withColumn("fit", F.when(F.col("_n") >= percentile.THIN, F.col("_fit")))
 
 
 def role_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _fits(spark, d).select(*KEYS, "role", "validity", "fit")
+    return _fits(ranked_wide(spark, d)).select(*KEYS, "role", "validity", "fit")
 
 
 def best_roles(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.best_role(_fits(spark, d), KEYS).select(*KEYS, "role", "standing")
+    return scoring.best_role(_fits(ranked_wide(spark, d)), KEYS).select(*KEYS, "role", "standing")
 
 
 def shrunk_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +163,7 @@ def opportunity_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opportunities(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
-    best = scoring.best_role(_fits(spark, d).where("is_primary"), KEYS).withColumn("raw", F.round("raw", 6))
+    best = written(scoring.best_role(_fits(ranked_wide(spark, d)).where("is_primary"), KEYS).withColumn("raw", F.round("raw", 6)), "best")
     prior = best.agg(F.avg("raw").alias("_prior"))
     kept = best.join(F.broadcast(prior)).where(filters.predicate(filters.OPPORTUNITY, minutes_min=450, value_max=5000))
     out = reliability.rank_by_evidence(kept.withColumn("_p", F.col("_prior")), "raw", "minutes", (), F.col("_prior"))
@@ -178,7 +183,7 @@ def _targets(rows: DataFrame) -> DataFrame:
 
 def similar_profiles(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
     """What is most like the row of most minutes in each group and season."""
-    rows = ranked_wide(spark, d).where("is_primary")
+    rows = written(ranked_wide(spark, d).where("is_primary"), "ranked")
     out = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes")
     w = Window.partitionBy("peer_group", "season_id", "target").orderBy(F.desc(F.round("ranked", 6)), "entity_key")
     out = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
@@ -187,9 +192,10 @@ def similar_profiles(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
 
 def replacements(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
     """Similarity .55, role fit .30 and affordability .15; complete candidates come before those that lack a part."""
-    rows = ranked_wide(spark, d).where("is_primary")
+    wide = written(ranked_wide(spark, d), "ranked")
+    rows = wide.where("is_primary")
     alike = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes")
-    fit = scoring.best_role(_fits(spark, d).where("is_primary"), ["entity_key", "season_id"]).select("entity_key", "season_id", F.col("standing").alias("role_fit"))
+    fit = scoring.best_role(_fits(wide).where("is_primary"), ["entity_key", "season_id"]).select("entity_key", "season_id", F.col("standing").alias("role_fit"))
     value = rows.select("entity_key", "season_id", F.col("market_value"))
     parts = alike.drop("mean", "weight", "ranked", "adjusted").join(fit, ["entity_key", "season_id"], "left").join(value, ["entity_key", "season_id"])
     parts = parts.withColumn("afford", R.market_fit("market_value", 5000.0))
@@ -329,9 +335,9 @@ def role_presets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
-    ranks = percentile.mid_rank(_long(population(spark, d)), GROUP, F.col("is_primary"))
-    ranks = ranks.withColumn("oriented", F.when(F.col("n") >= percentile.THIN, percentile.oriented(F.col("percentile"), F.col("metric"), LOWER)))
-    best = scoring.best_role(_fits(spark, d), KEYS).select(*KEYS, "role")
+    wide = written(ranked_wide(spark, d), "ranked")
+    ranks = unpivot(wide, KEYS, NAMES).withColumnRenamed("value", "oriented")
+    best = scoring.best_role(_fits(wide), KEYS).select(*KEYS, "role")
     own = {r.name: [m for m in r.weights if not m.startswith("score:")] for r in ROLES}
     return reading.highlights(ranks.join(best, KEYS), KEYS, own, "role")
 
@@ -391,7 +397,7 @@ def distribution_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def unscored_roles(spark: SparkSession, d: str) -> DataFrame:
     """Roles that a row has too little for, and the coverage that is short."""
-    return _roles(spark, d).where("raw IS NULL").select(*KEYS, "role", F.round(0.5 - F.col("coverage"), 6).alias("shortfall"))
+    return _roles(ranked_wide(spark, d)).where("raw IS NULL").select(*KEYS, "role", F.round(0.5 - F.col("coverage"), 6).alias("shortfall"))
 
 
 def shortlist_counts(spark: SparkSession, d: str) -> DataFrame:
