@@ -15,7 +15,9 @@ MARGIN = 0.05
 MAX_BLOCK = 400
 
 # Letters that compatibility decomposition leaves whole.
-LETTERS = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ı": "i", "þ": "th", "ð": "d"}
+LETTERS = {"ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "þ": "th", "Þ": "th", "ı": "i", "ħ": "h", "Ħ": "h", "ŧ": "t", "Ŧ": "t"}
+# Name scores that count as very like and like.
+VERY_STRONG, STRONG = 0.92, 0.85
 
 
 def plain(name: str | None) -> str | None:
@@ -49,7 +51,10 @@ def word_score(a: str, b: str) -> float:
 
 
 def name_score(a: str | None, b: str | None) -> float:
-    """1 for equal names, .98 for the same words, else from a greedy pairing of words, their last ones and how many pair up."""
+    """1 for equal names, .98 for the same words, else from how the words pair up, their last ones and how many pair up.
+
+    The shorter name's words (the first name's, if both have as many) choose in their order, each the likest word that is
+    left, the earliest among equals."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -57,13 +62,15 @@ def name_score(a: str | None, b: str | None) -> float:
     p, q = a.split(), b.split()
     if set(p) == set(q):
         return 0.98
-    pairs = sorted(((word_score(x, y), -i, -j) for i, x in enumerate(p) for j, y in enumerate(q)), reverse=True)
-    used_p, used_q, got = set(), set(), []
-    for s, i, j in pairs:
-        if i not in used_p and j not in used_q:
-            used_p.add(i), used_q.add(j), got.append(s)
-    mean, cover = sum(got) / len(got), min(len(p), len(q)) / max(len(p), len(q))
-    return min(0.97, 0.55 * mean + 0.30 * word_score(p[-1], q[-1]) + 0.15 * cover)
+    few, left = (p, list(q)) if len(p) <= len(q) else (q, list(p))
+    many, got = len(left), 0.0
+    for word in few:
+        best = max(range(len(left)), key=lambda k: word_score(word, left[k]))
+        score = word_score(word, left[best])
+        if score > 0:
+            del left[best]
+        got += score
+    return min(0.97, 0.55 * got / len(few) + 0.30 * word_score(p[-1], q[-1]) + 0.15 * len(few) / many)
 
 
 def contained(a: str | None, b: str | None) -> bool:
@@ -110,19 +117,42 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
         return pd.Series([contained(x, y) for x, y in zip(a, b, strict=True)])
 
     rows = pairs.withColumn("name_score", score("left_name", "right_name")).withColumn("within", within("left_name", "right_name"))
-    n, born = F.col("name_score"), F.col("left_born") == F.col("right_born")
-    help_ = F.coalesce(F.col("same_club").cast("int"), F.lit(0)) * 0.03 + F.coalesce(F.col("same_nation").cast("int"), F.lit(0)) * 0.02
-    against = F.coalesce(~F.col("same_nation"), F.lit(False))
-    step = (
-        F.when(born & (n >= 0.98), F.struct(F.lit(0.99).alias("confidence"), F.lit("exact").alias("method")))
-        .when(born & F.col("within") & ~against, F.struct(F.lit(0.95).alias("confidence"), F.lit("contained").alias("method")))
-        .when(born, F.struct(F.least(F.lit(0.97), n * 0.9 + 0.05 + help_).alias("confidence"), F.lit("date and name").alias("method")))
-        .when(born.isNull(), F.struct(F.least(F.lit(0.93), n * 0.85 + help_ * 2).alias("confidence"), F.lit("name").alias("method")))
-        .otherwise(F.struct(F.least(F.lit(0.80), n * 0.8).alias("confidence"), F.lit("dates differ").alias("method")))
-    )
+    n = F.col("name_score")
+    club, nation = (F.coalesce(F.col(c), F.lit(False)) for c in ("same_club", "same_nation"))
+    dated = F.coalesce(F.col("left_born") == F.col("right_born"), F.lit(False))
+    both = F.col("left_born").isNotNull() & F.col("right_born").isNotNull()
+    year = F.coalesce(F.year("left_born") == F.year("right_born"), F.lit(False))
+    rules = [  # the first that holds decides
+        (dated & (n >= 1) & club, F.lit(1.00), "name, date, club"),
+        (dated & (n >= 1), F.lit(0.95), "name, date"),
+        (dated & (n >= VERY_STRONG), F.lit(0.98), "date, very like name"),
+        (dated & (n >= STRONG) & nation & club, F.lit(0.92), "date, like name, nation, club"),
+        (dated & (n >= STRONG) & (nation | club), F.lit(0.90), "date, like name, nation or club"),
+        (dated & (n >= STRONG), F.lit(0.86), "date, like name"),
+        (dated & F.col("within") & nation & club, F.lit(0.92), "date, part of name, nation, club"),
+        (dated & F.col("within") & (nation | club), F.lit(0.90), "date, part of name, nation or club"),
+        (dated, F.least(F.lit(0.70), 0.45 + n * 0.3), "date, weak name"),
+        (both & ~year, F.least(F.lit(0.30), n * 0.3), "years differ"),
+        (both & (n >= VERY_STRONG) & (nation | club), F.lit(0.88), "year, very like name, nation or club"),
+        (both, F.least(F.lit(0.75), n * 0.75), "year, name"),
+        ((n >= 1) & nation & club, F.lit(0.85), "name, nation, club"),
+        ((n >= VERY_STRONG) & (nation | club), F.lit(0.72), "very like name, nation or club"),
+    ]
+    last = F.struct(F.least(F.lit(0.65), n * 0.65).alias("confidence"), F.lit("name alone").alias("method"))
+    step = last
+    for holds, confidence, method in reversed(rules):
+        step = F.when(holds, F.struct(confidence.alias("confidence"), F.lit(method).alias("method"))).otherwise(step)
     return rows.withColumn("_s", step).select(*pairs.columns, "name_score", "_s.confidence", "_s.method")
 
 
+def unblocked(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(surname, left_rows, right_rows): undated left rows that ``candidates`` compares with nobody, as more than ``max_block``
+    right rows have their surname; a larger ``max_block`` compares them too."""
+    a = left.where("born IS NULL").groupBy(surname(F.col("name")).alias("surname")).agg(F.count("*").alias("left_rows"))
+    b = right.groupBy(surname(F.col("name")).alias("surname")).agg(F.count("*").alias("right_rows"))
+    return a.join(b, "surname").where(F.col("right_rows") > max_block)
+
+
 def decide(scored: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, confidence, status) from (left_id, right_id, confidence): a manual override wins; the best under
     ACCEPT is unmatched; within MARGIN of the runner-up it is ambiguous."""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rates import expires_within
 from .reliability import rank_by_evidence
 
 CENTRE = 50.0
@@ -53,17 +55,53 @@ def gaps(a: Column, b: Column, features: Sequence[str]) -> Column:
     return F.sort_array(F.array_compact(zipped))
 
 
-def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, features: Sequence[str], minutes: str, least: int = MIN_SHARED) -> DataFrame:
-    """For each target the rows of its group that are like it: index, strength, shared, and ranked by evidence.
-
-    ``rows`` and ``targets``: ``by``, ``key``, ``minutes`` and the features. Rows are drawn to the mean of all candidates
-    of the target before those under MIN_INDEX are left out. A target needs ``least`` features, a pair half of all.
+def coverage_band(shared: Column, expected: int) -> Column:
+    """How much of the profile both have."""
+    share = shared / F.lit(float(expected))
+    return F.when(share >= 0.85, "high").when(share >= 0.65, "good").when(share >= 0.5, "limited").otherwise("very limited")
+
+
+def allowed(
+    *, age_min=None, age_max=None, value_max=None, competitions=None, nationalities=None, other_competition=False, other_club=False, younger=False, expires=None, today: date | None = None, recorded_min=None
+) -> Column:
+    """All given conditions on a candidate's columns, and on its target's, which are named target_<column>.
+
+    An unknown age, nationality or club passes; an unknown value isn't within a budget, an unknown contract isn't about to
+    expire, and unknown recorded minutes are 0."""
+    of = lambda c: F.col(f"target_{c}")
+    tests = [
+        (age_min is not None, lambda: F.coalesce(F.col("age") >= age_min, F.lit(True))),
+        (age_max is not None, lambda: F.coalesce(F.col("age") <= age_max, F.lit(True))),
+        (value_max is not None, lambda: F.coalesce(F.col("market_value") <= value_max, F.lit(False))),
+        (competitions is not None, lambda: F.coalesce(F.col("competition_id").isin(*competitions), F.lit(False))),
+        (nationalities is not None, lambda: F.coalesce(F.col("nationality").isin(*nationalities), F.lit(True))),
+        (other_competition, lambda: ~F.col("competition_id").eqNullSafe(of("competition_id"))),
+        (other_club, lambda: F.coalesce(F.col("club_id") != of("club_id"), F.lit(True))),
+        (younger, lambda: F.coalesce(F.col("age") < of("age"), F.lit(True))),
+        (expires is not None, lambda: expires_within("contract_expires", today, expires)),
+        (recorded_min is not None, lambda: F.coalesce("recorded_minutes", F.lit(0)) >= recorded_min),
+    ]
+    out = F.lit(True)
+    for asked, test in tests:
+        out = out & test() if asked else out
+    return out
+
+
+def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, features: Sequence[str], minutes: str, least: int = MIN_SHARED, carry: Sequence[str] = (), allow: Column | None = None) -> DataFrame:
+    """For each target the rows of its group that are like it: index, strength, shared, band, and ranked by evidence.
+
+    ``rows`` and ``targets``: ``by``, ``key``, ``minutes``, the features and what ``carry`` names. ``allow`` is a condition on
+    carried columns, as ``allowed`` makes; only what it allows counts as a candidate. Rows are drawn to the mean of all
+    candidates of the target before those under MIN_INDEX are left out. A target needs ``least`` features, a pair half of all.
     Targets are what a caller asks for; each of their groups is read once, joined on the group."""
-    t = targets.select(*by, F.col(key).alias("target"), vector(features).alias("_t"))
+    t = targets.select(*by, F.col(key).alias("target"), vector(features).alias("_t"), *[F.col(c).alias(f"target_{c}") for c in carry])
     t = t.where(F.size(F.array_compact("_t")) >= least)
-    c = rows.select(*by, key, minutes, vector(features).alias("_c"))
-    pairs = c.join(t, list(by)).where(F.col(key) != F.col("target")).withColumn("_m", compare(F.col("_t"), F.col("_c")))
-    pairs = pairs.where(F.col("_m.shared") >= required(len(features), least))
-    measured = pairs.select(*by, "target", key, minutes, F.col("_m.shared").alias("shared"), index(F.col("_m.cosine")).alias("index"), F.col("_m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
+    c = rows.select(*by, key, minutes, vector(features).alias("_c"), *[x for x in carry if x != minutes])
+    pairs = c.join(t, list(by)).where(F.col(key) != F.col("target"))
+    if allow is not None:
+        pairs = pairs.where(allow)
+    pairs = pairs.withColumn("_m", compare(F.col("_t"), F.col("_c"))).where(F.col("_m.shared") >= required(len(features), least))
+    shared = F.col("_m.shared")
+    measured = pairs.select(*by, "target", key, minutes, shared.alias("shared"), coverage_band(shared, len(features)).alias("band"), index(F.col("_m.cosine")).alias("index"), F.col("_m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
     ranked = rank_by_evidence(measured, "index", minutes, [*by, "target"])
     return ranked.where(F.col("index") >= MIN_INDEX)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .oracles import ORACLES as MAIN
 from .oracles import BAND, COVER, FEATURES, FITS, GROUP, LEDGER, ROLES, SIMILAR, WIDE, K, base, ranked
 
 SAMPLE = BAND.format(v="minutes", null="'very_low'", a=900, b=450, c=180, x="full", y="limited", z="low", rest="very_low")
@@ -91,6 +92,12 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'past end', CASE WHEN count(ends) > 0 AND count(*) FILTER (WHERE ends < DATE '1998-03-01') >= 0.25::DOUBLE * count(ends) THEN 'warn' ELSE 'pass' END, count(*) FILTER (WHERE ends < DATE '1998-03-01') FROM r""",
     "publication_ledger": "SELECT user_id, event_type, coalesce(min(event_id) FILTER (WHERE ts < TIMESTAMP '2024-01-10'), min(event_id)) AS event_id FROM events GROUP BY 1, 2",
     "staging_equality": "SELECT unnest(['reloaded', 'changed', 'twice']) AS candidate, unnest([count(*), count(*), count(*) + 1]) AS staged_rows, count(*) AS served_rows, unnest([TRUE, FALSE, FALSE]) AS equal FROM orders",
+    "similar_filtered": base(WIDE, SIMILAR.replace("c.entity_key <> t.entity_key", "c.entity_key <> t.entity_key AND c.market_value <= 8000 AND c.competition_id <> t.competition_id AND coalesce(c.recorded_minutes, 0) >= 120"))
+    + "SELECT peer_group, season_id, target, place::INTEGER AS place, entity_key, shared, CASE WHEN shared / 6.0::DOUBLE >= 0.85::DOUBLE THEN 'high' WHEN shared / 6.0::DOUBLE >= 0.65::DOUBLE THEN 'good' WHEN shared >= 3 THEN 'limited' ELSE 'very limited' END AS band, round(index, 6) AS index, round(ranked_value, 6) AS ranked FROM (SELECT *, row_number() OVER (PARTITION BY peer_group, season_id, target ORDER BY round(ranked_value, 6) DESC, entity_key) AS place FROM similar_rows WHERE index >= 50) WHERE place <= 10",
+    "repointed_orders": f"SELECT CASE WHEN refused = FALSE THEN target_id ELSE o_custkey END AS o_custkey, count(*) AS n_orders FROM orders LEFT JOIN ({MAIN['identity_merges']}) ON o_custkey = source_id GROUP BY 1",
+    "identity_evaluation": f"""SELECT found, "right", round("right"::DOUBLE / nullif(found, 0), 6) AS precision, round("right"::DOUBLE / nullif(n, 0), 6) AS recall FROM (
+      SELECT count(right_id) AS found, count(*) FILTER (WHERE right_id = true_id) AS "right", count(*) AS n FROM (SELECT o_custkey AS left_id, min(o_orderkey) AS true_id FROM orders WHERE (floor(o_totalprice)::BIGINT % 200 + 800)::DOUBLE / 1000 >= 0.95::DOUBLE GROUP BY 1)
+      LEFT JOIN ({MAIN['identity_decisions']}) USING (left_id))""",
     "role_presets": PRESETS,
     "similarity_stability": base(WIDE, SIMILAR, JITTERED) + STABILITY,
     "provider_status": f"""WITH {LEDGER}, l AS (SELECT source, {', '.join(f"strftime(max(ran) FILTER (WHERE {t}), '%Y-%m-%d %H:%M') AS {n}" for t, n in (("context = 'PUBLISHED'", 'published'), ('context IS NULL', 'loaded'), ("context = 'CANDIDATE'", 'attempted')))}, count(*) FILTER (WHERE context = 'CANDIDATE' AND status = 'fail') AS failed FROM ledger GROUP BY source)

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rates as R
-from ..operators import lifecycle, percentile, scoring, similarity
+from ..operators import identity, lifecycle, percentile, scoring, similarity
 from ..operators.metrics import derive, unpivot
 from ..sources.shared import written
 from .fixture import KEYS, METRICS, NAMES, ROLES, SCORES, population, stats, tables
-from .queries import GROUP, TODAY, _fits, _ledger, _long, _targets, loader_checks, ranked_wide
+from .queries import GROUP, TODAY, _fits, _ledger, _long, _targets, identity_decisions, identity_merges, loader_checks, ranked_wide
 
 
 def widest_contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -190,8 +190,34 @@ def canonical_records(spark: SparkSession, d: str) -> DataFrame:
     return stats(spark, d).select(*KEYS, R.nonnegative_difference("attempts", "returns").alias("unreturned"), R.nonnegative_difference("minutes", "recorded_minutes").alias("unrecorded"), (F.col("successes") + F.col("returns")).alias("taken"))
 
 
+def similar_filtered(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
+    """What is like each target in another competition, within a budget and with enough recorded minutes."""
+    rows = written(ranked_wide(spark, d).where("is_primary"), "ranked")
+    allow = similarity.allowed(value_max=8000, other_competition=True, recorded_min=120)
+    out = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes", carry=["competition_id", "market_value", "recorded_minutes"], allow=allow)
+    w = Window.partitionBy("peer_group", "season_id", "target").orderBy(F.desc(F.round("ranked", 6)), "entity_key")
+    out = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return out.select("peer_group", "season_id", "target", "place", "entity_key", "shared", "band", F.round("index", 6).alias("index"), F.round("ranked", 6).alias("ranked"))
+
+
+def repointed_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose customers are merged where no merge is refused, counted by who holds them then."""
+    (orders,) = tables(spark, d, "orders")
+    merged = identity_merges(spark, d)
+    return identity.repoint(orders.select("o_custkey", "o_orderkey"), merged, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+
+
+def identity_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the decisions if each customer's right order were the first one of a confidence of at least .95."""
+    (orders,) = tables(spark, d, "orders")
+    sure = orders.where((F.floor("o_totalprice") % 200 + 800) / 1000 >= 0.95)
+    truth = sure.groupBy(F.col("o_custkey").alias("left_id")).agg(F.min("o_orderkey").alias("true_id"))
+    out = identity.evaluate(identity_decisions(spark, d), truth)
+    return out.select("found", "right", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 QUERIES = {f.__name__: f for f in (
     widest_contexts, player_summary, player_stats, player_roles, player_profile, comparison_caveats, score_distributions, similarity_stability, source_purge, ownership_checks,
     context_checks, publication_ledger, staging_equality, provider_status, volumes, name_resolution, weight_report, metric_census, check_report, club_countries,
-    canonical_records,
+    canonical_records, similar_filtered, repointed_orders, identity_evaluation,
 )}

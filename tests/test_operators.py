@@ -160,3 +160,44 @@ def test_quality(spark):
     e = spark.createDataFrame([], "a long, b string")
     assert {r["field"]: r["null_share"] for r in quality.profile(e).collect()} == {"a": None, "b": None}
     assert not quality.publishable(e, e).first()["publish"]
+
+
+def test_name_scores_pair_words_in_order():
+    """Worked out by hand: the shorter name's words choose first, each the likest word left."""
+    assert identity.name_score("a b", "b c d") == pytest.approx(0.55 * (0.0 + 1.0) / 2 + 0.30 * 0.0 + 0.15 * 2 / 3)
+    assert identity.name_score("l farrugia", "liam farrugia") == pytest.approx(0.55 * (0.85 + 1) / 2 + 0.30 + 0.15)
+    assert identity.plain("Ødegaard Þór ĦAL Ŧun") == "odegaard thor hal tun"
+
+
+def test_pair_score_ladder(spark):
+    from datetime import date
+
+    day, other, year = date(1990, 1, 2), date(1990, 3, 4), date(1985, 1, 2)
+    cases = [
+        ("ann lee", "ann lee", day, day, None, True, 1.00), ("ann lee", "ann lee", day, day, True, None, 0.95), ("ann lee", "lee ann", day, day, None, None, 0.98),
+        ("joao castilho", "joao castilho carvalho", day, day, True, True, 0.92), ("joao castilho", "joao castilho carvalho", day, day, None, True, 0.90), ("bo wu", "xi pa", day, day, True, True, None),
+        ("ann lee", "ann lee", day, year, True, True, 0.30), ("ann lee", "ann lee", day, other, True, None, 0.88), ("ann lee", "ann lee", day, other, None, None, 0.75),
+        ("ann lee", "ann lee", None, day, True, True, 0.85), ("ann lee", "lee ann", None, None, True, None, 0.72), ("ann lee", "ann lee", None, None, None, None, 0.65),
+    ]
+    df = spark.createDataFrame([(i, *c[:6]) for i, c in enumerate(cases)], "i int, left_name string, right_name string, left_born date, right_born date, same_nation boolean, same_club boolean")
+    got = {r["i"]: r for r in identity.pair_scores(df).collect()}
+    for i, c in enumerate(cases):
+        want = min(0.70, 0.45 + 0.3 * got[i]["name_score"]) if c[6] is None else c[6]
+        assert got[i]["confidence"] == pytest.approx(want), (c, got[i])
+
+
+def test_undated_rows_without_a_comparison_are_told(spark):
+    left = spark.createDataFrame([(1, "a smith", None), (2, "b lee", None)], "id int, name string, born date")
+    right = spark.createDataFrame([(i, f"c{i} smith", None) for i in range(5)] + [(9, "d lee", None)], "id int, name string, born date")
+    assert [tuple(r) for r in identity.unblocked(left, right, 4).collect()] == [("smith", 1, 5)]
+    assert {r["left_id"] for r in identity.candidates(left, right, 4).collect()} == {2} and identity.candidates(left, right, 5).count() == 6
+
+
+def test_similarity_filters(spark):
+    from peerlens.operators import similarity
+
+    rows = [(1, 20, 5, "x", "c1", "k", 100), (2, None, None, "y", "c2", None, 300), (3, 31, 9, "x", "c2", "k", None)]
+    df = spark.createDataFrame(rows, "id int, age int, market_value int, nationality string, competition_id string, club_id string, recorded_minutes int").selectExpr("*", "25 AS target_age", "'c1' AS target_competition_id", "'k' AS target_club_id")
+    ids = lambda **asked: [r["id"] for r in df.where(similarity.allowed(**asked)).orderBy("id").collect()]
+    assert ids(age_min=21) == [2, 3] and ids(age_max=30) == [1, 2] and ids(value_max=8) == [1] and ids(competitions=["c2"]) == [2, 3] and ids(nationalities=["y"]) == [2]
+    assert ids(other_competition=True) == [2, 3] and ids(other_club=True) == [2] and ids(younger=True) == [1, 2] and ids(recorded_min=100) == [1, 2] and ids() == [1, 2, 3]
