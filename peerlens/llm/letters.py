@@ -35,9 +35,9 @@ def ngram_codes(texts: Sequence[str], bits: int, order: int) -> tuple[np.ndarray
     before[1:] = symbols[:-1]
     before[np.cumsum(lengths) - lengths] = 0
     keep = (symbols != 0) | (before != 0)
-    owner = np.repeat(np.arange(len(texts)), lengths)[keep]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[keep]
     symbols = symbols[keep]
-    at = np.arange(len(symbols)) + (owner + 1) * (order - 1)
+    at = np.arange(len(symbols), dtype=np.int32) + (owner + 1) * np.int32(order - 1)
     kind = np.uint32 if bits * order <= 32 else np.int64
     padded = np.zeros(len(symbols) + (len(texts) + 1) * (order - 1), kind)
     padded[at] = symbols
@@ -48,7 +48,7 @@ def ngram_codes(texts: Sequence[str], bits: int, order: int) -> tuple[np.ndarray
 
 
 #: The most entries of a table with a place for every n-gram over the symbols that occur.
-DENSE = 1 << 23
+DENSE = 1 << 22
 
 
 class Dense:

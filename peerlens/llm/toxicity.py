@@ -65,12 +65,12 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             for (fold, y), part in pdf.groupby(["fold", "toxic"]):
                 texts = part["text"].tolist()
-                for a, b in runs(texts, 1 << 22):
+                for a, b in runs(texts):
                     codes, n = counted(ngram_codes(texts[a:b], BITS, ORDER)[0], BITS, ORDER)
                     held.append(pd.DataFrame({"fold": fold, "code": codes, "ordinary": n * (y == 0), "toxic": n * (y == 1)}))
-                    if sum(map(len, held)) > 2_000_000:
+                    if sum(map(len, held)) > 1_000_000:
                         held = [pd.concat(held).groupby(keys, as_index=False).sum()]
-                        if len(held[0]) > 1_000_000:
+                        if len(held[0]) > 500_000:
                             yield held.pop()
         if held:
             yield pd.concat(held).groupby(keys, as_index=False).sum()
