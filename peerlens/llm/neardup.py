@@ -190,23 +190,24 @@ def cut(families: DataFrame, weight: Column, bound: int) -> DataFrame:
 def meet(members: DataFrame, payload: str, sets: bool) -> DataFrame:
     """Links (a, b) within each family. ``members``: family, block, blocks, node and ``payload``, a signature or a set.
 
-    Each block of a family meets itself and the later ones."""
+    Each block of a family meets itself and the later ones. Both sides of a meeting bring their own nodes, also where a block
+    meets itself, as its two copies may have been gathered in different orders; there a member meets itself, which is a link."""
     held = members.groupBy("family", "block", "blocks").agg(F.collect_list(F.struct("node", payload)).alias("m"))
     held = held.select("family", "block", "blocks", F.col("m.node").alias("nodes"), F.col(f"m.{payload}").alias("data"))
     left = held.select("family", F.col("nodes").alias("nodes_a"), F.col("data").alias("data_a"), "block", F.explode(F.expr("sequence(block, blocks - 1)")).alias("other"))
     right = held.select("family", F.col("block").alias("other"), F.col("nodes").alias("nodes_b"), F.col("data").alias("data_b"))
-    pairs = left.join(right, ["family", "other"]).select("nodes_a", "data_a", "nodes_b", "data_b", (F.col("block") == F.col("other")).alias("own"))
+    pairs = left.join(right, ["family", "other"]).select("nodes_a", "data_a", "nodes_b", "data_b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for na, da, nb, db, own in pdf.itertuples(index=False, name=None):
+            for na, da, nb, db in pdf.itertuples(index=False, name=None):
                 if sets:
                     a, b = ([np.frombuffer(x, np.uint64) for x in d] for d in (da, db))
                     i, j = linked(a, b)
                 else:
                     a, b = (np.frombuffer(b"".join(d), np.uint16).reshape(-1, HASHES) for d in (da, db))
                     i, j = survivors(a, b)
-                yield told(np.asarray(na, np.int64), i, j) if own else told(np.concatenate([na, nb]).astype(np.int64), i, j + len(na))
+                yield told(np.concatenate([na, nb]).astype(np.int64), i, j + len(na))
 
     return pairs.mapInPandas(compare, "a long, b long")
 

@@ -837,3 +837,15 @@ def test_pipeline_keeps_clean_documents(spark):
     assert {r["doc_id"] for r in once.select("doc_id").collect()} == {r["doc_id"] for r in neardup.link(lines).where("kept").select("doc_id").collect()}
     assert [c.columns for c in (kept, lines, once, corpus_pipeline.mix_sources(spark, once, sf))] == [docs.columns] * 4
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_a_block_that_meets_itself_in_another_order():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, 40, np.uint64)) for _ in range(4)]
+    ids = np.array([10, 11, 12, 13, 20, 21])
+    sets = [*base, base[1], base[3]]
+    for turn in range(20):
+        p, q = rng.permutation(6), rng.permutation(6)
+        i, j = neardup.linked([sets[x] for x in p], [sets[x] for x in q])
+        found = neardup.told(np.concatenate([ids[p], ids[q]]), i, j + 6)
+        assert set(found.itertuples(index=False, name=None)) == {(20, 11), (21, 13)}
