@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,6 +130,28 @@ def unpacked(docs: DataFrame, row: str, **new: Column) -> list[Column]:
     return [new[c].alias(c) if c in new else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]
 
 
+#: Elements whose sums are run up at once in ``running``.
+RUN_BLOCK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(counts: Column) -> Column:
+    """The sums of what stands before each element of an array of integers, and at last the sum of all.
+
+    Sums are run up in blocks and over the blocks, so that a long array isn't copied for each of its elements."""
+    zero = F.array(F.lit(0).cast("long"))
+    up = lambda xs: F.aggregate(xs, zero, lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(counts) / RUN_BLOCK).cast("int") - 1, F.lit(0)))
+    blocks = F.transform(starts, lambda b: up(F.slice(counts, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK))))
+    totals = lambda found: up(F.transform(found, lambda sums: F.element_at(sums, -1)))
+    moved = lambda found, before: F.flatten(F.transform(found, lambda sums, i: F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda x: x + before[i])))
+    return bound(blocks, lambda found: bound(totals(found), lambda before: F.concat(moved(found, before), F.array(F.element_at(before, -1)))))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -144,3 +166,12 @@ def runs(texts: Sequence[str], limit: int = RUN_CHARS) -> Iterator[tuple[int, in
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: DuckDB SQL: a table of one row with the 256 values of which CRC-32 is made.
+CRC_SQL = "crcs AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(0, 8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) AS c FROM range(256) r(i)))"
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text of ASCII characters, where the table ``crcs`` is joined."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, neardup, packing, syncmers, tokens, toxicity, warc, webpstore
+from . import langid, linededup, mixing, neardup, packing, repair, syncmers, tokens, toxicity, warc, webpstore
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op8_near_duplicates": neardup.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }
