@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, neardup, packing, repair, syncmers, tokens, toxicity, warc, webpstore
+from . import chat, langid, linededup, manifest, mixing, neardup, packing, repair, syncmers, tokens, toxicity, warc, webpstore
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_chat_formatting": chat.op11_chat_formatting,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
 ORACLES = {
@@ -22,5 +24,7 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op8_near_duplicates": neardup.ORACLE,
+    "op11_chat_formatting": chat.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
     "op13_conversation_repair": repair.ORACLE,
 }
