@@ -158,8 +158,9 @@ def dropped_places(docs: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, drops): the packed line numbers that each document row loses; rows that lose none are absent."""
-    return dropped_places(docs).groupBy("doc_id", "row").agg(F.collect_list("places").alias("drops"))
+    """(doc_id, row, drops): the packed line numbers that each document row loses; rows that lose none are absent. Rows that
+    repeat have the same places, which count once."""
+    return dropped_places(docs).groupBy("doc_id", "row").agg(F.collect_set("places").alias("drops"))
 
 
 def keep_mask(n_lines: int, drops: list[bytes] | None) -> np.ndarray:
