@@ -16,7 +16,7 @@ Two texts at the threshold share no band with probability ``(1 - 0.75**ROWS)**BA
 
 Defined results: a text that is null or has no word has an empty set and is linked with nothing; a null doc_id is linked
 with nothing, is kept and has a null component; rows that share a doc_id are one document that has the links of all of
-them; ties and repeated rows have no order to depend on; further columns are ignored, or kept by ``drop_copies``.
+them (the representatives of its texts are linked, and an empty text among them goes with the others); ties and repeated rows have no order to depend on; further columns are ignored, or kept by ``drop_copies``.
 """
 
 from __future__ import annotations
@@ -237,11 +237,18 @@ def link(docs: DataFrame) -> DataFrame:
     families = materialise(cut(families.join(sizes, "node"), 8 * F.col("n"), BLOCK_BYTES), "families")
     texts = marked(docs.select(key.alias("node"), "text"), F.col("node"), families).join(families, "node")
     full = materialise(texts.select("family", "block", "blocks", "node", packed_set("text").alias("set")), "sets")
-    links = components(meet(full, "set", True))
+    reps = classes.select("n", "d1", "d2", "node", F.explode("_salts").alias("_salt"))
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.min(c).alias(f"low_{c}") for c in ("n", "d1", "d2")], *[F.max(c).alias(f"top_{c}") for c in ("n", "d1", "d2")])
+    several = several.where("low_n < top_n OR low_d1 < top_d1 OR low_d2 < top_d2").select("doc_id")
+    shared = rows.where("n > 0").join(several, "doc_id").join(reps, ["n", "d1", "d2", "_salt"]).select("doc_id", "node").distinct()
+    shared = materialise(shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("low")), "doc_id"), "shared-ids")
+    links = components(meet(full, "set", True).union(shared.select("node", "low")))
 
     found = classes.select("n", "d1", "d2", "node", "_salts").join(links, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("_component"), F.explode("_salts").alias("_salt"))
     out = rows.select("doc_id", "n", "d1", "d2", "_salt").join(found, ["n", "d1", "d2", "_salt"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("_component")), F.col("doc_id")))
+    of_id = shared.join(links, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("_of_id"))
+    out = out.join(of_id, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("_component")), F.col("_of_id"), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
