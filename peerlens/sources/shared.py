@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read back, so that it is worked out once and survives lost executors.
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in spark.checkpoint.dir.
 
     Where that is unset, a folder beside the warehouse serves in local mode; on a cluster it is an error."""
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder and read back, so that it is worked out once and survives lost executors."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
