@@ -41,6 +41,17 @@ def rateable_minutes(playing: Column | str, recorded: Column | str) -> Column:
     return F.greatest(*some)
 
 
+def can_rate(denominator: Column | str, floor: float | None = None) -> Column:
+    """Whether a rate over this denominator is worth making: it is known, above 0 and at least the floor, if there is one."""
+    d = col(denominator)
+    return F.coalesce((d > 0) & (d >= floor) if floor is not None else d > 0, F.lit(False))
+
+
+def season_key(start_year: Column | str, season_id: Column | str) -> Column:
+    """What makes seasons of several sources comparable: the year they start in as text, or their own id where that is unknown."""
+    return F.coalesce(col(start_year).cast("string"), col(season_id))
+
+
 def available(metrics: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(m).isNotNull(), F.lit(m)) for m in metrics]))
 

@@ -1,11 +1,16 @@
-"""Matching entities across sources: normalised names, blocking, pair scores and decisions."""
+"""Matching entities across sources: normalised names, blocking, pair scores and decisions.
+
+Names are compared for candidate pairs only, in Python where the measure needs it: the share of matching characters is that of
+``difflib`` (longest common blocks), which no built-in function gives."""
 
 from __future__ import annotations
 
 import difflib
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +23,11 @@ MAX_BLOCK = 400
 LETTERS = {"ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "þ": "th", "Þ": "th", "ı": "i", "ħ": "h", "Ħ": "h", "ŧ": "t", "Ŧ": "t"}
 # Name scores that count as very like and like.
 VERY_STRONG, STRONG = 0.92, 0.85
+# Of word scores, that of an initial and the least that counts in full; of name scores, those of equal names
+# and of equal words, the most of others, and the weights of their parts.
+INITIAL, ALIKE = 0.85, 0.8
+EQUAL, SAME_WORDS, MOST = 1.0, 0.98, 0.97
+WEIGHTS = {"paired": 0.55, "last": 0.30, "share": 0.15}
 
 
 def plain(name: str | None) -> str | None:
@@ -41,45 +51,62 @@ def surname(name: Column) -> Column:
     return F.element_at(F.split(name, " "), -1)
 
 
+@lru_cache(maxsize=1 << 16)
 def word_score(a: str, b: str) -> float:
+    """1 for equal words, INITIAL for a word and its first letter, else the share of characters that match, halved if low."""
     if a == b:
         return 1.0
     if a[0] == b[0] and 1 in (len(a), len(b)):
-        return 0.85
+        return INITIAL
     r = difflib.SequenceMatcher(None, a, b).ratio()
-    return r if r >= 0.8 else r / 2
+    return r if r >= ALIKE else r / 2
 
 
 def name_score(a: str | None, b: str | None) -> float:
-    """1 for equal names, .98 for the same words, else from how the words pair up, their last ones and how many pair up.
+    """EQUAL for equal names, SAME_WORDS for the same words, else up to MOST from three parts: how well the words of the shorter
+    name pair up with those of the longer, how alike the last words are, and how many words find one to pair up with.
 
-    The shorter name's words (the first name's, if both have as many) choose in their order, each the likest word that is
-    left, the earliest among equals."""
+    Pairs are read off the table of all word scores: row by row of the shorter name (the first name's, if both have as many
+    words), the likest word that no row has taken, the earliest among equals."""
     if not a or not b:
         return 0.0
     if a == b:
-        return 1.0
+        return EQUAL
     p, q = a.split(), b.split()
     if set(p) == set(q):
-        return 0.98
-    few, left = (p, list(q)) if len(p) <= len(q) else (q, list(p))
-    many, got = len(left), 0.0
-    for word in few:
-        best = max(range(len(left)), key=lambda k: word_score(word, left[k]))
-        score = word_score(word, left[best])
-        if score > 0:
-            del left[best]
-        got += score
-    return min(0.97, 0.55 * got / len(few) + 0.30 * word_score(p[-1], q[-1]) + 0.15 * len(few) / many)
-
-
-def contained(a: str | None, b: str | None) -> bool:
-    """Whether the shorter of two names, of two words at least and with the same first word, is part of the longer."""
-    p, q = sorted(((a or "").split(), (b or "").split()), key=len)
-    if len(p) < 2 or len(p) == len(q) or p[0] != q[0]:
-        return False
-    rest = list(q)
-    return all(w in rest and (rest.remove(w) or True) for w in p)
+        return SAME_WORDS
+    scores = np.array([[word_score(x, y) for y in q] for x in p])
+    table = scores if len(p) <= len(q) else scores.T.copy()
+    paired, free = 0.0, np.ones(table.shape[1], bool)
+    for row in table:
+        k = int(np.where(free, row, -1.0).argmax())
+        if row[k] > 0:
+            free[k] = False
+            paired += float(row[k])
+    parts = {"paired": paired / len(table), "last": float(scores[-1, -1]), "share": len(table) / table.shape[1]}
+    return min(MOST, sum(WEIGHTS[x] * v for x, v in parts.items()))
+
+
+def name_scores(a: Column, b: Column) -> Column:
+    """``name_score`` to nine decimals; in each batch a pair of names that comes again is scored once."""
+
+    @F.pandas_udf("double")
+    def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        pairs = pd.DataFrame({"a": left, "b": right})
+        kinds = pairs.drop_duplicates()
+        known = {(x, y): round(name_score(x, y), 9) for x, y in kinds.itertuples(index=False, name=None)}
+        return pd.Series([known[x] for x in pairs.itertuples(index=False, name=None)], dtype=float)
+
+    return score(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+def contained(a: Column, b: Column) -> Column:
+    """Whether the shorter of two names, of two words at least and with the same first word, is part of the longer: each of its
+    words as often as it has it. False if either is unknown."""
+    p, q = F.split(F.coalesce(a, F.lit("")), " "), F.split(F.coalesce(b, F.lit("")), " ")
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    within = lambda few, many: (F.size(few) >= 2) & (F.size(few) < F.size(many)) & (few[0] == many[0]) & F.forall(few, lambda w: times(few, w) <= times(many, w))
+    return within(p, q) | within(q, p)
 
 
 def same_club(a: Column, b: Column, stop: Sequence[str]) -> Column:
@@ -108,21 +135,14 @@ def candidates(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) ->
 def pair_scores(pairs: DataFrame) -> DataFrame:
     """``pairs`` (left_name, right_name, left_born, right_born, same_nation, same_club) with confidence and method."""
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([name_score(x, y) for x, y in zip(a, b, strict=True)])
-
-    @F.pandas_udf("boolean")
-    def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([contained(x, y) for x, y in zip(a, b, strict=True)])
-
-    rows = pairs.withColumn("name_score", score("left_name", "right_name")).withColumn("within", within("left_name", "right_name"))
+    rows = pairs.withColumn("name_score", name_scores(F.col("left_name"), F.col("right_name"))).withColumn("within", contained(F.col("left_name"), F.col("right_name")))
     n = F.col("name_score")
     club, nation = (F.coalesce(F.col(c), F.lit(False)) for c in ("same_club", "same_nation"))
     dated = F.coalesce(F.col("left_born") == F.col("right_born"), F.lit(False))
     both = F.col("left_born").isNotNull() & F.col("right_born").isNotNull()
     year = F.coalesce(F.year("left_born") == F.year("right_born"), F.lit(False))
-    rules = [  # the first that holds decides
+    # The confidence of each rule and its name scores. The first that holds decides.
+    rules = [
         (dated & (n >= 1) & club, F.lit(1.00), "name, date, club"),
         (dated & (n >= 1), F.lit(0.95), "name, date"),
         (dated & (n >= VERY_STRONG), F.lit(0.98), "date, very like name"),

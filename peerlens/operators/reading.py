@@ -14,6 +14,11 @@ def reading(percentile: Column) -> Column:
     return F.when(percentile >= 90, "outstanding").when(percentile >= 70, "strong").when(percentile <= 10, "very low").when(percentile.isNotNull(), "ordinary")
 
 
+def withheld(metric: Column, group: Column, context_metrics: Sequence[str], told_for: str) -> Column:
+    """Whether a metric says more of an entity's team than of itself, and so is told for the group ``told_for`` only."""
+    return metric.isin(*context_metrics) & ~F.coalesce(group == told_for, F.lit(False))
+
+
 def highlights(long: DataFrame, keys: Sequence[str], own: Mapping[str, Sequence[str]], role: str, most: int = 4, context_metrics: Sequence[str] = ()) -> DataFrame:
     """(keys, kind, place, metric, percentile) over rows (keys, role, metric, oriented): strengths from STRONG on,
     watch-outs up to WEAK among the role's own components, drivers the role's two best from STRONG on."""

@@ -87,11 +87,12 @@ def allowed(
     return out
 
 
-def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, features: Sequence[str], minutes: str, least: int = MIN_SHARED, carry: Sequence[str] = (), allow: Column | None = None) -> DataFrame:
+def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, features: Sequence[str], minutes: str, least: int = MIN_SHARED, carry: Sequence[str] = (), allow: Column | None = None, keep: bool = False) -> DataFrame:
     """For each target the rows of its group that are like it: index, strength, shared, band, and ranked by evidence.
 
     ``rows`` and ``targets``: ``by``, ``key``, ``minutes``, the features and what ``carry`` names. ``allow`` is a condition on
-    carried columns, as ``allowed`` makes; only what it allows counts as a candidate. Rows are drawn to the mean of all
+    carried columns, as ``allowed`` makes; only what it allows counts as a candidate. ``keep``: the carried columns stay, the
+    target's as target_<column>. Rows are drawn to the mean of all
     candidates of the target before those under MIN_INDEX are left out. A target needs ``least`` features, a pair half of all.
     Targets are what a caller asks for; each of their groups is read once, joined on the group."""
     t = targets.select(*by, F.col(key).alias("target"), vector(features).alias("_t"), *[F.col(c).alias(f"target_{c}") for c in carry])
@@ -102,6 +103,28 @@ def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, fe
         pairs = pairs.where(allow)
     pairs = pairs.withColumn("_m", compare(F.col("_t"), F.col("_c"))).where(F.col("_m.shared") >= required(len(features), least))
     shared = F.col("_m.shared")
-    measured = pairs.select(*by, "target", key, minutes, shared.alias("shared"), coverage_band(shared, len(features)).alias("band"), index(F.col("_m.cosine")).alias("index"), F.col("_m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
+    kept = [x for c in carry for x in ([c] if c != minutes else []) + [f"target_{c}"]] if keep else []
+    measured = pairs.select(*by, "target", key, minutes, *kept, shared.alias("shared"), coverage_band(shared, len(features)).alias("band"), index(F.col("_m.cosine")).alias("index"), F.col("_m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
     ranked = rank_by_evidence(measured, "index", minutes, [*by, "target"])
     return ranked.where(F.col("index") >= MIN_INDEX)
+
+
+def properties(pairs: DataFrame, rows: DataFrame, by: Sequence[str], key: str, saturated: float) -> DataFrame:
+    """(property, checked, violations) of similar pairs (by, target, key, index) of some targets; ``rows`` (by, key) are all there
+    are. Where two targets found each other, both directions are joined and must agree. Tells apart is violated by the targets
+    whose closest row is at ``saturated`` or above, if more than a tenth are."""
+    known = rows.select(*by, key).distinct().withColumn("_known", F.lit(True))
+    held = pairs.join(known, [*by, key], "left")
+    count = lambda df, name, bad: df.agg(F.lit(name).alias("property"), F.count("*").alias("checked"), F.count_if(bad).alias("violations"))
+    back = pairs.select(*by, F.col("target").alias(key), F.col(key).alias("target"), F.col("index").alias("_back"))
+    tops = pairs.groupBy(*by, "target").agg(F.max("index").alias("_top"))
+    high = F.count_if(F.col("_top") >= saturated)
+    parts = [
+        count(held, "own group", F.col("_known").isNull()), count(pairs, "not itself", F.col("target") == F.col(key)),
+        count(pairs.join(back, [*by, "target", key]), "both directions", F.abs(F.col("index") - F.col("_back")) > 1e-6), count(pairs, "within bounds", ~F.col("index").between(0, 100)),
+        tops.agg(F.lit("tells apart").alias("property"), F.count("*").alias("checked"), F.when(high > 0.1 * F.count("*"), high).otherwise(F.lit(0)).alias("violations")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -91,10 +91,10 @@ def maturity(spark: SparkSession, d: str) -> DataFrame:
 CARRIED = ["minutes", "recorded_minutes", "market_value", "is_primary"]
 
 
-def ranked_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Totals with the oriented global percentile of each metric under its name: one unpivot, one ranking, and one pivot back,
+def ranked_wide(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Totals, or ``rows`` like ``population``, with the oriented global percentile of each metric under its name: one unpivot, one ranking, and one pivot back,
     through all of which the totals that are still needed are carried, so that the facts are read once."""
-    long = unpivot(population(spark, d), [*KEYS, *CARRIED], NAMES)
+    long = unpivot(population(spark, d) if rows is None else rows, [*KEYS, *CARRIED], NAMES)
     ranks = percentile.mid_rank(long, GROUP, F.col("is_primary"))
     ranks = ranks.withColumn("o", F.when(F.col("n") >= percentile.THIN, percentile.oriented(F.col("percentile"), F.col("metric"), LOWER)))
     own = [F.max(F.when(F.col("metric") == m, F.col("o"))).alias(m) for m in NAMES]

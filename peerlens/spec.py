@@ -23,6 +23,51 @@ class Metric:
             raise ValueError(f"{self.name}: unknown denominator {self.over}")
 
 
+#: What a derived metric does with its operands: how many it takes.
+KINDS = {"per90": 1, "sum": None, "difference": 2, "floored_difference": 2, "ratio": 2, "percentage": 2}
+
+
+@dataclass(frozen=True)
+class Derived:
+    """A metric made of totals or of other derived metrics. A per-90 rate has one operand, and its minutes are routed; a sum has
+    two or more; the others have two. What isn't ``shown`` only serves other metrics."""
+
+    name: str
+    kind: str
+    of: tuple[str, ...]
+    lower_is_better: bool = False
+    shown: bool = True
+
+    def __post_init__(self) -> None:
+        if self.kind not in KINDS:
+            raise ValueError(f"{self.name}: unknown kind {self.kind}")
+        if len(self.of) != KINDS[self.kind] if KINDS[self.kind] else len(self.of) < 2:
+            raise ValueError(f"{self.name}: {self.kind} of {len(self.of)} operands")
+
+
+@dataclass(frozen=True)
+class Routing:
+    """Which minutes a per-90 rate is over: what was confirmed by published rates, what is inferred from like metrics, and the
+    rest. A metric that is confirmed isn't inferred as well."""
+
+    confirmed: Mapping[str, str] = field(default_factory=dict)
+    inferred: Mapping[str, str] = field(default_factory=dict)
+    default: str = "recorded"
+
+    def __post_init__(self) -> None:
+        if both := set(self.confirmed) & set(self.inferred):
+            raise ValueError(f"confirmed and inferred: {sorted(both)}")
+        if unknown := {self.default, *self.confirmed.values(), *self.inferred.values()} - {"playing", "recorded"}:
+            raise ValueError(f"unknown minutes {sorted(unknown)}")
+
+    def of(self, metric: str) -> tuple[str, str]:
+        """(minutes, evidence): playing or recorded, and whether that is confirmed, inferred or the default."""
+        for evidence, table in (("confirmed", self.confirmed), ("inferred", self.inferred)):
+            if metric in table:
+                return table[metric], evidence
+        return self.default, "default"
+
+
 @dataclass(frozen=True)
 class Score:
     name: str
