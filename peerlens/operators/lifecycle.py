@@ -17,6 +17,14 @@ def purge(dimension: DataFrame, bridge: DataFrame, key: str, source: str, gone:
     return dimension.join(only, key, "left_anti")
 
 
+def universe(dimension: DataFrame, facts: DataFrame, key: str, group: str) -> DataFrame:
+    """Every fact and every entity once, with state: read (a fact of an entity whose group is known), or why it is left out: a fact
+    without entity, an entity without fact, or an entity without group."""
+    held = facts.withColumn("_fact", F.lit(True)).join(dimension.withColumn("_entity", F.lit(True)), key, "full")
+    state = F.when(F.col("_entity").isNull(), "fact without entity").when(F.col("_fact").isNull(), "entity without fact").when(F.col(group).isNull(), "entity without group").otherwise("read")
+    return held.withColumn("state", state).drop("_fact", "_entity")
+
+
 def _status(name: str, count: Column, warn: Column, fail: Column) -> Column:
     return F.struct(F.lit(name).alias("check_name"), F.when(fail, "fail").when(warn, "warn").otherwise("pass").alias("status"), count.cast("long").alias("record_count"))
 

@@ -7,7 +7,7 @@ orders a whole population; each row looks its value up. Rows that are ranked wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,18 +36,42 @@ def mid_rank(long: DataFrame, by: Sequence[str], member: Column | None = None, o
     null for both; they are dealt out by a hash of all their columns."""
     known = F.col("value").isNotNull()
     counted = F.when(known & (member if member is not None else F.lit(True)), 1)
-    kinds = long.where(known).groupBy(*by, "value").agg(F.count(counted).alias("_eq")).withColumn("_span", span(F.col("value")))
+    ranked = counts(long, by, counted, size)
+    share = F.when(F.col(size) > 0, F.lit(100.0) * (2 * F.col("_upto") - F.col("_eq")) / (2 * F.col(size)))
+    ranked = ranked.select(*by, "value", F.lit(0).alias("_dealt"), F.col(size), share.alias(out))
+    dealt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in long.columns]), F.lit(1024)).cast("int"))
+    return long.withColumn("_dealt", dealt).join(ranked, [*by, "value", "_dealt"], "left").drop("_dealt")
+
+
+def counts(long: DataFrame, by: Sequence[str], counted: Column, size: str) -> DataFrame:
+    """(by, value, _eq, _upto, size) of each distinct value of a population: how many of its rows are ``counted`` at the value, up to
+    it, and in all."""
+    kinds = long.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count(counted).alias("_eq")).withColumn("_span", span(F.col("value")))
     within = Window.partitionBy(*by, "_span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     spans = kinds.groupBy(*by, "_span").agg(F.sum("_eq").alias("_own"))
     every = Window.partitionBy(*by)
     below = F.coalesce(F.sum("_own").over(every.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = spans.select(*by, "_span", below.alias("_below"), F.sum("_own").over(every).alias(size))
     ranked = kinds.select(*by, "_span", "value", "_eq", F.sum("_eq").over(within).alias("_in")).join(spans, [*by, "_span"])
-    upto = F.col("_below") + F.col("_in")
-    share = F.when(F.col(size) > 0, F.lit(100.0) * (2 * upto - F.col("_eq")) / (2 * F.col(size)))
-    ranked = ranked.select(*by, "value", F.lit(0).alias("_dealt"), F.col(size), share.alias(out))
-    dealt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in long.columns]), F.lit(1024)).cast("int"))
-    return long.withColumn("_dealt", dealt).join(ranked, [*by, "value", "_dealt"], "left").drop("_dealt")
+    return ranked.select(*by, "value", "_eq", (F.col("_below") + F.col("_in")).alias("_upto"), F.col(size))
+
+
+def quantiles(long: DataFrame, by: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """(by, known, least, most, and a column for each of ``shares``) of ``value``: exact quantiles, read off the counts of distinct
+    values, so that no group's values meet in one task. Between two values the quantile is interpolated; a group without a value
+    has nulls."""
+    rows = long.select(F.struct(*by).alias("_by"), "value")  # a struct meets one like it, nulls included
+    held = rows.groupBy("_by").agg(F.count("value").alias("known"), F.min("value").alias("least"), F.max("value").alias("most"))
+    kinds = counts(rows, ["_by"], F.lit(1), "_n")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_eq") <= place) & (place < F.col("_upto")), F.col("value")))
+
+    place = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in shares.items()}
+    ends = [x for name, h in place.items() for x in (at(F.floor(h)).alias(f"_low_{name}"), at(F.ceil(h)).alias(f"_high_{name}"), F.max(h - F.floor(h)).alias(f"_part_{name}"))]
+    found = kinds.groupBy("_by").agg(*ends)
+    made = [(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n) for n in shares]
+    return held.join(found, "_by", "left").select(*[F.col("_by")[c].alias(c) for c in by], "known", "least", "most", *made)
 
 
 def scoped(long: DataFrame, group: Sequence[str], narrow: str, member: Column) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..spec import Role, Score
 
 STEP = 5
@@ -31,8 +34,24 @@ def preset(role: Role, scores: Sequence[Score]) -> dict[str, int] | None:
     return dict(sorted(steps.items(), key=lambda x: (-x[1], x[0])))
 
 
+#: Measurable shares below which a preset no longer covers its role, or only some of it.
+LIMITED, MINIMAL = 0.85, 0.55
+
+
 def measurability(share: float) -> str:
-    return "full" if share >= 0.85 else "limited" if share >= 0.55 else "minimal"
+    return "full" if share >= LIMITED else "limited" if share >= MINIMAL else "minimal"
+
+
+def measured(weights: DataFrame, role: str, score: str, weight: str, producible: str) -> DataFrame:
+    """(role, measurable, measurability, blocked, weights) of presets, one row of ``weights`` for each score of a preset: the share of
+    its weight on scores that the data can produce, what that makes it, and the scores that it can't."""
+    total = F.sum(weight)
+    share = F.round(F.coalesce(F.sum(F.when(F.col(producible), F.col(weight))), F.lit(0)) / total, 9)
+    names = F.array_join(F.sort_array(F.collect_list(F.when(~F.col(producible), F.col(score)))), ",")
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(score).alias("s")))), lambda x: F.concat(x["s"], F.lit(":"), (-x["w"]).cast("string"))), ",")
+    out = weights.groupBy(role).agg(share.alias("measurable"), names.alias("blocked"), parts.alias("weights"))
+    band = F.when(F.col("measurable") < MINIMAL, "minimal").when(F.col("measurable") < LIMITED, "limited").otherwise("full")
+    return out.select(role, "measurable", band.alias("measurability"), "blocked", "weights")
 
 
 def moved(weights: Mapping[str, int], available: set[str]) -> dict[str, int]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,19 @@ def _sum(cols: Sequence[Column]) -> Column:
     return out
 
 
+def normalised(weights: Mapping[str, float], known: Collection[str] | None = None) -> dict[str, float]:
+    """The positive weights as shares that sum to 1. Names that nothing defines, weights that are no numbers and no positive weight
+    at all are errors."""
+    if known is not None and (unknown := set(weights) - set(known)):
+        raise ValueError(f"unknown {sorted(unknown)}")
+    if bad := [n for n, w in weights.items() if not math.isfinite(w) or w < 0]:
+        raise ValueError(f"no weights: {sorted(bad)}")
+    total = float(sum(weights.values()))
+    if total <= 0:
+        raise ValueError("no positive weight")
+    return {n: w / total for n, w in weights.items() if w > 0}
+
+
 def coverage(weights: Mapping[str, float]) -> Column:
     """The known components' share of all weights."""
     total = float(sum(weights.values()))

@@ -38,7 +38,8 @@ shares AS (SELECT role, score, sum(w::DOUBLE / many) AS w FROM (SELECT role, par
 whole AS (SELECT role, sum(w) AS total FROM parts GROUP BY role),
 steps AS (SELECT role, score, (5 * round(w * 100 / sum(w) OVER (PARTITION BY role) / 5))::INT AS weight, sum(w) OVER (PARTITION BY role) >= 0.5 * total AS told FROM shares JOIN whole USING (role)),
 placed AS (SELECT *, sum(weight) OVER (PARTITION BY role) AS got, row_number() OVER (PARTITION BY role ORDER BY weight DESC, score DESC) AS place FROM steps WHERE told AND weight > 0)
-SELECT role, score, (CASE WHEN place = 1 THEN greatest(5, weight + 100 - got) ELSE weight END)::INT AS weight FROM placed"""
+SELECT role, score, (CASE WHEN place = 1 THEN greatest(5, weight + 100 - got) ELSE weight END)::INT AS weight,
+  (SELECT count(*) FROM customer WHERE (role = 'runner' AND c_mktsegment IN ('AUTOMOBILE', 'MACHINERY', 'BUILDING')) OR (role = 'finisher' AND c_mktsegment IN ('AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD')) OR (role = 'keeper' AND c_mktsegment <> 'AUTOMOBILE')) AS open_to FROM placed"""
 
 
 def _unit(metric: str, salt: int) -> str:

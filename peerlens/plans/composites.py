@@ -81,8 +81,10 @@ def score_distributions(spark: SparkSession, d: str) -> DataFrame:
     made = wide.select("peer_group", *[F.col(m).alias(f"percentile:{m}") for m in NAMES], *[F.col(f"`score:{s.name}`") for s in SCORES])
     long = unpivot(made, ["peer_group"], [c for c in made.columns[1:]]).select("peer_group", F.col("metric").alias("name"), "value")
     roles = _fits(ranked).select("peer_group", F.concat(F.lit("role:"), "role").alias("name"), F.when(F.col("validity") == "full", F.col("raw")).alias("value"))
-    six = lambda c, name: F.round(c, 6).alias(name)
-    return long.union(roles).groupBy("peer_group", "name").agg(F.count("value").alias("known"), six(F.min("value"), "least"), six(F.median("value"), "middle"), six(F.max("value"), "most"), six(F.count_if(F.col("value") >= 90) / F.nullif(F.count("value"), F.lit(0)), "top_share"))
+    every = written(long.union(roles), "distributions")
+    found = percentile.quantiles(every, ["peer_group", "name"], {"middle": 0.5})
+    top = every.groupBy("peer_group", "name").agg((F.count_if(F.col("value") >= 90) / F.nullif(F.count("value"), F.lit(0))).alias("top_share"))
+    return found.join(top, ["peer_group", "name"]).select("peer_group", "name", "known", *[F.round(c, 6).alias(c) for c in ("least", "middle", "most", "top_share")])
 
 
 def similarity_stability(spark: SparkSession, d: str, spread: float = 0.03, top: int = 10) -> DataFrame:

@@ -143,13 +143,10 @@ def shrunk_ranking(spark: SparkSession, d: str) -> DataFrame:
 def recruitment(spark: SparkSession, d: str, weights: dict[str, float] | None = None, top: int = 25) -> DataFrame:
     """Weighted search: percentiles, scores, one composite, evidence, the best ``top`` of each season."""
     weights = weights or {"score:volume": 60.0, "score:finish": 40.0}
-    if unknown := [w for w in weights if w[6:] not in {s.name for s in SCORES}]:
-        raise ValueError(f"unknown scores {unknown}")
-    if not any(w > 0 for w in weights.values()):
-        raise ValueError("no positive weight")
+    weights = scoring.normalised(weights, {f"score:{s.name}" for s in SCORES})
     rows = scoring.with_scores(ranked_wide(spark, d), SCORES).where("is_primary")
     rows = rows.where(filters.predicate(filters.RECRUITMENT, minutes_min=180, value_min=100))
-    rows = rows.withColumn("raw", scoring.weighted({f"`{k}`": w for k, w in weights.items() if w > 0}, 1.0))
+    rows = rows.withColumn("raw", scoring.weighted({f"`{k}`": w for k, w in weights.items()}, 1.0 - 1e-9))
     out = reliability.rank_by_evidence(rows, "raw", "minutes", ["season_id"])
     w = Window.partitionBy("season_id").orderBy(F.desc(F.round("ranked", 6)), "entity_key")
     out = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
@@ -330,8 +327,12 @@ def reference_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def role_presets(spark: SparkSession, d: str) -> DataFrame:
+    """Each role's preset of score weights, with how many entities the role is open to."""
+    (customer,) = tables(spark, d, "customer")
     made = [(r.name, s, w) for r in ROLES for s, w in (presets.preset(r, SCORES) or {}).items()]
-    return spark.createDataFrame(made, "role string, score string, weight int")
+    open_to = customer.select(F.explode(F.array_compact(F.array(*[F.when(F.col("c_mktsegment").isin(*r.groups), F.lit(r.name)) for r in ROLES]))).alias("role")).groupBy("role").agg(F.count("*").alias("open_to"))
+    weights = F.broadcast(spark.createDataFrame(made, "role string, score string, weight int"))
+    return weights.join(open_to, "role").select("role", "score", "weight", "open_to")
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
@@ -390,9 +391,8 @@ def identity_merges(spark: SparkSession, d: str) -> DataFrame:
 
 def distribution_profile(spark: SparkSession, d: str) -> DataFrame:
     """Least, median, 99th percentile and largest value of each metric in each group."""
-    rows = unpivot(derive(stats(spark, d), METRICS), ["peer_group"], NAMES)
-    six = lambda c, name: F.round(c, 6).alias(name)
-    return rows.groupBy("peer_group", "metric").agg(F.count("value").alias("known"), six(F.min("value"), "least"), six(F.median("value"), "middle"), six(F.percentile("value", F.lit(0.99)), "high"), six(F.max("value"), "most"))
+    found = percentile.quantiles(unpivot(derive(stats(spark, d), METRICS), ["peer_group"], NAMES), ["peer_group", "metric"], {"middle": 0.5, "high": 0.99})
+    return found.select("peer_group", "metric", "known", *[F.round(c, 6).alias(c) for c in ("least", "middle", "high", "most")])
 
 
 def unscored_roles(spark: SparkSession, d: str) -> DataFrame:

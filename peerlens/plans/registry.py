@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composite_oracles, composites, definitions, matching, oracles, provided, queries
+from . import composite_oracles, composites, definitions, matching, oracles, provided, queries, reports
 
-QUERIES = queries.QUERIES | composites.QUERIES | matching.QUERIES | definitions.QUERIES | provided.QUERIES
-ORACLES = oracles.ORACLES | composite_oracles.ORACLES | matching.ORACLES | definitions.ORACLES | provided.ORACLES
+QUERIES = queries.QUERIES | composites.QUERIES | matching.QUERIES | definitions.QUERIES | provided.QUERIES | reports.QUERIES
+ORACLES = oracles.ORACLES | composite_oracles.ORACLES | matching.ORACLES | definitions.ORACLES | provided.ORACLES | reports.ORACLES

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.quality import publishable
@@ -22,6 +24,19 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(cell(df, c), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]).alias("line"))
 
 
+#: What tells spreadsheets that a file is UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def csv_document(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(place, line): the lines of a whole file, a head after a byte order mark and then the rows by ``order``. Lines are numbered by
+    a sort of the rows, as a file that a person opens has one order; it is meant for what a person reads."""
+    head = df.sparkSession.createDataFrame([(0, BYTE_ORDER_MARK + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns))], "place long, line string")
+    line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(cell(df, c), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns])
+    rows = df.select(F.row_number().over(Window.orderBy(*[F.asc_nulls_first(c) for c in order])).cast("long").alias("place"), line.alias("line"))
+    return head.union(rows)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[cell(df, c).alias(c) for c in df.columns]).write.mode("overwrite").option("header", True).option("quoteAll", True).option("lineSep", "\r\n").csv(path)
 

@@ -98,6 +98,25 @@ class Role:
             raise ValueError(f"{self.name}: no groups")
 
 
+@dataclass(frozen=True)
+class FeatureSets:
+    """The metrics that each group is compared by: at least ``least`` different ones that are ``known``, for every group there is."""
+
+    groups: Mapping[str, tuple[str, ...]]
+    known: frozenset[str]
+    every: frozenset[str]
+    least: int = 5
+
+    def __post_init__(self) -> None:
+        if missing := self.every ^ set(self.groups):
+            raise ValueError(f"groups without features, or unknown ones: {sorted(missing)}")
+        for group, own in self.groups.items():
+            if len(own) < self.least or len(set(own)) != len(own):
+                raise ValueError(f"{group}: {self.least} different features are needed")
+            if unknown := set(own) - self.known:
+                raise ValueError(f"{group}: unknown features {sorted(unknown)}")
+
+
 def check(metrics: list[Metric], scores: list[Score], roles: list[Role], groups: set[str]) -> None:
     """Raises for names that nothing defines."""
     known, made = {m.name for m in metrics}, {s.name for s in scores}
