@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rates as R
-from ..operators import filters, identity, percentile, presets, quality, reading, reliability, scoring, similarity
+from ..operators import filters, identity, neighbours, percentile, presets, quality, reading, reliability, scoring, similarity
 from ..operators.metrics import coverage_by_group, derive, unpivot
 from ..sources.shared import written
 from ..sources.writers import csv_lines
@@ -206,14 +206,7 @@ def replacements(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
 def embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest fellows of each vector within its label."""
     (e,) = tables(spark, d, "embeddings")
-    v = e.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    unit = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
-    v = v.withColumn("norm", unit(F.col("v")))
-    other = v.select("label", F.col("vec_id").alias("other"), F.col("v").alias("w"), F.col("norm").alias("norm_w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, y: s + y)
-    pairs = v.join(other, "label").where("vec_id <> other").select("label", "vec_id", "other", F.round(dot / (F.col("norm") * F.col("norm_w")), 6).alias("cosine"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")
-    return pairs.withColumn("place", F.row_number().over(w)).where("place <= 3").select("label", "vec_id", "place", "other", "cosine")
+    return neighbours.nearest(e, "label", "vec_id", "embedding", 3)
 
 
 def compared_leaders(spark: SparkSession, d: str) -> DataFrame:
