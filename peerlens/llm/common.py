@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +158,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns memory that a task has used to the system, which workers that wait for the next task would keep: Arrow's, and what
+    the C library holds, where it can be asked to."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(texts: Sequence[str], limit: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds (start, stop) of consecutive runs of texts, each of at least one text and about ``limit`` characters."""
     start, size = 0, 0

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, hits, materialise, packed_rows, shuffle_parts, small_batches, unpacked
+from .common import discard, documents, give_back, hits, materialise, packed_rows, shuffle_parts, small_batches, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -55,6 +55,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     h = hashlib.blake2b(key, digest_size=16).digest()
                     out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, row, np.array(own, "<i4").tobytes()))
             yield pd.DataFrame(out, columns=["h1", "h2", "doc_id", "row", "places"])
+        give_back()
 
     small_batches(docs.sparkSession)
     keyed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", row_key().alias("row"), "text")

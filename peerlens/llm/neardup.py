@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, documents, hits, marked, materialise, over_keys, packed_rows, runs, salt, small_batches, unpacked
+from .common import SALTS, documents, give_back, hits, marked, materialise, over_keys, packed_rows, runs, salt, small_batches, unpacked
 from .components import components
 
 WORDS = 5
@@ -102,7 +102,7 @@ def _sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 d1, d2 = (int(mixed(x, k).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2))
                 out.append((len(x), d1, d2, signature(x).tobytes() if len(x) else None))
         yield pd.DataFrame(out, columns=["n", "d1", "d2", "sig"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _packed_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -111,7 +111,7 @@ def _packed_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for a, b in runs(own):
             out += [x.tobytes() for x in shingle_sets(own[a:b])]
         yield pd.Series(out, dtype=object)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def least_matches(n: int) -> int:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, runs, small_batches
+from .common import documents, give_back, materialise, runs, small_batches
 from .tokens import encoder_for
 
 LENGTH = 2048
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, size, crc = [], [], [], [], []
-            for a, b in runs(texts, 1 << 21):
+            for a, b in runs(texts):
                 ids, n = encoder.encode(texts[a:b])
                 stop = 0
                 for i, m in enumerate(n.tolist(), a):
@@ -66,8 +66,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None)
             item = (task << 33) + seen + np.arange(len(row), dtype=np.int64)
             seen += len(row)
             columns = [pa.array(item, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
+            del texts
+            give_back()
             yield pa.RecordBatch.from_arrays(columns, ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(cut, "item long, doc_id long, piece int, start long, length long, ids_crc32 long")

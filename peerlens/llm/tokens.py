@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +41,11 @@ def stays_letters(core: str) -> bool:
 class WordEncoder:
     """Ids of texts under a vocabulary that never joins characters across white space.
 
-    Each distinct word is encoded once and remembered; ``remember`` bounds how many words are.
-    """
+    Each distinct word is encoded once and remembered; ``remember`` bounds how many words are. What is remembered of a word is a
+    64-bit hash and its ids, some 30 bytes; a word that isn't known is taken for one of a million that are with a probability of
+    6 in 10**14."""
 
-    def __init__(self, vocabulary: str | None = None, remember: int = 1_200_000) -> None:
+    def __init__(self, vocabulary: str | None = None, remember: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,20 +53,36 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.start, self.length = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # by hash
+        self.start, self.length = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32)  # by slot
         self.ids, self.used = np.zeros(1 << 12, np.uint32), 0
         self.tails: dict[str, list[int]] = {}
 
-    def _ids(self, word: str) -> list[int]:
-        """Letters and the marks after them are cut apart by the vocabulary, so that letters known alone needn't be encoded again."""
-        core = word.rstrip(MARKS)
-        if core != word and stays_letters(core):
-            if core not in self.known:
-                self._learn([core])
-            at = self.known[core]
-            return [*self.ids[self.start[at] : self.start[at] + self.length[at]].tolist(), *self._marks(word[len(core) :])]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slots of words, -1 for those that aren't known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], np.int32(-1))
+
+    def _add(self, hashes: np.ndarray, ids: Sequence[list[int]]) -> None:
+        """Remembers words that aren't known, of distinct hashes."""
+        if not len(ids):
+            return
+        first, sizes = len(self.hashes), np.fromiter(map(len, ids), np.int32, len(ids))
+        while first + len(ids) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.start[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.length[first : first + len(ids)] = sizes
+        self.ids[self.used : self.used + total] = [x for own in ids for x in own]
+        self.used += total
+        own = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[own])
+        self.hashes = np.insert(self.hashes, place, hashes[own])
+        self.slots = np.insert(self.slots, place, (first + own).astype(np.int32))
 
     def _marks(self, tail: str) -> list[int]:
         if tail not in self.tails:
@@ -73,23 +91,30 @@ class WordEncoder:
             self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
         return self.tails[tail]
 
-    def _learn(self, words: Sequence[str]) -> None:
-        for w in words:
-            if w in self.known:
-                continue
-            ids = self._ids(w)
-            at = len(self.known)
-            if at >= len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.known[w], self.start[at], self.length[at] = at, self.used, len(ids)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+    def _learn(self, words: dict[int, str]) -> None:
+        """Encodes words, by hash, that aren't known. Letters and the marks after them are cut apart by the vocabulary, so letters
+        known alone needn't be encoded again."""
+        whole, cut = dict[int, str](), dict[int, tuple[int, str]]()
+        for h, word in words.items():
+            core = word.rstrip(MARKS)
+            if core != word and stays_letters(core):
+                c = xxhash.xxh3_64_intdigest(core)
+                cut[h] = c, word[len(core) :]
+                whole[c] = core
+            else:
+                whole[h] = word
+        hashes = np.fromiter(whole, np.uint64, len(whole))
+        new = np.flatnonzero(self._find(hashes) < 0)
+        texts = list(whole.values())
+        self._add(hashes[new], [self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in new.tolist()])
+        left = {h: x for h, x in cut.items() if h not in whole}
+        at = self._find(np.fromiter((c for c, _ in left.values()), np.uint64, len(left)))
+        own = [[*self.ids[self.start[k] : self.start[k] + self.length[k]].tolist(), *self._marks(tail)] for k, (_, tail) in zip(at.tolist(), left.values(), strict=True)]
+        self._add(np.fromiter(left, np.uint64, len(left)), own)
 
     def _words(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word its slot, and how many words each text has."""
-        if len(self.known) > self.remember:
+        if len(self.hashes) > self.remember:
             self.clear()
         whole = pa.array(texts, pa.large_string())
         if not pc.any(pc.match_substring(whole, "<|")).as_py():  # else the case may tell a special token from its letters
@@ -97,9 +122,12 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(whole)
         kinds = split.flatten().dictionary_encode()
         words = kinds.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.known])
-        slots = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        return slots[kinds.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), np.diff(split.offsets.to_numpy())
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        new = np.flatnonzero(self._find(hashes) < 0)
+        if len(new):
+            self._learn({int(hashes[i]): words[i] for i in new.tolist()})
+        slots = self._find(hashes)
+        return slots[kinds.indices.to_numpy()] if len(words) else np.zeros(0, np.int32), np.diff(split.offsets.to_numpy())
 
     def lengths(self, texts: Sequence[str]) -> np.ndarray:
         slots, n = self._words(texts)
@@ -108,7 +136,7 @@ class WordEncoder:
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
         slots, n = self._words(texts)
-        size = self.length[slots]
+        size = self.length[slots].astype(np.int64)
         ends = np.cumsum(size)
         place = np.repeat(self.start[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         return self.ids[place], np.bincount(np.repeat(np.arange(len(texts)), n), size, len(texts)).astype(np.int64)

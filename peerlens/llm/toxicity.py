@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, documents, held_out, marked, materialise, packed_rows, runs, salt, small_batches, unpacked
+from .common import SALTS, documents, give_back, held_out, marked, materialise, packed_rows, runs, salt, small_batches, unpacked
 from .letters import Dense, counted, ngram_codes, symbols_of
 
 BITS = 9
@@ -40,7 +40,7 @@ DISCOUNT = 0.75
 #: Remainders of crc32 that are learnt from; in place of the remainder that is held out stands the model of all of them.
 FOLDS = (0, 1, 3)
 ALL = 2
-#: The most rows of a model that are sent to the tasks: 16 bytes a row.
+#: The most rows of a model that are sent to the tasks: 12 bytes a row.
 MAX_BROADCAST = 1 << 22
 #: The width of the bins of llr that the curve is fitted to; an llr is within the logs of the largest and least ratio.
 STEP = 0.00025
@@ -78,6 +78,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                             yield held.pop()
         if held:
             yield pd.concat(held).groupby(keys, as_index=False).sum()
+        give_back()
 
     return rows.mapInPandas(partial, "fold int, code long, ordinary long, toxic long").groupBy(*keys).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
@@ -155,7 +156,7 @@ class Values:
         grams = codes >= 0
         self.dense = Dense(symbols_of(codes[grams], BITS, ORDER), BITS, ORDER)
         if self.dense.fits:
-            table = np.zeros((self.dense.size ** (ORDER - 1), self.dense.size))
+            table = np.zeros((self.dense.size ** (ORDER - 1), self.dense.size), np.float32)
             table[self.dense.number(-1 - codes[~grams], ORDER - 1)] = values[~grams, None]
             self.table = table.ravel()
             self.table[self.dense.number(codes[grams])] = values[grams]
@@ -174,7 +175,7 @@ class Values:
 def _sent(model: DataFrame):
     table = {}
     for m, part in model.toPandas().sort_values("code").groupby("model"):
-        table[m] = part["code"].to_numpy(np.int64), part["value"].to_numpy(np.float64)
+        table[m] = part["code"].to_numpy(np.int64), part["value"].to_numpy(np.float32)
     sent = model.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("double")
@@ -191,8 +192,10 @@ def _sent(model: DataFrame):
                 own = texts.iloc[mine].fillna("").tolist()
                 for a, b in runs(own):
                     grams, n = ngram_codes(own[a:b], BITS, ORDER)
-                    out[mine[a:b]] = strongest(made[m](grams), n)
+                    out[mine[a:b]] = strongest(made[m](grams).astype(np.float64), n)
             yield pd.Series(out)
+        made.clear()
+        give_back()
 
     return llr.asNondeterministic()
 
@@ -255,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]:
     small_batches(docs.sparkSession)
     known = known_labels(labels)
     own = candidates(docs, known)
-    models = materialise(ratios(count_ngrams(own.join(known, "node").select("text", "toxic", "fold"))), "ratios")
+    models = ratios(count_ngrams(own.join(known, "node").select("text", "toxic", "fold")))
+    models = materialise(models.withColumn("value", F.col("value").cast("float")), "ratios")  # the same numbers, sent or joined
     # rows are scored where they are read; only their llr meets the labels
     scored = with_llr(own.select("node", F.col("fold").alias("model"), "text"), models).select("node", "llr").join(known, "node")
     bins = scored.groupBy((F.floor(F.col("llr") / STEP) * STEP).alias("llr"), F.col("toxic").alias("y")).agg(F.count("*").alias("n"))
