@@ -34,26 +34,37 @@ def mid_rank(long: DataFrame, by: Sequence[str], member: Column | None = None, o
 
     ``by`` are the columns that tell populations apart; ``member`` is true for the rows that count. Rows without a value get
     null for both; they are dealt out by a hash of all their columns."""
-    known = F.col("value").isNotNull()
-    counted = F.when(known & (member if member is not None else F.lit(True)), 1)
-    ranked = counts(long, by, counted, size)
-    share = F.when(F.col(size) > 0, F.lit(100.0) * (2 * F.col("_upto") - F.col("_eq")) / (2 * F.col(size)))
-    ranked = ranked.select(*by, "value", F.lit(0).alias("_dealt"), F.col(size), share.alias(out))
-    dealt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in long.columns]), F.lit(1024)).cast("int"))
-    return long.withColumn("_dealt", dealt).join(ranked, [*by, "value", "_dealt"], "left").drop("_dealt")
+    counted = F.when(F.col("value").isNotNull() & (member if member is not None else F.lit(True)), 1)
+    ranked = counts(long, by, counted, size).select(*by, "value", F.lit(0).alias("_dealt"), F.col(size), _share("_eq", "_upto", size).alias(out))
+    return long.withColumn("_dealt", _dealt(long)).join(ranked, [*by, "value", "_dealt"], "left").drop("_dealt")
 
 
 def counts(long: DataFrame, by: Sequence[str], counted: Column, size: str) -> DataFrame:
     """(by, value, _eq, _upto, size) of each distinct value of a population: how many of its rows are ``counted`` at the value, up to
     it, and in all."""
-    kinds = long.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count(counted).alias("_eq")).withColumn("_span", span(F.col("value")))
+    kinds = long.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count(counted).alias("_eq"))
+    return accumulated(kinds, by, "_eq", "_upto", size).select(*by, "value", "_eq", "_upto", size)
+
+
+def accumulated(kinds: DataFrame, by: Sequence[str], eq: str, upto: str, size: str) -> DataFrame:
+    """``kinds``, a row for each distinct value of a population with its count ``eq``, with the counts up to the value and in all."""
+    placed = kinds.withColumn("_span", span(F.col("value")))
     within = Window.partitionBy(*by, "_span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    spans = kinds.groupBy(*by, "_span").agg(F.sum("_eq").alias("_own"))
+    spans = placed.groupBy(*by, "_span").agg(F.sum(eq).alias("_own"))
     every = Window.partitionBy(*by)
     below = F.coalesce(F.sum("_own").over(every.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = spans.select(*by, "_span", below.alias("_below"), F.sum("_own").over(every).alias(size))
-    ranked = kinds.select(*by, "_span", "value", "_eq", F.sum("_eq").over(within).alias("_in")).join(spans, [*by, "_span"])
-    return ranked.select(*by, "value", "_eq", (F.col("_below") + F.col("_in")).alias("_upto"), F.col(size))
+    found = placed.withColumn("_in", F.sum(eq).over(within)).join(spans, [*by, "_span"])
+    return found.select(*kinds.columns, (F.col("_below") + F.col("_in")).alias(upto), F.col(size))
+
+
+def _share(eq: str, upto: str, size: str) -> Column:
+    return F.when(F.col(size) > 0, F.lit(100.0) * (2 * F.col(upto) - F.col(eq)) / (2 * F.col(size)))
+
+
+def _dealt(long: DataFrame) -> Column:
+    """0 for rows with a value; rows without one, which look nothing up, are dealt out by a hash of all their columns."""
+    return F.when(F.col("value").isNotNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in long.columns]), F.lit(1024)).cast("int"))
 
 
 def quantiles(long: DataFrame, by: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
@@ -77,9 +88,22 @@ def quantiles(long: DataFrame, by: Sequence[str], shares: Mapping[str, float]) -
 def scoped(long: DataFrame, group: Sequence[str], narrow: str, member: Column) -> DataFrame:
     """Percentiles in the narrow scope, widened to the members of the whole group if that is thin, or refused.
 
-    Adds percentile, n, scope ("narrow", "global" or null) and reason; n of a refusal is the narrow one."""
-    both = mid_rank(long, [*group, narrow], None, "_p", "_n")
-    both = mid_rank(both, group, member, "_pg", "_ng")
+    Adds percentile, n, scope ("narrow", "global" or null) and reason; n of a refusal is the narrow one. Each distinct value of a
+    narrow scope is counted once, for both scopes, and both are looked up in one join. Rows of no narrow scope are ranked in the
+    whole group alone."""
+    kinds = long.where(F.col("value").isNotNull()).groupBy(*group, narrow, "value").agg(F.count("*").alias("_all"), F.count(F.when(member, 1)).alias("_members"))
+    wide = accumulated(kinds.groupBy(*group, "value").agg(F.sum("_members").alias("_eq")), group, "_eq", "_upto", "_ng")
+    wide = wide.select(*group, "value", "_ng", _share("_eq", "_upto", "_ng").alias("_pg"))
+    own = accumulated(kinds.where(F.col(narrow).isNotNull()), [*group, narrow], "_all", "_upto", "_n").select(*group, narrow, "value", "_n", _share("_all", "_upto", "_n").alias("_p"))
+    none = kinds.where(F.col(narrow).isNull()).select(*group, narrow, "value", F.lit(None).cast("long").alias("_n"), F.lit(None).cast("double").alias("_p"))
+    found = own.unionByName(none).join(wide, [*group, "value"]).withColumn("_dealt", F.lit(0))
+    rows = long.withColumn("_dealt", _dealt(long))
+    keys = [*group, "value", "_dealt"]
+    found = found.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, narrow)], "_n", "_p", "_ng", "_pg")
+    same = F.col(narrow).eqNullSafe(F.col(f"_k_{narrow}"))
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    both = rows.join(found, same, "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     here, wide, known = count("_n") >= THIN, count("_ng") >= THIN, F.col("value").isNotNull()
     scope = F.when(known & here, "narrow").when(known & wide, "global")

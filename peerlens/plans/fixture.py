@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import derive
 from ..operators.percentile import primary
+from ..sources.shared import written
 from ..spec import Metric, Role, Score, check
 
 GROUPS = {"AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"}
@@ -50,5 +51,6 @@ def stats(spark: SparkSession, sf_dir: str, competition: str = "o_orderpriority"
 
 
 def population(spark: SparkSession, sf_dir: str, competition: str = "o_orderpriority") -> DataFrame:
-    """The totals with derived metrics and is_primary, one primary row per entity and season."""
-    return primary(derive(stats(spark, sf_dir, competition), METRICS), ["entity_key", "season_id"], "minutes", ["competition_id"])
+    """The totals with derived metrics and is_primary, one primary row per entity and season. They are written, as a ranking reads
+    them several times, each with other columns, and would read and join the facts anew each time."""
+    return written(primary(derive(stats(spark, sf_dir, competition), METRICS), ["entity_key", "season_id"], "minutes", ["competition_id"]), "population")
