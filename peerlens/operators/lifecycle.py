@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import Metric, Role, Score
@@ -89,7 +89,9 @@ def resolve_names(paths: DataFrame, names: DataFrame, most: int = 6) -> DataFram
     leaf = F.element_at(F.split("path", r"\."), -1)
     exact = paths.select(leaf.alias("name")).distinct().withColumn("_exact", F.lit(True))
     shared = names.select("name", words(F.col("name")).alias("_w")).join(paths.select("path", words(leaf).alias("_w")).where("_w <> ''"), "_w")
-    near = shared.groupBy("name").agg(F.slice(F.sort_array(F.collect_set("path")), 1, most).alias("_near"))
+    first = Window.partitionBy("name").orderBy("path")
+    near = shared.select("name", "path").distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    near = near.groupBy("name").agg(F.sort_array(F.collect_list("path")).alias("_near"))
     both = names.join(exact, "name", "left").join(near, "name", "left")
     status = F.when(F.col("_exact"), "AVAILABLE").when(F.col("_near").isNotNull(), "UNCLEAR").otherwise("UNAVAILABLE")
     return both.select("name", status.alias("status"), F.when(status == "UNCLEAR", F.array_join("_near", ",")).alias("candidates"))

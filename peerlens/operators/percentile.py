@@ -132,6 +132,8 @@ def maturity(rows: DataFrame, by: Sequence[str], unit: str, minutes: Column, est
     median of the units' most minutes, and whether the season is early (several units, share under half)."""
     units = rows.groupBy(*by, unit).agg(F.count("*").alias("rows"), F.max(F.coalesce(minutes, F.lit(0))).alias("most"))
     ok = F.col("most") >= established
-    middle = F.element_at(F.sort_array(F.collect_list("most")), (F.floor(F.count("*") / 2) + 1).cast("int"))
-    out = units.groupBy(*by).agg(F.count("*").alias("units"), F.count(F.when(ok, 1)).alias("established"), (F.coalesce(F.sum(F.when(ok, F.col("rows"))), F.lit(0)) / F.sum("rows")).alias("share"), middle.alias("median_most"), F.sort_array(F.collect_set(unit)).alias("covered"))
-    return out.withColumn("early_season", (F.col("units") > 1) & (F.col("share") < 0.5))
+    kinds = counts(units.select(*by, F.col("most").alias("value")), by, F.lit(1), "_n")
+    here = (F.col("_upto") - F.col("_eq") <= F.floor(F.col("_n") / 2)) & (F.floor(F.col("_n") / 2) < F.col("_upto"))
+    middle = kinds.where(here).select(*by, F.col("value").alias("median_most"))
+    out = units.groupBy(*by).agg(F.count("*").alias("units"), F.count(F.when(ok, 1)).alias("established"), (F.coalesce(F.sum(F.when(ok, F.col("rows"))), F.lit(0)) / F.sum("rows")).alias("share"), F.sort_array(F.collect_set(unit)).alias("covered"))
+    return out.join(middle, list(by)).withColumn("early_season", (F.col("units") > 1) & (F.col("share") < 0.5))
