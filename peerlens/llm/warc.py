@@ -75,8 +75,8 @@ def decoded(text: Column) -> Column:
 
         return bound(F.regexp_extract(piece, ENTITY, 1), known)
 
-    whole = bound(F.split(text, "&", -1), lambda pieces: F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), "")))
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    # the pieces are made once: what they are cut from may be costly
+    return bound(F.split(text, "&", -1), lambda pieces: F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), "")))
 
 
 def unquoted(value: Column) -> Column:
@@ -87,8 +87,8 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, DROPPED, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), BLOCK, "\n")
     text = decoded(F.regexp_replace(text, TAG, ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}|\t", " "), r" ?\n[ \n]*", "\n")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: Column | None = None) -> DataFrame:
