@@ -70,7 +70,7 @@ def by_hand(rows):
 def conversations():
     rng, rows = random.Random(5), []
     texts = ["Yes.", "No!", "broken", "", None, " \t", "why? ", "a.b", "x\ny.", "Yes."]
-    for conv in range(60):
+    for conv in range(36):
         turn = 0
         for _ in range(rng.choice([1, 2, 2, 3, 3])):
             turn += rng.choice([0, 1, 1, 1, 3])
