@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 ACCEPT = 0.90
 MARGIN = 0.05
 MAX_BLOCK = 400
+BLOCK = 2048
 
 # Letters that compatibility decomposition leaves whole.
 LETTERS = {"ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "þ": "th", "Þ": "th", "ı": "i", "ħ": "h", "Ħ": "h", "ŧ": "t", "Ŧ": "t"}
@@ -121,15 +122,50 @@ def same_club(a: Column, b: Column, stop: Sequence[str]) -> Column:
 
 def candidates(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     """(left_id, right_id) of rows (id, name, born) to compare: the same birth date, or surname and birth year, or the
-    surname alone for a left row without a date if at most ``max_block`` right rows have it. A union of equality joins."""
-    a = left.select(F.col("id").alias("left_id"), F.col("born").alias("_b"), surname(F.col("name")).alias("_s"))
-    b = right.select(F.col("id").alias("right_id"), F.col("born").alias("_b"), surname(F.col("name")).alias("_s"))
-    by_date = a.join(b.drop("_s"), "_b").select("left_id", "right_id")
-    year = F.year("_b").alias("_y")
-    by_year = a.select("left_id", "_s", year).join(b.select("right_id", "_s", year), ["_s", "_y"]).select("left_id", "right_id")
-    sizes = b.groupBy("_s").agg(F.count("*").alias("_n")).where(F.col("_n") <= max_block)
-    undated = a.where("_b IS NULL").select("left_id", "_s").join(sizes, "_s").join(b.select("right_id", "_s"), "_s").select("left_id", "right_id")
-    return by_date.union(by_year).union(undated).distinct()
+    surname alone for a left row without a date if at most ``max_block`` right rows have it."""
+    return compared(left, right, max_block).select("left_id", "right_id")
+
+
+def compared(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """``candidates`` with all columns of both rows, as left_<column> and right_<column>.
+
+    One equality join on what a pair can have in common. A pair of one date isn't met again by its year, so that pairs need no
+    shuffle to be told apart; only those of an id that several rows have are, and of these one is kept."""
+    a, b = _known("left", left), _known("right", right)
+    sizes = b.groupBy(_surname("right").alias("_s")).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_block)
+    a = _keyed(a, "left", F.when(F.col("left_born").isNull(), F.concat(F.lit("s"), _surname("left"))))
+    b = _keyed(b.withColumn("_s", _surname("right")).join(sizes, "_s", "left"), "right", F.when(F.col("_n").isNotNull(), F.concat(F.lit("s"), F.col("_s")))).drop("_s", "_n")
+    own = lambda df, many: df.where(F.col("_many") == many).drop("_many")
+    again = _met(own(a, True), b.drop("_many")).unionByName(_met(own(a, False), own(b, True)))
+    return _met(own(a, False), own(b, False)).unionByName(again.dropDuplicates(["left_id", "right_id"]))
+
+
+def _surname(side: str) -> Column:
+    return surname(F.col(f"{side}_name"))
+
+
+def _known(side: str, rows: DataFrame) -> DataFrame:
+    """The columns of one side, and whether several rows have the id."""
+    named = rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns])
+    return named.withColumn("_many", F.count("*").over(Window.partitionBy(f"{side}_id")) > 1)
+
+
+def _keyed(rows: DataFrame, side: str, name: Column) -> DataFrame:
+    """A row for each key that a row can be met by: its date, its year and surname, its surname alone."""
+    born = F.col(f"{side}_born")
+    keys = F.array(F.concat(F.lit("d"), born.cast("string")), F.concat(F.lit("y"), F.year(born).cast("string"), F.lit(" "), _surname(side)), name)
+    return rows.withColumn("_key", F.explode(F.array_compact(keys)))
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of one key. A key's rows are dealt into parts of about BLOCK on either side, and a task gets pairs of parts: input of a
+    few MB makes many pairs, so neither side is broadcast to the few tasks that read the other."""
+    n = lambda df, c: df.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    parts = n(a, "_pa").join(n(b, "_pb"), "_key")
+    dealt = lambda df, side, own, other: df.join(parts, "_key").withColumn(f"_{own}", F.pmod(F.xxhash64(f"{side}_id"), F.col(f"_p{own}")).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_p{other}") - 1))).drop("_pa", "_pb")
+    pairs = dealt(a, "left", "a", "b").hint("merge").join(dealt(b, "right", "b", "a"), ["_key", "_a", "_b"])
+    by_year = F.col("_key").startswith("y") & (F.col("left_born") == F.col("right_born"))
+    return pairs.where(~F.coalesce(by_year, F.lit(False))).drop("_key", "_a", "_b")
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:

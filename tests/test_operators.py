@@ -202,3 +202,21 @@ def test_similarity_filters(spark):
     ids = lambda **asked: [r["id"] for r in df.where(similarity.allowed(**asked)).orderBy("id").collect()]
     assert ids(age_min=21) == [2, 3] and ids(age_max=30) == [1, 2] and ids(value_max=8) == [1] and ids(competitions=["c2"]) == [2, 3] and ids(nationalities=["y"]) == [2]
     assert ids(other_competition=True) == [2, 3] and ids(other_club=True) == [2] and ids(younger=True) == [1, 2] and ids(recorded_min=100) == [1, 2] and ids() == [1, 2, 3]
+
+
+def test_candidates_of_large_blocks_are_dealt_out_and_told_once(spark, monkeypatch):
+    """Against all pairs compared one by one, with ids that several rows have, and blocks of many parts."""
+    monkeypatch.setattr(identity, "BLOCK", 4)
+    day = lambda i: None if i % 5 == 0 else date(1990 + i % 2, 1 + i % 3, 1)
+    a = [(i % 50, f"a{i} s{i % 3}", day(i)) for i in range(60)] + [(None, "x s1", day(1)), (60, None, day(2))]
+    b = [(i % 70, f"b{i} s{i % 4}", day(i)) for i in range(80)] + [(90, None, day(2)), (91, "", None)]
+    last = lambda name: None if name is None else name.split(" ")[-1]
+    for most in (15, 400):
+        few = {s for s in map(last, (n for _, n, _ in b)) if sum(last(n) == s for _, n, _ in b) <= most}
+        meet = lambda n, x, m, y: (x and x == y) or (last(n) is not None and last(n) == last(m) and ((x and y and x.year == y.year) or (not x and last(n) in few)))  # noqa: B023, E731
+        want = {(i, j) for i, n, x in a for j, m, y in b if meet(n, x, m, y)}
+        dfs = [spark.createDataFrame(x, "id long, name string, born date").coalesce(1) for x in (a, b)]
+        got = identity.candidates(*dfs, most)
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+        assert "SortMergeJoin [_key" in got._jdf.queryExecution().executedPlan().toString()
