@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
@@ -19,6 +20,8 @@ ACCEPT = 0.90
 MARGIN = 0.05
 MAX_BLOCK = 400
 BLOCK = 2048
+#: Longer words are compared one by one.
+WIDE = 32
 
 # Letters that compatibility decomposition leaves whole.
 LETTERS = {"ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "þ": "th", "Þ": "th", "ı": "i", "ħ": "h", "Ħ": "h", "ŧ": "t", "Ŧ": "t"}
@@ -63,29 +66,87 @@ def word_score(a: str, b: str) -> float:
     return r if r >= ALIKE else r / 2
 
 
+def word_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``word_score`` of each word with its fellow, for words of at most WIDE characters all at once."""
+    la, lb = (np.array([len(w) for w in x], int) for x in (a, b))
+    wide = np.maximum(la, lb)
+    found = np.zeros(len(a))
+    for least, most in ((0, WIDE // 4), (WIDE // 4, WIDE // 2), (WIDE // 2, WIDE)):
+        at = np.flatnonzero((wide > least) & (wide <= most))
+        if len(at):
+            x, y = (np.array([words[i] for i in at], f"U{most}").view(np.uint32).reshape(-1, most) for words in (a, b))
+            r = 2.0 * _matching(x.T, y.T, la[at], lb[at]) / (la[at] + lb[at])
+            score = np.where(r >= ALIKE, r, r / 2)
+            score = np.where((x[:, 0] == y[:, 0]) & (np.minimum(la[at], lb[at]) == 1), INITIAL, score)
+            found[at] = np.where(r == 1.0, 1.0, score)
+    for i in np.flatnonzero(wide > WIDE):
+        found[i] = word_score(a[i], b[i])
+    return found
+
+
+def _matching(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """How many characters of each two words match, as difflib counts them: the longest common block, the earliest of the first word
+    and then of the second among equals, and so on to its left and right. Words are columns, all of them are worked on at once."""
+    rows, total = np.arange(len(a))[:, None], np.zeros(a.shape[1], int)
+    at, a0, a1, b0, b1 = np.arange(a.shape[1]), np.zeros_like(la), la, np.zeros_like(lb), lb
+    while len(at):
+        inside = (rows >= b0) & (rows < b1)
+        y, x = b[:, at], a[:, at]
+        run = np.zeros((len(a) + 1, len(at)), np.int8)
+        size, i, j = (np.zeros(len(at), np.int64) for _ in range(3))
+        for k in range(len(a)):
+            run[1:] = (run[:-1] + 1) * ((y == x[k]) & inside & (k >= a0) & (k < a1))
+            most = run.max(0)
+            more = np.flatnonzero(most > size)
+            size[more], i[more], j[more] = most[more], k, run[:, more].argmax(0) - 1
+        total += np.bincount(at, size, len(total)).astype(int)
+        i, j = i - size + 1, j - size + 1
+        left, right = (size > 0) & (i > a0) & (j > b0), (size > 0) & (i + size < a1) & (j + size < b1)
+        both = lambda x, y: np.concatenate([x[left], y[right]])  # noqa: B023, E731
+        at, a0, a1, b0, b1 = both(at, at), both(a0, i + size), both(i, a1), both(b0, j + size), both(j, b1)
+    return total
+
+
 def name_score(a: str | None, b: str | None) -> float:
     """EQUAL for equal names, SAME_WORDS for the same words, else up to MOST from three parts: how well the words of the shorter
     name pair up with those of the longer, how alike the last words are, and how many words find one to pair up with.
 
     Pairs are read off the table of all word scores: row by row of the shorter name (the first name's, if both have as many
     words), the likest word that no row has taken, the earliest among equals."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return EQUAL
-    p, q = a.split(), b.split()
-    if set(p) == set(q):
-        return SAME_WORDS
-    scores = np.array([[word_score(x, y) for y in q] for x in p])
-    table = scores if len(p) <= len(q) else scores.T.copy()
-    paired, free = 0.0, np.ones(table.shape[1], bool)
-    for row in table:
-        k = int(np.where(free, row, -1.0).argmax())
-        if row[k] > 0:
-            free[k] = False
-            paired += float(row[k])
-    parts = {"paired": paired / len(table), "last": float(scores[-1, -1]), "share": len(table) / table.shape[1]}
-    return min(MOST, sum(WEIGHTS[x] * v for x, v in parts.items()))
+    return float(_name_scores([a or ""], [b or ""])[0])
+
+
+def _name_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``name_score`` of each name with its fellow. Two words that meet again are scored once."""
+    p, q = [x.split() for x in a], [x.split() for x in b]
+    found, kinds = np.zeros(len(a)), defaultdict(list)
+    for i, (x, y) in enumerate(zip(p, q, strict=True)):
+        if a[i] and b[i]:
+            if a[i] == b[i]:
+                found[i] = EQUAL
+            elif set(x) == set(y):
+                found[i] = SAME_WORDS
+            elif x and y:
+                kinds[len(x), len(y)].append(i)
+    codes = {w: k for k, w in enumerate({w for at in kinds.values() for i in at for w in (*p[i], *q[i])})}
+    words, asked = list(codes), {}
+    for (m, n), at in kinds.items():
+        x, y = (np.array([[codes[w] for w in names[i]] for i in at]) for names in (p, q))
+        asked[m, n] = x[:, :, None] * len(words) + y[:, None, :]
+    met = np.unique(np.concatenate([x.ravel() for x in asked.values()] or [np.zeros(0, int)]))
+    scored = word_scores([words[k] for k in met // max(1, len(words))], [words[k] for k in met % max(1, len(words))])
+    for (m, n), at in kinds.items():
+        scores = scored[np.searchsorted(met, asked[m, n])]
+        table = scores if m <= n else scores.transpose(0, 2, 1)
+        each, paired, free = np.arange(len(at)), np.zeros(len(at)), np.ones((len(at), max(m, n)), bool)
+        for row in range(min(m, n)):
+            k = np.where(free, table[:, row], -1.0).argmax(1)
+            best = np.where(free[each, k], table[each, row, k], 0.0)
+            free[each, k] &= best <= 0
+            paired += best
+        parts = {"paired": paired / min(m, n), "last": scores[:, -1, -1], "share": min(m, n) / max(m, n)}
+        found[at] = np.minimum(MOST, sum(WEIGHTS[x] * v for x, v in parts.items()))
+    return found
 
 
 def name_scores(a: Column, b: Column) -> Column:
@@ -93,10 +154,10 @@ def name_scores(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        pairs = pd.DataFrame({"a": left, "b": right})
-        kinds = pairs.drop_duplicates()
-        known = {(x, y): round(name_score(x, y), 9) for x, y in kinds.itertuples(index=False, name=None)}
-        return pd.Series([known[x] for x in pairs.itertuples(index=False, name=None)], dtype=float)
+        (x, names), (y, others) = pd.factorize(left), pd.factorize(right)
+        kinds, place = np.unique(x.astype(np.int64) * len(others) + y, return_inverse=True)
+        known = _name_scores([names[k] for k in kinds // max(1, len(others))], [others[k] for k in kinds % max(1, len(others))])
+        return pd.Series(np.array([round(v, 9) for v in known.tolist()])[place], dtype=float)
 
     return score(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
@@ -212,8 +273,11 @@ def unblocked(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) ->
 def decide(scored: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, confidence, status) from (left_id, right_id, confidence): a manual override wins; the best under
     ACCEPT is unmatched; within MARGIN of the runner-up it is ambiguous."""
+    # What is more than MARGIN under ACCEPT decides nothing but how high an unmatched row got: of it a task passes on the highest.
+    weak = F.coalesce(F.col("confidence") < ACCEPT - 2 * MARGIN, F.lit(False))
+    kept = scored.groupBy("left_id", F.when(~weak, F.col("right_id")).alias("right_id"), F.when(~weak, F.col("confidence")).alias("_c"), weak.alias("_weak")).agg(F.max("confidence").alias("confidence"), F.count("*").alias("_n"))
     w = Window.partitionBy("left_id").orderBy(F.desc("confidence"), "right_id")
-    best = scored.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("confidence").over(w)).where("_r = 1")
+    best = kept.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.when(F.col("_n") > 1, F.col("confidence")).otherwise(F.lead("confidence").over(w))).where("_r = 1")
     status = F.when(F.col("confidence") < ACCEPT, "unmatched").when(F.col("confidence") - F.coalesce("_next", F.lit(0.0)) < MARGIN - 1e-9, "ambiguous").otherwise("matched")
     out = best.select("left_id", F.when(status == "matched", F.col("right_id")).alias("right_id"), "confidence", status.alias("status"))
     if overrides is None:

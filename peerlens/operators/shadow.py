@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import aliased, same
-from .identity import candidates, decide, normalised, pair_scores, same_club
+from ..sources.shared import written
+from .identity import compared, decide, normalised, pair_scores, same_club
 
 SEED = 41
 #: Letters that are taken for others: each of the first stands for the one below it.
@@ -78,13 +79,9 @@ def shadow(identities: DataFrame, errors: Errors | None = None, seed: int = SEED
 
 def scored(left: DataFrame, right: DataFrame, nations: Mapping[str, str], club_stop: list[str]) -> DataFrame:
     """(left_id, right_id, name_score, confidence, method) of the candidate pairs of two sources (id, name, born, nation, club).
-    Names are normalised on the way; nations are compared through ``nations``, their other names."""
-    plain = [df.select("id", normalised(F.col("name")).alias("name"), "born", "nation", normalised(F.col("club")).alias("club")) for df in (left, right)]
-    pairs = candidates(*plain)
-    for side, df in zip(("left", "right"), plain, strict=True):
-        pairs = pairs.join(df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]), f"{side}_id")
-    nation = same(aliased("left_nation", nations), aliased("right_nation", nations))
-    told = pairs.withColumn("same_nation", nation).withColumn("same_club", same_club(F.col("left_club"), F.col("right_club"), club_stop))
+    Names are normalised once, on the way, and written; nations are compared through ``nations``, their other names."""
+    plain = [written(df.select("id", normalised(F.col("name")).alias("name"), "born", aliased("nation", nations).alias("nation"), normalised(F.col("club")).alias("club")), "plain") for df in (left, right)]
+    told = compared(*plain).withColumn("same_nation", same(F.col("left_nation"), F.col("right_nation"))).withColumn("same_club", same_club(F.col("left_club"), F.col("right_club"), club_stop))
     return pair_scores(told).select("left_id", "right_id", "name_score", F.round("confidence", 6).alias("confidence"), "method")
 
 

@@ -220,3 +220,56 @@ def test_candidates_of_large_blocks_are_dealt_out_and_told_once(spark, monkeypat
         found = [tuple(r) for r in got.collect()]
         assert len(found) == len(set(found)) and set(found) == want
         assert "SortMergeJoin [_key" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_name_scores_of_a_batch_are_those_of_pairs_one_by_one():
+    """Against difflib and a plain loop over words."""
+    import difflib
+    import random
+
+    def one(x, y):
+        if x == y or (x[0] == y[0] and 1 in (len(x), len(y))):
+            return 1.0 if x == y else identity.INITIAL
+        share = difflib.SequenceMatcher(None, x, y).ratio()
+        return share if share >= identity.ALIKE else share / 2
+
+    def whole(a, b):
+        p, q = a.split(), b.split()
+        if not p or not q or a == b or set(p) == set(q):
+            return 0.0 if not p or not q else 1.0 if a == b else 0.98
+        few, many = (p, q) if len(p) <= len(q) else (q, p)
+        left, got = list(range(len(many))), 0.0
+        for x in few:
+            score = lambda k: one(x, many[k]) if few is p else one(many[k], x)  # noqa: B023, E731
+            k = max(left, key=lambda k: (score(k), -k))
+            if score(k) > 0:
+                left.remove(k)
+                got += score(k)
+        return min(0.97, 0.55 * (got / len(few)) + 0.30 * one(p[-1], q[-1]) + 0.15 * (len(few) / len(many)))
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcø") for _ in range(r.choice([1, 2, 4, 7, 9, 15, 31, 32, 33, 210]))) for _ in range(60)]
+    names = [" ".join(r.choice(words) for _ in range(r.randrange(5))) for _ in range(200)]
+    a, b = ([r.choice(names) for _ in range(1500)] for _ in range(2))
+    assert identity._name_scores(a, b).tolist() == pytest.approx([whole(x, y) for x, y in zip(a, b, strict=True)], abs=1e-12)
+    assert identity._name_scores([], []).tolist() == []
+
+
+def test_decisions_need_few_pairs(spark):
+    """Against a sort of all pairs; what is far under ACCEPT isn't shuffled pair by pair."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i % 90, r.randrange(40), r.choice([0.1, 0.3, 0.799, 0.8, 0.84, 0.85, 0.87, 0.9, 0.92, 0.95, 1.0][: 3 + i % 9])) for i in range(500)]
+    rows += [(200, 1, 0.95), (200, 1, 0.95), (201, 1, 0.9), (201, 2, 0.85), (202, 1, 0.9), (202, 2, 0.86)] + [(i, j, 0.2) for i in range(300, 303) for j in range(1000)]
+    want = {}
+    for i in {x[0] for x in rows}:
+        own = sorted(((-c, j) for k, j, c in rows if k == i))
+        best, after = -own[0][0], -own[1][0] if len(own) > 1 else 0.0
+        status = "unmatched" if best < 0.9 else "ambiguous" if best - after < 0.05 - 1e-9 else "matched"
+        want[i] = (own[0][1] if status == "matched" else None, best, status)
+    df = spark.createDataFrame(rows, "left_id long, right_id long, confidence double").coalesce(1)
+    got = identity.decide(df)
+    assert {x[0]: tuple(x[1:]) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") >= 2 and plan.index("Window") < plan.index("HashAggregate")
