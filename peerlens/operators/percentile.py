@@ -1,8 +1,8 @@
 """Mid-rank percentiles inside populations.
 
-A population is counted by distinct value first, which pre-aggregates in each task. Those counts are ordered within spans of
-close values, and each span adds the counts of the spans below it, of which a population has some hundreds, so that no task
-orders a whole population; each row looks its value up. Rows that are ranked without being members don't count.
+A population is ordered within spans of close values, and each span adds the counts of the spans below it, of which a population has
+some hundreds, so that no task orders a whole population. A row moves once, to its span. Rows that are ranked without being members
+don't count. Quantiles are read off the counts of distinct values, which pre-aggregate in each task.
 """
 
 from __future__ import annotations
@@ -34,9 +34,13 @@ def mid_rank(long: DataFrame, by: Sequence[str], member: Column | None = None, o
 
     ``by`` are the columns that tell populations apart; ``member`` is true for the rows that count. Rows without a value get
     null for both; they are dealt out by a hash of all their columns."""
-    counted = F.when(F.col("value").isNotNull() & (member if member is not None else F.lit(True)), 1)
-    ranked = counts(long, by, counted, size).select(*by, "value", F.lit(0).alias("_dealt"), F.col(size), _share("_eq", "_upto", size).alias(out))
-    return long.withColumn("_dealt", _dealt(long)).join(ranked, [*by, "value", "_dealt"], "left").drop("_dealt")
+    counted = F.col("value").isNotNull() & F.coalesce(member if member is not None else F.lit(True), F.lit(False))
+    placed = long.withColumn("_span", F.when(F.col("value").isNotNull(), span(F.col("value"))).otherwise(-(1 << 22) - _dealt(long))).withColumn("_counted", counted.cast("int"))
+    spans = _below(placed.where(F.col("value").isNotNull()).groupBy(*by, "_span").agg(F.sum("_counted").alias("_own")), by, size)
+    within = Window.partitionBy(*by, "_span").orderBy("value")  # as the join deals rows out, so that they move once
+    alike = F.sum("_counted").over(within.rangeBetween(Window.currentRow, Window.currentRow))
+    found = placed.join(spans, [*by, "_span"], "left").select("*", (F.col("_below") + F.sum("_counted").over(within)).alias("_upto"), alike.alias("_eq"))
+    return found.select(*[F.col(f"`{c}`") for c in long.columns], _share("_eq", "_upto", size).alias(out), F.col(size))
 
 
 def counts(long: DataFrame, by: Sequence[str], counted: Column, size: str) -> DataFrame:
@@ -51,13 +55,18 @@ def accumulated(kinds: DataFrame, by: Sequence[str], eq: str, upto: str, size: s
     placed = kinds.withColumn("_span", span(F.col("value")))
     within = Window.partitionBy(*by, "_span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     spans = placed.groupBy(*by, "_span").agg(F.sum(eq).alias("_own"))
-    every = Window.partitionBy(*by)
-    below = F.coalesce(F.sum("_own").over(every.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select(*by, "_span", below.alias("_below"), F.sum("_own").over(every).alias(size))
+    spans = _below(spans, by, size)
     found = placed.withColumn("_in", F.sum(eq).over(within)).join(spans, [*by, "_span"])
     return found.select(*kinds.columns, (F.col("_below") + F.col("_in")).alias(upto), F.col(size))
 
 
+def _below(spans: DataFrame, by: Sequence[str], size: str) -> DataFrame:
+    """(by, _span, _below, size): how many are counted in a population's lower spans, and in all; ``spans`` has _own, those of one."""
+    every = Window.partitionBy(*by)
+    below = F.coalesce(F.sum("_own").over(every.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spans.select(*by, "_span", below.alias("_below"), F.sum("_own").over(every).alias(size))
+
+
 def _share(eq: str, upto: str, size: str) -> Column:
     return F.when(F.col(size) > 0, F.lit(100.0) * (2 * F.col(upto) - F.col(eq)) / (2 * F.col(size)))
 

@@ -141,7 +141,7 @@ def similarity_properties(spark: SparkSession, d: str, per_group: int = 4) -> Da
 # --- search and readings --------------------------------------------------------------------------------------------------------
 
 
-def _profiles(spark: SparkSession, d: str) -> DataFrame:
+def _profiles(spark: SparkSession, d: str, wide: DataFrame | None = None) -> DataFrame:
     """Primary rows of a season with attributes that follow from the customer, and the best role."""
     (customers,) = tables(spark, d, "customer")
     key = F.col("c_custkey")
@@ -150,7 +150,7 @@ def _profiles(spark: SparkSession, d: str) -> DataFrame:
         F.when(key % 7 != 0, F.when(key % 3 == 0, "left").otherwise("right")).alias("foot"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nationality"),
         F.concat(F.lit("club"), (key % 40).cast("string")).alias("club_id"), F.when(key % 9 != 0, F.date_add(F.lit(TODAY), (key * 31 % 900 - 100).cast("int"))).alias("contract_expires"),
     )
-    wide = written(ranked_wide(spark, d), "ranked")
+    wide = written(ranked_wide(spark, d), "ranked") if wide is None else wide
     best = scoring.best_role(_fits(wide), KEYS).select(*KEYS, "role", F.col("raw").alias("role_score"))
     rows = wide.where("is_primary").join(best, KEYS, "left").join(attributes, "entity_key")
     return rows.select(*KEYS, "minutes", "market_value", R.sample_band("minutes").alias("sample_band"), "role", F.round("role_score", 6).alias("role_score"), *[c for c in attributes.columns if c != "entity_key"])
@@ -189,7 +189,8 @@ def reading_bands(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_by_filter(spark: SparkSession, d: str) -> DataFrame:
     """For the target of each group and season: how many candidates each of the nine filters of similarity alone leaves."""
-    rows = written(_profiles(spark, d).join(written(ranked_wide(spark, d), "wide").select(*KEYS, "recorded_minutes", *NAMES), KEYS), "profiles")
+    wide = written(ranked_wide(spark, d), "ranked")
+    rows = written(_profiles(spark, d, wide).join(wide.select(*KEYS, "recorded_minutes", *NAMES), KEYS), "profiles")
     w = Window.partitionBy("peer_group", "season_id").orderBy(F.desc("minutes"), "entity_key")
     targets = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     carry = ["age", "market_value", "competition_id", "nationality", "club_id", "contract_expires", "recorded_minutes"]

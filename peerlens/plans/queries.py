@@ -92,13 +92,14 @@ CARRIED = ["minutes", "recorded_minutes", "market_value", "is_primary"]
 
 
 def ranked_wide(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    """Totals, or ``rows`` like ``population``, with the oriented global percentile of each metric under its name: one unpivot, one ranking, and one pivot back,
-    through all of which the totals that are still needed are carried, so that the facts are read once."""
-    long = unpivot(population(spark, d) if rows is None else rows, [*KEYS, *CARRIED], NAMES)
-    ranks = percentile.mid_rank(long, GROUP, F.col("is_primary"))
-    ranks = ranks.withColumn("o", F.when(F.col("n") >= percentile.THIN, percentile.oriented(F.col("percentile"), F.col("metric"), LOWER)))
-    own = [F.max(F.when(F.col("metric") == m, F.col("o"))).alias(m) for m in NAMES]
-    return ranks.groupBy(*KEYS).agg(*own, *[F.first(c).alias(c) for c in CARRIED])
+    """Totals, or ``rows`` like ``population``, with the oriented global percentile of each metric under its name. Rows are numbered and
+    written, so that the facts are read once and the ranking moves numbers and values only."""
+    own = (population(spark, d) if rows is None else rows).select(*KEYS, *CARRIED, *NAMES)
+    own = written(own.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ranks = percentile.mid_rank(unpivot(own, ["_row", "peer_group", "season_id", "is_primary"], NAMES), GROUP, F.col("is_primary"))
+    o = F.when(F.col("n") >= percentile.THIN, percentile.oriented(F.col("percentile"), F.col("metric"), LOWER))
+    wide = ranks.groupBy("_row").agg(*[F.max(F.when(F.col("metric") == m, o)).alias(m) for m in NAMES])
+    return own.drop(*NAMES).join(wide, "_row").select(*KEYS, *NAMES, *CARRIED)
 
 
 def composite_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +122,7 @@ def role_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fits(wide: DataFrame) -> DataFrame:
-    long = _roles(wide).withColumn("value", F.when(F.col("validity") == "full", F.round("raw", 6)))
+    long = written(_roles(wide).withColumn("value", F.when(F.col("validity") == "full", F.round("raw", 6))), "roles")
     out = percentile.mid_rank(long, ["role", "season_id"], None, "_fit", "_n")
     return out.withColumn("fit", F.when(F.col("_n") >= percentile.THIN, F.col("_fit")))
 
