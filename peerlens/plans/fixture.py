@@ -35,18 +35,25 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def stats(spark: SparkSession, sf_dir: str, competition: str = "o_orderpriority") -> DataFrame:
-    """One row per customer, competition and year. Fact rows meet their dimensions by key, then pre-aggregate."""
+    """One row per customer, competition and year. Lines are added up by order where they meet it, and only orders meet customers.
+
+    Rows of one order number, customer, competition and year are one order, so that orders are counted without their numbers; a
+    customer that several rows tell alike counts its orders' lines as often."""
     lines, orders, customers = tables(spark, sf_dir, "lineitem", "orders", "customer")
     flag = lambda c, v: F.count_if(F.col(c) == v)
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(
-        F.col("c_custkey").alias("entity_key"), F.col("c_mktsegment").alias("peer_group"), F.col(competition).cast("string").alias("competition_id"),
-        F.year("o_orderdate").cast("string").alias("season_id"), F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).alias("market_value"),
-    ).agg(
-        F.floor(6 * F.sum("l_quantity")).cast("int").alias("minutes"), F.floor(6 * F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")))).cast("int").alias("recorded_minutes"),
-        F.count_distinct("o_orderkey").alias("appearances"), F.count("*").alias("attempts"), flag("l_returnflag", "A").alias("successes"),
+    own = [competition] if competition in orders.columns else []
+    sums = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey", F.year("o_orderdate").alias("_year"), *own).agg(
+        F.sum("l_quantity").alias("minutes"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("recorded_minutes"), F.count("*").alias("attempts"), flag("l_returnflag", "A").alias("successes"),
         flag("l_returnflag", "R").alias("returns"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"), flag("l_returnflag", "N").alias("headline"),
     )
+    told = customers.groupBy("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).alias("market_value"), *([] if own else [competition])).agg(F.count("*").alias("_alike"))
+    total = lambda c: F.sum(F.col(c) * F.col("_alike"))
+    return sums.join(told, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        F.col("c_custkey").alias("entity_key"), F.col("c_mktsegment").alias("peer_group"), F.col(competition).cast("string").alias("competition_id"), F.col("_year").cast("string").alias("season_id"), "market_value",
+    ).agg(
+        F.floor(6 * total("minutes")).cast("int").alias("minutes"), F.floor(6 * total("recorded_minutes")).cast("int").alias("recorded_minutes"), F.count("*").alias("appearances"),
+        *[total(c).alias(c) for c in ("attempts", "successes", "returns", "discounted", "headline")],
+    )
 
 
 def population(spark: SparkSession, sf_dir: str, competition: str = "o_orderpriority") -> DataFrame:
