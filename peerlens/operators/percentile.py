@@ -2,7 +2,8 @@
 
 A population is ordered within spans of close values, and each span adds the counts of the spans below it, of which a population has
 some hundreds, so that no task orders a whole population. A row moves once, to its span. Rows that are ranked without being members
-don't count. Quantiles are read off the counts of distinct values, which pre-aggregate in each task.
+don't count. Quantiles are read off the counts of distinct values, which pre-aggregate in each task. Several columns are ranked at
+once off such counts, which are sent to the rows where they are few.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 THIN = 10
 SPANS = 64
+#: Distinct values of all populations together up to which their ranks are sent to the rows; about 100 bytes each in memory.
+SENT = 1 << 20
 
 
 def primary(rows: DataFrame, keys: Sequence[str], minutes: str, ties: Sequence[str]) -> DataFrame:
@@ -43,6 +48,29 @@ def mid_rank(long: DataFrame, by: Sequence[str], member: Column | None = None, o
     return found.select(*[F.col(f"`{c}`") for c in long.columns], _share("_eq", "_upto", size).alias(out), F.col(size))
 
 
+def mid_ranks(rows: DataFrame, row: str, by: Sequence[str], columns: Sequence[str], member: Column | None = None, sent: int = SENT) -> DataFrame:
+    """``rows`` with <column>:rank and <column>:n for each of ``columns`` (doubles): what ``mid_rank`` finds for its values.
+
+    ``row`` tells rows apart; ``rows`` are read several times. Rates of small totals have few distinct values however many rows there
+    are. Up to ``sent`` of them are ranked by their counts and sent to the rows, none of which moves; beyond, each value is ranked
+    by ``mid_rank`` and comes back to its row."""
+    found = [(f"{c}:rank", f"{c}:n") for c in columns]
+    counted = F.coalesce(member if member is not None else F.lit(True), F.lit(False)).cast("long")
+    at = ["_column", *by]
+    long = rows.withColumn("_counted", counted).unpivot([F.col(c) for c in (row, *by, "_counted")], [F.col(f"`{c}`") for c in columns], "_column", "value")
+    kinds = written(long.where(F.col("value").isNotNull()).groupBy(*at, "value").agg(F.sum("_counted").alias("_eq")), "kinds")
+    if kinds.count() > sent:
+        ranks = mid_rank(long, at, F.col("_counted") == 1, "_rank", "_size")
+        back = ranks.groupBy(row).agg(*[F.max(F.when(F.col("_column") == c, F.col(x))).alias(out) for c, own in zip(columns, found, strict=True) for x, out in zip(("_rank", "_size"), own, strict=True)])
+        return rows.join(back, row).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`") for own in found for c in own])
+    ranks = written(accumulated(kinds, at, "_eq", "_upto", "_size").select(*at, "value", _share("_eq", "_upto", "_size").alias("_rank"), "_size"), "ranks")
+    out = rows
+    for c, (rank, size) in zip(columns, found, strict=True):
+        own = ranks.where(F.col("_column") == c).select(*by, F.col("value").alias(c), F.col("_rank").alias(rank), F.col("_size").alias(size))
+        out = out.join(F.broadcast(own), [*by, c], "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`") for own in found for c in own])
+
+
 def counts(long: DataFrame, by: Sequence[str], counted: Column, size: str) -> DataFrame:
     """(by, value, _eq, _upto, size) of each distinct value of a population: how many of its rows are ``counted`` at the value, up to
     it, and in all."""

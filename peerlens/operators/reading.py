@@ -26,9 +26,10 @@ def highlights(long: DataFrame, keys: Sequence[str], own: Mapping[str, Sequence[
     for name, metrics in own.items():
         in_role = in_role | ((F.col(role) == name) & F.col("metric").isin(*metrics))
     rows = long.where(F.col("oriented").isNotNull() & ~F.col("metric").isin(*(context_metrics or [""])))
-    best, worst = Window.partitionBy(*keys).orderBy(F.desc("oriented"), "metric"), Window.partitionBy(*keys).orderBy("oriented", "metric")
-    pick = lambda df, kind, w, n: df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(*keys, F.lit(kind).alias("kind"), "place", "metric", F.col("oriented").alias("percentile"))
-    strengths = pick(rows.where(F.col("oriented") >= STRONG), "strength", best, most)
-    watch = pick(rows.where((F.col("oriented") <= WEAK) & F.coalesce(in_role, F.lit(False))), "watch-out", worst, most)
-    drivers = pick(rows.where((F.col("oriented") >= STRONG) & F.coalesce(in_role, F.lit(False))), "driver", best, 2)
-    return strengths.unionByName(watch).unionByName(drivers)
+    in_role = F.coalesce(in_role, F.lit(False))
+    strong, weak = F.col("oriented") >= STRONG, F.col("oriented") <= WEAK
+    one = lambda test, kind, order, n: F.when(test, F.struct(F.lit(kind).alias("kind"), order.alias("_o"), F.lit(n).alias("_most")))
+    kinds = F.array_compact(F.array(one(strong, "strength", -F.col("oriented"), most), one(weak & in_role, "watch-out", F.col("oriented"), most), one(strong & in_role, "driver", -F.col("oriented"), 2)))
+    told = rows.where(strong | weak & in_role).select(*keys, "metric", "oriented", F.explode(kinds).alias("_k")).select(*keys, "_k.*", "metric", "oriented")  # all three move at once
+    place = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("_o", "metric"))
+    return told.withColumn("place", place).where(F.col("place") <= F.col("_most")).select(*keys, "kind", "place", "metric", F.col("oriented").alias("percentile"))

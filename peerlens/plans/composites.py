@@ -10,7 +10,7 @@ from ..operators import identity, lifecycle, percentile, scoring, similarity
 from ..operators.metrics import derive, unpivot
 from ..sources.shared import written
 from .fixture import KEYS, METRICS, NAMES, ROLES, SCORES, population, stats, tables
-from .queries import GROUP, TODAY, _fits, _ledger, _long, _targets, identity_decisions, identity_merges, loader_checks, ranked_wide
+from .queries import GROUP, TODAY, _fits, _ledger, _long, _roles, _targets, identity_decisions, identity_merges, loader_checks, ranked_wide, scored_wide, with_best
 
 
 def widest_contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def player_stats(spark: SparkSession, d: str, entities: DataFrame | None = None)
 
 def player_roles(spark: SparkSession, d: str) -> DataFrame:
     """Per row its best role, the other full ones by standing, the partial ones, and the rest, closest to coverage first."""
-    fits = _fits(ranked_wide(spark, d))
+    fits = _fits(scored_wide(spark, d))
     standing = F.coalesce("fit", "raw")
     names = lambda test, order: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(test, F.struct(order.alias("o"), F.col("role"))))), lambda x: x["role"]), ",")
     full = names(F.col("validity") == "full", -F.round(standing, 6))
@@ -58,13 +58,10 @@ def player_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def player_profile(spark: SparkSession, d: str) -> DataFrame:
     """One row of everything: minutes and bands, scores with thin ones withheld, best role, counts of strong and weak metrics."""
-    ranked = written(ranked_wide(spark, d), "ranked")
-    wide = scoring.with_scores(ranked, SCORES)
+    wide = scoring.with_scores(with_best(scored_wide(spark, d)), SCORES)
     count = lambda test: sum((F.coalesce(test(F.col(m)), F.lit(False)).cast("int") for m in NAMES), F.lit(0))
-    best = scoring.best_role(_fits(ranked), KEYS).select(*KEYS, F.col("role").alias("best"))
     cover = R.coverage_band(R.coverage("recorded_minutes", "minutes"))
-    out = wide.select(*KEYS, "minutes", R.sample_band("minutes").alias("sample_band"), cover.alias("coverage_band"), *[F.when(F.col("minutes") >= 180, F.round(f"score:{s.name}", 6)).alias(s.name) for s in SCORES], count(lambda c: c >= 70).alias("strong"), count(lambda c: c <= 40).alias("weak"))
-    return out.join(best, KEYS, "left")
+    return wide.select(*KEYS, "minutes", R.sample_band("minutes").alias("sample_band"), cover.alias("coverage_band"), *[F.when(F.col("minutes") >= 180, F.round(f"score:{s.name}", 6)).alias(s.name) for s in SCORES], count(lambda c: c >= 70).alias("strong"), count(lambda c: c <= 40).alias("weak"), F.col("best.role").alias("best"))
 
 
 def comparison_caveats(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +77,7 @@ def score_distributions(spark: SparkSession, d: str) -> DataFrame:
     wide = scoring.with_scores(ranked, SCORES)
     made = wide.select("peer_group", *[F.col(m).alias(f"percentile:{m}") for m in NAMES], *[F.col(f"`score:{s.name}`") for s in SCORES])
     long = unpivot(made, ["peer_group"], [c for c in made.columns[1:]]).select("peer_group", F.col("metric").alias("name"), "value")
-    roles = _fits(ranked).select("peer_group", F.concat(F.lit("role:"), "role").alias("name"), F.when(F.col("validity") == "full", F.col("raw")).alias("value"))
+    roles = _roles(ranked).select("peer_group", F.concat(F.lit("role:"), "role").alias("name"), F.when(F.col("validity") == "full", F.col("raw")).alias("value"))
     every = written(long.union(roles), "distributions")
     found = percentile.quantiles(every, ["peer_group", "name"], {"middle": 0.5})
     top = every.groupBy("peer_group", "name").agg((F.count_if(F.col("value") >= 90) / F.nullif(F.count("value"), F.lit(0))).alias("top_share"))

@@ -15,7 +15,7 @@ from ..sources.shared import written
 from ..spec import Derived, Role, Routing, Score
 from . import oracles as O
 from .fixture import KEYS, NAMES, ROLES, SCORES, population, stats, tables
-from .queries import TODAY, _fits, ranked_wide
+from .queries import TODAY, ranked_wide, scored_wide, with_best
 
 # --- a catalogue of 43 metrics over 27 totals ---------------------------------------------------------------------------------
 
@@ -150,9 +150,8 @@ def _profiles(spark: SparkSession, d: str, wide: DataFrame | None = None) -> Dat
         F.when(key % 7 != 0, F.when(key % 3 == 0, "left").otherwise("right")).alias("foot"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nationality"),
         F.concat(F.lit("club"), (key % 40).cast("string")).alias("club_id"), F.when(key % 9 != 0, F.date_add(F.lit(TODAY), (key * 31 % 900 - 100).cast("int"))).alias("contract_expires"),
     )
-    wide = written(ranked_wide(spark, d), "ranked") if wide is None else wide
-    best = scoring.best_role(_fits(wide), KEYS).select(*KEYS, "role", F.col("raw").alias("role_score"))
-    rows = wide.where("is_primary").join(best, KEYS, "left").join(attributes, "entity_key")
+    wide = scored_wide(spark, d) if wide is None else wide
+    rows = with_best(wide).where("is_primary").withColumns({"role": F.col("best.role"), "role_score": F.col("best.raw")}).join(attributes, "entity_key")
     return rows.select(*KEYS, "minutes", "market_value", R.sample_band("minutes").alias("sample_band"), "role", F.round("role_score", 6).alias("role_score"), *[c for c in attributes.columns if c != "entity_key"])
 
 
@@ -176,8 +175,7 @@ ALONE: list[tuple[str, dict]] = [
 
 def search_filters(spark: SparkSession, d: str) -> DataFrame:
     """How many rows each filter alone lets through, all counted in one pass over the profiles."""
-    profiles = written(_profiles(spark, d), "profiles")
-    return search.counts(profiles, ALONE, TODAY)
+    return search.counts(_profiles(spark, d), ALONE, TODAY)
 
 
 def reading_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +187,7 @@ def reading_bands(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_by_filter(spark: SparkSession, d: str) -> DataFrame:
     """For the target of each group and season: how many candidates each of the nine filters of similarity alone leaves."""
-    wide = written(ranked_wide(spark, d), "ranked")
+    wide = scored_wide(spark, d)
     rows = written(_profiles(spark, d, wide).join(wide.select(*KEYS, "recorded_minutes", *NAMES), KEYS), "profiles")
     w = Window.partitionBy("peer_group", "season_id").orderBy(F.desc("minutes"), "entity_key")
     targets = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

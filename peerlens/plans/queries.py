@@ -92,14 +92,13 @@ CARRIED = ["minutes", "recorded_minutes", "market_value", "is_primary"]
 
 
 def ranked_wide(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    """Totals, or ``rows`` like ``population``, with the oriented global percentile of each metric under its name. Rows are numbered and
-    written, so that the facts are read once and the ranking moves numbers and values only."""
+    """Totals, or ``rows`` like ``population``, with the oriented global percentile of each metric under its name, and _row, which tells
+    rows apart. Rows are written, so that the facts are read once."""
     own = (population(spark, d) if rows is None else rows).select(*KEYS, *CARRIED, *NAMES)
     own = written(own.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    ranks = percentile.mid_rank(unpivot(own, ["_row", "peer_group", "season_id", "is_primary"], NAMES), GROUP, F.col("is_primary"))
-    o = F.when(F.col("n") >= percentile.THIN, percentile.oriented(F.col("percentile"), F.col("metric"), LOWER))
-    wide = ranks.groupBy("_row").agg(*[F.max(F.when(F.col("metric") == m, o)).alias(m) for m in NAMES])
-    return own.drop(*NAMES).join(wide, "_row").select(*KEYS, *NAMES, *CARRIED)
+    ranks = percentile.mid_ranks(own, "_row", ["peer_group", "season_id"], NAMES, F.col("is_primary"))
+    o = lambda m: F.when(F.col(f"`{m}:n`") >= percentile.THIN, percentile.oriented(F.col(f"`{m}:rank`"), F.lit(m), LOWER))
+    return ranks.select(*KEYS, *[o(m).alias(m) for m in NAMES], *CARRIED, "_row")
 
 
 def composite_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -121,18 +120,45 @@ def role_scores(spark: SparkSession, d: str) -> DataFrame:
     return _roles(ranked_wide(spark, d)).select(*KEYS, "role", F.round("raw", 6).alias("raw"), F.round("coverage", 6).alias("coverage"), "validity", scoring.coverage_band(F.round("coverage", 9)).alias("band"))
 
 
+ROLE_NAMES = [r.name for r in ROLES]
+
+
+def scored_wide(spark: SparkSession, d: str) -> DataFrame:
+    """``ranked_wide`` with scores, written. Scores, roles and fits are made in three steps, as the code that Spark generates for a step
+    must stay under 8,000 bytes for the JVM to compile it."""
+    return written(scoring.with_scores(ranked_wide(spark, d), SCORES), "ranked")
+
+
+def with_fits(wide: DataFrame) -> DataFrame:
+    """``wide``, as ``scored_wide`` makes it, without scores and with a column for each role: struct<role, raw, coverage, validity, fit>,
+    null if it isn't open to the row's group."""
+    keep = [*KEYS, *NAMES, *CARRIED, "_row"]
+    value = lambda r: F.when(F.col(f"{r}.validity") == "full", F.round(f"{r}.raw", 6)).alias(f"fit:{r}")
+    made = scoring.role_columns(wide, "peer_group", ROLES, keep)
+    made = written(made.select("*", *[value(r) for r in ROLE_NAMES]), "roles")
+    ranks = percentile.mid_ranks(made, "_row", ["season_id"], [f"fit:{r}" for r in ROLE_NAMES])
+    fit = lambda r: F.when(F.col(f"`fit:{r}:n`") >= percentile.THIN, F.col(f"`fit:{r}:rank`")).alias("fit")
+    return ranks.select(*keep, *[F.when(F.col(r).isNotNull(), F.struct(f"{r}.role", f"{r}.raw", f"{r}.coverage", f"{r}.validity", fit(r))).alias(r) for r in ROLE_NAMES])
+
+
 def _fits(wide: DataFrame) -> DataFrame:
-    long = written(_roles(wide).withColumn("value", F.when(F.col("validity") == "full", F.round("raw", 6))), "roles")
-    out = percentile.mid_rank(long, ["role", "season_id"], None, "_fit", "_n")
-    return out.withColumn("fit", F.when(F.col("_n") >= percentile.THIN, F.col("_fit")))
+    """A row for each role open to a row of ``wide``, as ``scored_wide`` makes it."""
+    keys = [*KEYS, "minutes", "market_value", "is_primary"]
+    return with_fits(wide).select(*keys, F.explode(F.array_compact(F.array(*ROLE_NAMES))).alias("r")).select(*keys, "r.*")
+
+
+def with_best(wide: DataFrame) -> DataFrame:
+    """``wide``, as ``scored_wide`` makes it, without scores and with best: struct of the role, raw, fit and standing of each row's best
+    role, or null."""
+    return with_fits(wide).select(*KEYS, *NAMES, *CARRIED, "_row", scoring.best_of(ROLE_NAMES).alias("best"))
 
 
 def role_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _fits(ranked_wide(spark, d)).select(*KEYS, "role", "validity", "fit")
+    return _fits(scored_wide(spark, d)).select(*KEYS, "role", "validity", "fit")
 
 
 def best_roles(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.best_role(_fits(ranked_wide(spark, d)), KEYS).select(*KEYS, "role", "standing")
+    return scoring.best_role(_fits(scored_wide(spark, d)), KEYS).select(*KEYS, "role", "standing")
 
 
 def shrunk_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +187,8 @@ def opportunity_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opportunities(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
-    best = written(scoring.best_role(_fits(ranked_wide(spark, d)).where("is_primary"), KEYS).withColumn("raw", F.round("raw", 6)), "best")
+    rows = with_best(scored_wide(spark, d)).where("is_primary AND best IS NOT NULL")
+    best = written(rows.select(*KEYS, *CARRIED, F.col("best.role").alias("role"), F.round("best.raw", 6).alias("raw")), "best")
     prior = best.agg(F.avg("raw").alias("_prior"))
     kept = best.join(F.broadcast(prior)).where(filters.predicate(filters.OPPORTUNITY, minutes_min=450, value_max=5000))
     out = reliability.rank_by_evidence(kept.withColumn("_p", F.col("_prior")), "raw", "minutes", (), F.col("_prior"))
@@ -190,13 +217,10 @@ def similar_profiles(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
 
 def replacements(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
     """Similarity .55, role fit .30 and affordability .15; complete candidates come before those that lack a part."""
-    wide = written(ranked_wide(spark, d), "ranked")
-    rows = wide.where("is_primary")
-    alike = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes")
-    fit = scoring.best_role(_fits(wide).where("is_primary"), ["entity_key", "season_id"]).select("entity_key", "season_id", F.col("standing").alias("role_fit"))
-    value = rows.select("entity_key", "season_id", F.col("market_value"))
-    parts = alike.drop("mean", "weight", "ranked", "adjusted").join(fit, ["entity_key", "season_id"], "left").join(value, ["entity_key", "season_id"])
-    parts = parts.withColumn("afford", R.market_fit("market_value", 5000.0))
+    rows = with_best(scored_wide(spark, d)).where("is_primary")
+    rows = written(rows.withColumn("role_fit", F.col("best.standing")).drop("best"), "fitted")
+    alike = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes", carry=["market_value", "role_fit"], keep=True)
+    parts = alike.drop("mean", "weight", "ranked", "adjusted").withColumn("afford", R.market_fit("market_value", 5000.0))
     w = {"index": 0.55, "role_fit": 0.30, "afford": 0.15}
     parts = parts.withColumn("overall", scoring.weighted(w, 0.55 - 1e-9)).withColumn("complete", F.col("role_fit").isNotNull() & F.col("afford").isNotNull())
     out = reliability.rank_by_evidence(parts, "overall", "minutes", ["peer_group", "season_id", "target", "complete"])
@@ -330,11 +354,9 @@ def role_presets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
-    wide = written(ranked_wide(spark, d), "ranked")
-    ranks = unpivot(wide, KEYS, NAMES).withColumnRenamed("value", "oriented")
-    best = scoring.best_role(_fits(wide), KEYS).select(*KEYS, "role")
+    rows = with_best(scored_wide(spark, d)).where("best IS NOT NULL").withColumn("role", F.col("best.role"))
     own = {r.name: [m for m in r.weights if not m.startswith("score:")] for r in ROLES}
-    return reading.highlights(ranks.join(best, KEYS), KEYS, own, "role")
+    return reading.highlights(unpivot(rows, [*KEYS, "role"], NAMES).withColumnRenamed("value", "oriented"), KEYS, own, "role")
 
 
 def inert_ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..spec import FeatureSets
 from . import oracles as O
 from .definitions import CATALOGUE, CATALOGUE_NAMES, ROUTING, _LINE_STATS, _METRICS, _MIXED, line_stats
 from .fixture import GROUPS, KEYS, METRICS, NAMES, ROLES, SCORES, population, stats, tables
-from .queries import _fits, ranked_wide
+from .queries import _roles, ranked_wide
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -148,7 +148,7 @@ def preset_availability(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_best_roles(spark: SparkSession, d: str) -> DataFrame:
     """Each row's roles by raw score alone, where scores aren't ranked within a competition: the best and how many come after it."""
-    long = _fits(ranked_wide(spark, d)).withColumn("fit", F.lit(None).cast("double"))
+    long = _roles(written(ranked_wide(spark, d), "ranked")).withColumn("fit", F.lit(None).cast("double"))
     best = scoring.best_role(long, KEYS).select(*KEYS, "role", F.round("standing", 6).alias("standing"))
     more = long.where("validity = 'full'").groupBy(*KEYS).agg((F.count("*") - 1).alias("others"))
     return best.join(more, KEYS)
