@@ -14,7 +14,7 @@ from ..operators.metrics import unpivot
 from ..sources.shared import written
 from ..spec import Derived, Role, Routing, Score
 from . import oracles as O
-from .fixture import KEYS, NAMES, ROLES, SCORES, population, stats, tables
+from .fixture import KEYS, NAMES, ROLES, SCORES, customers_orders, population, stats, tables
 from .queries import TODAY, ranked_wide, scored_wide, with_best
 
 # --- a catalogue of 43 metrics over 27 totals ---------------------------------------------------------------------------------
@@ -53,11 +53,13 @@ ROUTING = Routing(
 
 
 def line_stats(spark: SparkSession, d: str) -> DataFrame:
-    lines, orders, customers = tables(spark, d, "lineitem", "orders", "customer")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(F.col("c_custkey").alias("entity_key"), F.col("c_mktsegment").alias("peer_group"), F.col("o_orderpriority").alias("competition_id"), F.year("o_orderdate").cast("string").alias("season_id")).agg(
-        F.floor(6 * F.sum("l_quantity")).cast("int").alias("minutes"), F.floor(6 * F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")))).cast("int").alias("recorded_minutes"),
-        F.count_distinct("o_orderkey").alias("appearances"), *[F.count_if(F.expr(test)).alias(name) for name, test in LINES.items()],
+    """Totals like ``stats``, of all kinds of lines, which are added up by order first."""
+    sums = [F.sum("l_quantity").alias("minutes"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("recorded_minutes"), *[F.count_if(F.expr(test)).alias(name) for name, test in LINES.items()]]
+    joined = customers_orders(spark, d, sums, ["o_orderpriority"], ["c_mktsegment"])
+    total = lambda c: F.sum(F.col(c) * F.col("_alike"))
+    return joined.groupBy(F.col("c_custkey").alias("entity_key"), F.col("c_mktsegment").alias("peer_group"), F.col("o_orderpriority").alias("competition_id"), F.col("_year").cast("string").alias("season_id")).agg(
+        F.floor(6 * total("minutes")).cast("int").alias("minutes"), F.floor(6 * total("recorded_minutes")).cast("int").alias("recorded_minutes"),
+        F.count("*").alias("appearances"), *[total(name).alias(name) for name in LINES],
     )
 
 

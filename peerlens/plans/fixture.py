@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import derive
@@ -30,25 +32,40 @@ check(METRICS, SCORES, ROLES, GROUPS)
 KEYS = ["entity_key", "peer_group", "competition_id", "season_id"]
 
 
+#: Lines that one task joins and adds up, where there are more than Spark's number of partitions would deal out so.
+TASK_LINES = 1 << 21
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
+def customers_orders(spark: SparkSession, sf_dir: str, sums: Sequence[Column], own: Sequence[str], told: Sequence[str | Column]) -> DataFrame:
+    """A row for each order with ``sums`` over its lines, its ``own`` columns and _year, o_custkey, and what is ``told`` of its customer,
+    with how many rows of customers tell it alike. Lines are added up by order where they meet it, and only orders meet customers.
+    Partitions grow in number with the lines, so that what a task holds doesn't grow."""
+    lines, orders, customers = tables(spark, sf_dir, "lineitem", "orders", "customer")
+    parts = -(-lines.count() // TASK_LINES)
+    deal = lambda df, key: df.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+    added = deal(lines, "l_orderkey").join(deal(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey", F.year("o_orderdate").alias("_year"), *own).agg(*sums)
+    held = deal(customers, "c_custkey").groupBy("c_custkey", *told).agg(F.count("*").alias("_alike"))
+    return deal(added, "o_custkey").join(held, F.col("o_custkey") == F.col("c_custkey"))
+
+
 def stats(spark: SparkSession, sf_dir: str, competition: str = "o_orderpriority") -> DataFrame:
-    """One row per customer, competition and year. Lines are added up by order where they meet it, and only orders meet customers.
+    """One row per customer, competition and year.
 
     Rows of one order number, customer, competition and year are one order, so that orders are counted without their numbers; a
     customer that several rows tell alike counts its orders' lines as often."""
-    lines, orders, customers = tables(spark, sf_dir, "lineitem", "orders", "customer")
     flag = lambda c, v: F.count_if(F.col(c) == v)
-    own = [competition] if competition in orders.columns else []
-    sums = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey", F.year("o_orderdate").alias("_year"), *own).agg(
+    own = [competition] if competition in tables(spark, sf_dir, "orders")[0].columns else []
+    sums = [
         F.sum("l_quantity").alias("minutes"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("recorded_minutes"), F.count("*").alias("attempts"), flag("l_returnflag", "A").alias("successes"),
         flag("l_returnflag", "R").alias("returns"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"), flag("l_returnflag", "N").alias("headline"),
-    )
-    told = customers.groupBy("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).alias("market_value"), *([] if own else [competition])).agg(F.count("*").alias("_alike"))
+    ]
+    told = ["c_mktsegment", F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).alias("market_value"), *([] if own else [competition])]
     total = lambda c: F.sum(F.col(c) * F.col("_alike"))
-    return sums.join(told, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+    return customers_orders(spark, sf_dir, sums, own, told).groupBy(
         F.col("c_custkey").alias("entity_key"), F.col("c_mktsegment").alias("peer_group"), F.col(competition).cast("string").alias("competition_id"), F.col("_year").cast("string").alias("season_id"), "market_value",
     ).agg(
         F.floor(6 * total("minutes")).cast("int").alias("minutes"), F.floor(6 * total("recorded_minutes")).cast("int").alias("recorded_minutes"), F.count("*").alias("appearances"),
