@@ -169,9 +169,10 @@ def group_similarity(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
     rows = derived.derive(line_stats(spark, d), CATALOGUE, ROUTING)
     rows = percentile.primary(rows, ["entity_key", "season_id"], "minutes", ["competition_id"]).where("is_primary")
     used = sorted({m for own in FEATURES.groups.values() for m in own})
-    ranks = percentile.mid_rank(unpivot(rows, ["entity_key", "peer_group", "season_id", "minutes"], used), ["metric", "peer_group", "season_id"])
-    wide = ranks.groupBy("entity_key", "peer_group", "season_id", "minutes").agg(*[F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(m) for m in used])
-    wide = written(wide, "ranked")
+    compared = lambda m: F.when(F.col("peer_group").isin(*[g for g, own in FEATURES.groups.items() if m in own]), F.col(m)).alias(m)
+    rows = written(rows.select("entity_key", "peer_group", "season_id", "minutes", *[compared(m) for m in used]).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ranks = percentile.mid_ranks(rows, "_row", ["peer_group", "season_id"], used)
+    wide = written(ranks.select("entity_key", "peer_group", "season_id", "minutes", *[F.col(f"`{m}:rank`").alias(m) for m in used]), "ranked")
     first = Window.partitionBy("peer_group", "season_id").orderBy(F.desc("minutes"), "entity_key")
     parts = []
     for group, features in FEATURES.groups.items():
