@@ -162,7 +162,7 @@ def best_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shrunk_ranking(spark: SparkSession, d: str) -> DataFrame:
-    scored = scoring.with_scores(ranked_wide(spark, d), SCORES).where("is_primary").withColumn("raw", F.col("score:volume"))
+    scored = scored_wide(spark, d).where("is_primary").withColumn("raw", F.col("score:volume"))
     out = reliability.rank_by_evidence(scored, "raw", "minutes", ["peer_group", "season_id"])
     return out.select("entity_key", "peer_group", "season_id", F.round("raw", 6).alias("raw"), F.round("mean", 6).alias("mean"), F.round("weight", 6).alias("weight"), F.round("ranked", 6).alias("ranked"))
 
@@ -171,7 +171,7 @@ def recruitment(spark: SparkSession, d: str, weights: dict[str, float] | None =
     """Weighted search: percentiles, scores, one composite, evidence, the best ``top`` of each season."""
     weights = weights or {"score:volume": 60.0, "score:finish": 40.0}
     weights = scoring.normalised(weights, {f"score:{s.name}" for s in SCORES})
-    rows = scoring.with_scores(ranked_wide(spark, d), SCORES).where("is_primary")
+    rows = scored_wide(spark, d).where("is_primary")
     rows = rows.where(filters.predicate(filters.RECRUITMENT, minutes_min=180, value_min=100))
     rows = rows.withColumn("raw", scoring.weighted({f"`{k}`": w for k, w in weights.items()}, 1.0 - 1e-9))
     out = reliability.rank_by_evidence(rows, "raw", "minutes", ["season_id"])
@@ -360,7 +360,7 @@ def highlights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inert_ranking(spark: SparkSession, d: str) -> DataFrame:
-    scored = scoring.with_scores(ranked_wide(spark, d), SCORES).where("is_primary").withColumn("raw", F.col("score:volume"))
+    scored = scored_wide(spark, d).where("is_primary").withColumn("raw", F.col("score:volume"))
     return reliability.inert(reliability.rank_by_evidence(scored, "raw", "minutes"), "raw")
 
 
