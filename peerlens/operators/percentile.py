@@ -48,12 +48,12 @@ def mid_rank(long: DataFrame, by: Sequence[str], member: Column | None = None, o
     return found.select(*[F.col(f"`{c}`") for c in long.columns], _share("_eq", "_upto", size).alias(out), F.col(size))
 
 
-def mid_ranks(rows: DataFrame, row: str, by: Sequence[str], columns: Sequence[str], member: Column | None = None, sent: int = SENT) -> DataFrame:
+def mid_ranks(rows: DataFrame, row: str, by: Sequence[str], columns: Sequence[str], member: Column | None = None, sent: int = SENT, again: bool = False) -> DataFrame:
     """``rows`` with <column>:rank and <column>:n for each of ``columns`` (doubles): what ``mid_rank`` finds for its values.
 
     ``row`` tells rows apart; ``rows`` are read several times. Rates of small totals have few distinct values however many rows there
     are. Up to ``sent`` of them are ranked by their counts and sent to the rows, none of which moves; beyond, each value is ranked
-    by ``mid_rank`` and comes back to its row."""
+    by ``mid_rank`` and comes back to its row, which is written if it is read ``again``."""
     found = [(f"{c}:rank", f"{c}:n") for c in columns]
     counted = F.coalesce(member if member is not None else F.lit(True), F.lit(False)).cast("long")
     at = ["_column", *by]
@@ -62,7 +62,8 @@ def mid_ranks(rows: DataFrame, row: str, by: Sequence[str], columns: Sequence[st
     if kinds.count() > sent:
         ranks = mid_rank(long, at, F.col("_counted") == 1, "_rank", "_size")
         back = ranks.groupBy(row).agg(*[F.max(F.when(F.col("_column") == c, F.col(x))).alias(out) for c, own in zip(columns, found, strict=True) for x, out in zip(("_rank", "_size"), own, strict=True)])
-        return rows.join(back, row).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`") for own in found for c in own])
+        moved = rows.join(back, row).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`") for own in found for c in own])
+        return written(moved, "moved") if again else moved
     ranks = written(accumulated(kinds, at, "_eq", "_upto", "_size").select(*at, "value", _share("_eq", "_upto", "_size").alias("_rank"), "_size"), "ranks")
     out = rows
     for c, (rank, size) in zip(columns, found, strict=True):

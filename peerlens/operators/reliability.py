@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 FULL = 900.0
 
 
@@ -18,11 +20,11 @@ def rank_by_evidence(rows: DataFrame, value: str, minutes: str, by: Sequence[str
     """``rows`` with a value, and mean, weight, ranked and adjusted: values drawn to the mean of the others.
 
     mean is the leave-one-out mean of the population ``by``, or ``prior``. Sums are aggregated and looked up, so that a
-    population of any size needs no window."""
+    population of any size needs no window. They are written, so that Spark knows how few they are and moves no row to them."""
     known = rows.where(F.col(value).isNotNull())
     if prior is None:
         sums = known.groupBy(*by).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-        known = known.join(sums, list(by)) if by else known.join(F.broadcast(sums))
+        known = known.join(written(sums, "sums"), list(by)) if by else known.join(F.broadcast(sums))
         mean = F.when(F.col("_n") > 1, (F.col("_s") - F.col(value)) / (F.col("_n") - 1)).otherwise(F.col(value))
     else:
         mean = prior if isinstance(prior, Column) else F.lit(float(prior))

@@ -129,4 +129,4 @@ def best_of(roles: Sequence[str]) -> Column:
         standing = F.coalesce(of("fit"), of("raw"))
         return F.when(of("validity") == "full", F.struct((-standing).alias("order"), of("role").alias("role"), of("raw").alias("raw"), of("fit").alias("fit"), standing.alias("standing")))
 
-    return F.array_min(F.array_compact(F.array(*[one(r) for r in roles])))
+    return F.array_min(F.array(*[one(r) for r in roles]))

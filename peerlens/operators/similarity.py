@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import expires_within
+from ..sources.shared import apart, written
 from .reliability import rank_by_evidence
 
 CENTRE = 50.0
 MIN_SHARED = 5
 MIN_INDEX = 50.0
+#: Features up to which a comparison is plain arithmetic; that of more would make more code than the JVM compiles.
+PLAIN = 16
 
 
 def required(expected: int, least: int = MIN_SHARED) -> int:
@@ -44,6 +47,22 @@ def _measures(shared: Column) -> Column:
     return F.struct(F.size(shared).alias("shared"), cosine.alias("cosine"), strength.alias("strength"))
 
 
+def compared(pairs: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """``pairs`` with _shared, _cosine and _strength: what ``compare`` finds for the vectors of the columns ``a`` and ``b``."""
+    if len(a) > PLAIN:
+        found = pairs.withColumn("_m", compare(F.array(*a), F.array(*b)))
+        return found.select(*pairs.columns, *[F.col(f"_m.{c}").alias(f"_{c}") for c in ("shared", "cosine", "strength")])
+    both = [(F.col(x), F.col(y)) for x, y in zip(a, b, strict=True)]
+    total = lambda term, none: sum((F.when(x.isNotNull() & y.isNotNull(), term(x, y)).otherwise(none) for x, y in both), none)
+    zero = F.lit(0.0)
+    own = apart(pairs.select("*", total(lambda x, y: F.lit(1), F.lit(0)).alias("_shared")))
+    sums = apart(own.select("*", total(lambda x, y: x * y, zero).alias("_dot"), F.sqrt(total(lambda x, y: x * x, zero)).alias("_na"), F.sqrt(total(lambda x, y: y * y, zero)).alias("_nb")))
+    na, nb = F.col("_na"), F.col("_nb")
+    cosine = F.when((na > 0) & (nb > 0), F.col("_dot") / (na * nb)).otherwise(zero)
+    strength = F.when((na == 0) & (nb == 0), F.lit(1.0)).otherwise(F.least(na, nb) / F.greatest(na, nb))
+    return sums.select(*pairs.columns, "_shared", cosine.alias("_cosine"), strength.alias("_strength"))
+
+
 def index(cosine: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)) * 100.0
 
@@ -87,26 +106,29 @@ def allowed(
     return out
 
 
-def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, features: Sequence[str], minutes: str, least: int = MIN_SHARED, carry: Sequence[str] = (), allow: Column | None = None, keep: bool = False) -> DataFrame:
+def similar(rows: DataFrame, targets: DataFrame, by: Sequence[str], key: str, features: Sequence[str], minutes: str, least: int = MIN_SHARED, carry: Sequence[str] = (), allow: Column | None = None, keep: bool = False, ranked: bool = True) -> DataFrame:
     """For each target the rows of its group that are like it: index, strength, shared, band, and ranked by evidence.
 
     ``rows`` and ``targets``: ``by``, ``key``, ``minutes``, the features and what ``carry`` names. ``allow`` is a condition on
     carried columns, as ``allowed`` makes; only what it allows counts as a candidate. ``keep``: the carried columns stay, the
     target's as target_<column>. Rows are drawn to the mean of all
-    candidates of the target before those under MIN_INDEX are left out. A target needs ``least`` features, a pair half of all.
-    Targets are what a caller asks for; each of their groups is read once, joined on the group."""
-    t = targets.select(*by, F.col(key).alias("target"), vector(features).alias("_t"), *[F.col(c).alias(f"target_{c}") for c in carry])
-    t = t.where(F.size(F.array_compact("_t")) >= least)
-    c = rows.select(*by, key, minutes, vector(features).alias("_c"), *[x for x in carry if x != minutes])
+    candidates of the target before those under MIN_INDEX are left out; not if ``ranked`` is false. A target needs ``least`` features, a
+    pair half of all. Targets are what a caller asks for; they are written, so that Spark knows how few they are and moves no row to
+    them; each of their groups is read once."""
+    parts = lambda side: [(F.col(f) - F.lit(CENTRE)).alias(f"{side}{i}") for i, f in enumerate(features)]
+    t = targets.select(*by, F.col(key).alias("target"), vector(features).alias("_t"), *parts("_t"), *[F.col(c).alias(f"target_{c}") for c in carry])
+    t = written(t.where(F.size(F.array_compact("_t")) >= least), "targets")
+    c = rows.select(*by, key, minutes, vector(features).alias("_c"), *parts("_c"), *[x for x in carry if x != minutes])
     pairs = c.join(t, list(by)).where(F.col(key) != F.col("target"))
     if allow is not None:
         pairs = pairs.where(allow)
-    pairs = pairs.withColumn("_m", compare(F.col("_t"), F.col("_c"))).where(F.col("_m.shared") >= required(len(features), least))
-    shared = F.col("_m.shared")
+    shared = F.col("_shared")
+    pairs = compared(pairs, *[[f"{side}{i}" for i in range(len(features))] for side in ("_t", "_c")]).where(shared >= required(len(features), least))
     kept = [x for c in carry for x in ([c] if c != minutes else []) + [f"target_{c}"]] if keep else []
-    measured = pairs.select(*by, "target", key, minutes, *kept, shared.alias("shared"), coverage_band(shared, len(features)).alias("band"), index(F.col("_m.cosine")).alias("index"), F.col("_m.strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
-    ranked = rank_by_evidence(measured, "index", minutes, [*by, "target"])
-    return ranked.where(F.col("index") >= MIN_INDEX)
+    measured = pairs.select(*by, "target", key, minutes, *kept, shared.alias("shared"), coverage_band(shared, len(features)).alias("band"), index(F.col("_cosine")).alias("index"), F.col("_strength").alias("strength"), gaps(F.col("_t"), F.col("_c"), features).alias("gaps"))
+    if ranked:
+        measured = rank_by_evidence(measured, "index", minutes, [*by, "target"])
+    return measured.where(F.col("index") >= MIN_INDEX)
 
 
 def properties(pairs: DataFrame, rows: DataFrame, by: Sequence[str], key: str, saturated: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rates as R
 from ..operators import filters, identity, neighbours, percentile, presets, quality, reading, reliability, scoring, similarity
 from ..operators.metrics import coverage_by_group, derive, unpivot
-from ..sources.shared import written
+from ..sources.shared import apart, written
 from ..sources.writers import csv_lines
 from .fixture import KEYS, LOWER, METRICS, NAMES, ROLES, SCORES, population, stats, tables
 
@@ -91,12 +91,12 @@ def maturity(spark: SparkSession, d: str) -> DataFrame:
 CARRIED = ["minutes", "recorded_minutes", "market_value", "is_primary"]
 
 
-def ranked_wide(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+def ranked_wide(spark: SparkSession, d: str, rows: DataFrame | None = None, again: bool = False) -> DataFrame:
     """Totals, or ``rows`` like ``population``, with the oriented global percentile of each metric under its name, and _row, which tells
-    rows apart. Rows are written, so that the facts are read once."""
+    rows apart. Rows are written, so that the facts are read once; ``again`` as in ``percentile.mid_ranks``."""
     own = (population(spark, d) if rows is None else rows).select(*KEYS, *CARRIED, *NAMES)
     own = written(own.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    ranks = percentile.mid_ranks(own, "_row", ["peer_group", "season_id"], NAMES, F.col("is_primary"))
+    ranks = percentile.mid_ranks(own, "_row", ["peer_group", "season_id"], NAMES, F.col("is_primary"), again=again)
     o = lambda m: F.when(F.col(f"`{m}:n`") >= percentile.THIN, percentile.oriented(F.col(f"`{m}:rank`"), F.lit(m), LOWER))
     return ranks.select(*KEYS, *[o(m).alias(m) for m in NAMES], *CARRIED, "_row")
 
@@ -129,6 +129,11 @@ def scored_wide(spark: SparkSession, d: str) -> DataFrame:
     return written(scoring.with_scores(ranked_wide(spark, d), SCORES), "ranked")
 
 
+def scored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``scored_wide``, not written, for what reads it twice at most: looking ranks up again takes less than writing and reading them."""
+    return apart(scoring.with_scores(apart(ranked_wide(spark, d, again=True)), SCORES))
+
+
 def with_fits(wide: DataFrame) -> DataFrame:
     """``wide``, as ``scored_wide`` makes it, without scores and with a column for each role: struct<role, raw, coverage, validity, fit>,
     null if it isn't open to the row's group."""
@@ -148,9 +153,16 @@ def _fits(wide: DataFrame) -> DataFrame:
 
 
 def with_best(wide: DataFrame) -> DataFrame:
-    """``wide``, as ``scored_wide`` makes it, without scores and with best: struct of the role, raw, fit and standing of each row's best
-    role, or null."""
-    return with_fits(wide).select(*KEYS, *NAMES, *CARRIED, "_row", scoring.best_of(ROLE_NAMES).alias("best"))
+    """``wide``, as ``scored_wide`` or ``scored_rows`` makes it, without scores and with best: struct of the role, raw, fit and standing of
+    each row's best role, or null. Only full roles can be best, so that a role is a number here; nothing is written."""
+    keep = [*KEYS, *NAMES, *CARRIED, "_row"]
+    full = lambda r: F.when(F.col(f"{r}.validity") == "full", F.col(f"{r}.raw")).alias(f"raw:{r}")
+    made = apart(scoring.role_columns(wide, "peer_group", ROLES, keep).select(*keep, *[full(r) for r in ROLE_NAMES]))
+    made = made.select("*", *[F.round(f"raw:{r}", 6).alias(f"fit:{r}") for r in ROLE_NAMES])
+    ranks = percentile.mid_ranks(made, "_row", ["season_id"], [f"fit:{r}" for r in ROLE_NAMES], again=True)
+    fit = lambda r: F.when(F.col(f"`fit:{r}:n`") >= percentile.THIN, F.col(f"`fit:{r}:rank`")).alias("fit")
+    role = lambda r: F.when(F.col(f"raw:{r}").isNotNull(), F.struct(F.lit(r).alias("role"), F.col(f"raw:{r}").alias("raw"), F.lit("full").alias("validity"), fit(r))).alias(r)
+    return ranks.select(*keep, *[role(r) for r in ROLE_NAMES]).select(*keep, scoring.best_of(ROLE_NAMES).alias("best"))
 
 
 def role_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +199,7 @@ def opportunity_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opportunities(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
-    rows = with_best(scored_wide(spark, d)).where("is_primary AND best IS NOT NULL")
+    rows = with_best(scored_rows(spark, d)).where("is_primary AND best IS NOT NULL")
     best = written(rows.select(*KEYS, *CARRIED, F.col("best.role").alias("role"), F.round("best.raw", 6).alias("raw")), "best")
     prior = best.agg(F.avg("raw").alias("_prior"))
     kept = best.join(F.broadcast(prior)).where(filters.predicate(filters.OPPORTUNITY, minutes_min=450, value_max=5000))
@@ -217,12 +229,13 @@ def similar_profiles(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
 
 def replacements(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
     """Similarity .55, role fit .30 and affordability .15; complete candidates come before those that lack a part."""
-    rows = with_best(scored_wide(spark, d)).where("is_primary")
-    rows = written(rows.withColumn("role_fit", F.col("best.standing")).drop("best"), "fitted")
-    alike = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes", carry=["market_value", "role_fit"], keep=True)
-    parts = alike.drop("mean", "weight", "ranked", "adjusted").withColumn("afford", R.market_fit("market_value", 5000.0))
+    rows = with_best(scored_rows(spark, d)).where("is_primary")
+    rows = written(rows.select("peer_group", "season_id", "entity_key", *NAMES, "minutes", "market_value", F.col("best.standing").alias("role_fit")), "fitted")
+    alike = similarity.similar(rows, _targets(rows), ["peer_group", "season_id"], "entity_key", NAMES, "minutes", carry=["market_value", "role_fit"], keep=True, ranked=False)
+    parts = alike.withColumn("afford", R.market_fit("market_value", 5000.0))
     w = {"index": 0.55, "role_fit": 0.30, "afford": 0.15}
     parts = parts.withColumn("overall", scoring.weighted(w, 0.55 - 1e-9)).withColumn("complete", F.col("role_fit").isNotNull() & F.col("afford").isNotNull())
+    parts = written(parts.select("peer_group", "season_id", "target", "entity_key", "minutes", "complete", "overall"), "parts")
     out = reliability.rank_by_evidence(parts, "overall", "minutes", ["peer_group", "season_id", "target", "complete"])
     order = Window.partitionBy("peer_group", "season_id", "target").orderBy(F.desc("complete"), F.desc(F.round("ranked", 6)), "entity_key")
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("peer_group", "season_id", "target", "place", "entity_key", "complete", F.round("overall", 6).alias("overall"), F.round("ranked", 6).alias("ranked"))

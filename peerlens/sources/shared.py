@@ -24,3 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: More partitions than a table has.
+MANY = 1 << 20
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as it is, with the code that Spark generates for it apart from that of what follows, as the JVM compiles no method of
+    8,000 bytes. ``coalesce`` generates none, and to more partitions than there are it moves nothing."""
+    return df.coalesce(MANY)

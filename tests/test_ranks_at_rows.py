@@ -2,9 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from peerlens.operators import percentile, reading, scoring
+from peerlens.operators import percentile, reading, scoring, similarity
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -45,3 +48,38 @@ def test_highlights_of_all_kinds_move_together(spark):
     assert plan(out).count("hashpartitioning") == 1
     got = sorted((r["kind"], r["place"], r["metric"], r["percentile"]) for r in out.collect())
     assert got == [("driver", 1, "b", 95.0), ("driver", 2, "c", 80.0), ("strength", 1, "a", 95.0), ("strength", 2, "b", 95.0), ("strength", 3, "c", 80.0), ("strength", 4, "d", 72.0), ("watch-out", 1, "f", 12.0)]
+
+
+def test_comparison_by_arithmetic_is_that_of_vectors(spark, monkeypatch):
+    rng = random.Random(8)
+    one = lambda: [rng.choice([None, 0.0, -0.0, 50.0, rng.uniform(-50, 50)]) for _ in range(5)]
+    df = spark.createDataFrame([(i, one(), one()) for i in range(300)], "i int, a array<double>, b array<double>")
+    wide = df.select("*", *[F.get(v, F.lit(i)).alias(f"{v}{i}") for v in "ab" for i in range(5)])
+    names = [[f"{v}{i}" for i in range(5)] for v in "ab"]
+    want = df.select("i", similarity.compare(F.col("a"), F.col("b")).alias("m")).select("i", "m.*")
+    for plain in (16, 4):
+        monkeypatch.setattr(similarity, "PLAIN", plain)
+        got = similarity.compared(wide, *names).select("i", "_shared", "_cosine", "_strength")
+        assert ("lambda" in plan(got)) == (plain < 5)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_candidates_do_not_move_to_their_targets(spark):
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.range(400).selectExpr("id AS k", "id % 3 AS g", "1000 AS m", *[f"cast((id * {7 + i}) % 101 AS double) AS {n}" for i, n in enumerate(names)])
+    out = similarity.similar(df, df.where("k < 3"), ["g"], "k", names, "m")
+    assert "hashpartitioning" not in plan(out) and out.count() > 0  # neither to targets nor to sums
+
+
+def test_best_roles_are_found_without_writing_scores_or_roles(spark, monkeypatch):
+    from peerlens.plans import queries
+    from peerlens.sources import shared
+
+    names = []
+    for module in (queries, percentile):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or shared.written(df, name))
+    best = queries.with_best(queries.scored_rows(spark, DATA))
+    assert names == ["numbered", "kinds", "ranks", "kinds", "ranks"]
+    want = scoring.best_role(queries._fits(queries.scored_wide(spark, DATA)), queries.KEYS).select(*queries.KEYS, "role", "raw", "fit", "standing")
+    got = best.where("best IS NOT NULL").select(*queries.KEYS, "best.role", "best.raw", "best.fit", "best.standing")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
