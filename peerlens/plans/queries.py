@@ -367,9 +367,17 @@ def role_presets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_best(scored_wide(spark, d)).where("best IS NOT NULL").withColumn("role", F.col("best.role"))
+    """Rows of customers whose number is theirs alone have keys of their own; those of shared numbers meet by their keys."""
+    rows = apart(with_best(scored_rows(spark, d)).select(*KEYS, *NAMES, F.col("best.role").alias("role"))).where("role IS NOT NULL")
     own = {r.name: [m for m in r.weights if not m.startswith("score:")] for r in ROLES}
-    return reading.highlights(unpivot(rows, [*KEYS, "role"], NAMES).withColumnRenamed("value", "oriented"), KEYS, own, "role")
+    (customers,) = tables(spark, d, "customer")
+    several = written(customers.groupBy(F.col("c_custkey").alias("entity_key")).count().where("count > 1").select("entity_key"), "several")
+    alone = lambda df: reading.highlights_of_rows(df, KEYS, NAMES, own, "role")
+    if several.isEmpty():
+        return alone(rows)
+    met = rows.join(several, "entity_key", "left_semi")
+    met = reading.highlights(unpivot(met, [*KEYS, "role"], NAMES).withColumnRenamed("value", "oriented"), KEYS, own, "role")
+    return alone(rows.join(several, "entity_key", "left_anti")).unionByName(met)
 
 
 def inert_ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,37 @@ def test_highlights_of_all_kinds_move_together(spark):
     assert got == [("driver", 1, "b", 95.0), ("driver", 2, "c", 80.0), ("strength", 1, "a", 95.0), ("strength", 2, "b", 95.0), ("strength", 3, "c", 80.0), ("strength", 4, "d", 72.0), ("watch-out", 1, "f", 12.0)]
 
 
+def test_highlights_of_rows_are_those_of_metrics_and_move_nothing(spark):
+    rng = random.Random(7)
+    names = ["d", "a", "c", "b", "f", "e"]
+    value = lambda: rng.choice([None, 0.0, 12.0, 40.0, 41.0, 69.5, 70.0, 70.0, 95.0, 100.0])
+    df = spark.createDataFrame([(i, rng.choice(["k", "l", "m", None]), *[value() for _ in names]) for i in range(300)], "i int, role string, " + ", ".join(f"{n} double" for n in names))
+    own = {"k": ["b", "c", "e"], "l": ["a"]}
+    long = df.unpivot(["i", "role"], names, "metric", "oriented")
+    for context in ((), ("a", "e")):
+        want = reading.highlights(long, ["i"], own, "role", 3, context)
+        got = reading.highlights_of_rows(df, ["i"], names, own, "role", 3, context)
+        assert got.columns == want.columns and "Exchange" not in plan(got)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_highlights_of_customers_that_share_a_number(spark, tmp_path):
+    from peerlens.plans.registry import ORACLES, QUERIES
+
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("customer", "orders", "lineitem"):
+        df = spark.read.parquet(f"{DATA}/{t}.parquet")
+        if t == "customer":
+            df = df.union(df.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 700))
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    norm = lambda rows: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
+    got = QUERIES["highlights"](spark, str(tmp_path))
+    names = con.execute(ORACLES["highlights"]).description
+    want = con.execute(ORACLES["highlights"]).fetchall()
+    assert norm(map(tuple, got.select(*[n[0] for n in names]).collect())) == norm(want) and want
+
+
 def test_comparison_by_arithmetic_is_that_of_vectors(spark, monkeypatch):
     rng = random.Random(8)
     one = lambda: [rng.choice([None, 0.0, -0.0, 50.0, rng.uniform(-50, 50)]) for _ in range(5)]
