@@ -15,7 +15,7 @@ from ..sources.shared import written
 from ..spec import Derived, Role, Routing, Score
 from . import oracles as O
 from .fixture import KEYS, NAMES, ROLES, SCORES, customers_orders, population, stats, tables
-from .queries import TODAY, ranked_wide, scored_wide, with_best
+from .queries import TODAY, ranked_wide, scored_rows, scored_wide, with_best
 
 # --- a catalogue of 43 metrics over 27 totals ---------------------------------------------------------------------------------
 
@@ -152,7 +152,7 @@ def _profiles(spark: SparkSession, d: str, wide: DataFrame | None = None) -> Dat
         F.when(key % 7 != 0, F.when(key % 3 == 0, "left").otherwise("right")).alias("foot"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nationality"),
         F.concat(F.lit("club"), (key % 40).cast("string")).alias("club_id"), F.when(key % 9 != 0, F.date_add(F.lit(TODAY), (key * 31 % 900 - 100).cast("int"))).alias("contract_expires"),
     )
-    wide = scored_wide(spark, d) if wide is None else wide
+    wide = scored_rows(spark, d) if wide is None else wide
     rows = with_best(wide).where("is_primary").withColumns({"role": F.col("best.role"), "role_score": F.col("best.raw")}).join(attributes, "entity_key")
     return rows.select(*KEYS, "minutes", "market_value", R.sample_band("minutes").alias("sample_band"), "role", F.round("role_score", 6).alias("role_score"), *[c for c in attributes.columns if c != "entity_key"])
 
