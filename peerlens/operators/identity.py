@@ -6,6 +6,7 @@ Names are compared for candidate pairs only, in Python where the measure needs i
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
@@ -16,10 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 ACCEPT = 0.90
 MARGIN = 0.05
 MAX_BLOCK = 400
 BLOCK = 2048
+#: Of pairs by kind: the rows on either side of a block, the pairs of rows that a task gets, and the cells that are worked on at once.
+ROWS, SHARE, CELLS = 1024, 1 << 21, 1 << 18
 #: Longer words are compared one by one.
 WIDE = 32
 
@@ -66,21 +71,23 @@ def word_score(a: str, b: str) -> float:
     return r if r >= ALIKE else r / 2
 
 
-def word_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """``word_score`` of each word with its fellow, for words of at most WIDE characters all at once."""
-    la, lb = (np.array([len(w) for w in x], int) for x in (a, b))
+def word_scores(a: Sequence[str], b: Sequence[str], i: np.ndarray | None = None, j: np.ndarray | None = None) -> np.ndarray:
+    """``word_score`` of each word with its fellow, for words of at most WIDE characters all at once. Words come once and are met by
+    their numbers ``i`` and ``j``, or else one by one."""
+    i, j = (np.arange(len(words)) if at is None else at for words, at in ((a, i), (b, j)))
+    la, lb = (np.array([len(w) for w in words], int)[at] for words, at in ((a, i), (b, j)))
     wide = np.maximum(la, lb)
-    found = np.zeros(len(a))
+    found = np.zeros(len(i))
     for least, most in ((0, WIDE // 4), (WIDE // 4, WIDE // 2), (WIDE // 2, WIDE)):
         at = np.flatnonzero((wide > least) & (wide <= most))
         if len(at):
-            x, y = (np.array([words[i] for i in at], f"U{most}").view(np.uint32).reshape(-1, most) for words in (a, b))
+            x, y = (np.array(words, f"U{most}").view(np.uint32).reshape(-1, most)[own[at]] for words, own in ((a, i), (b, j)))
             r = 2.0 * _matching(x.T, y.T, la[at], lb[at]) / (la[at] + lb[at])
             score = np.where(r >= ALIKE, r, r / 2)
             score = np.where((x[:, 0] == y[:, 0]) & (np.minimum(la[at], lb[at]) == 1), INITIAL, score)
             found[at] = np.where(r == 1.0, 1.0, score)
-    for i in np.flatnonzero(wide > WIDE):
-        found[i] = word_score(a[i], b[i])
+    for k in np.flatnonzero(wide > WIDE):
+        found[k] = word_score(a[i[k]], b[j[k]])
     return found
 
 
@@ -134,18 +141,51 @@ def _name_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
         x, y = (np.array([[codes[w] for w in names[i]] for i in at]) for names in (p, q))
         asked[m, n] = x[:, :, None] * len(words) + y[:, None, :]
     met = np.unique(np.concatenate([x.ravel() for x in asked.values()] or [np.zeros(0, int)]))
-    scored = word_scores([words[k] for k in met // max(1, len(words))], [words[k] for k in met % max(1, len(words))])
+    scored = word_scores(words, words, met // max(1, len(words)), met % max(1, len(words)))
     for (m, n), at in kinds.items():
-        scores = scored[np.searchsorted(met, asked[m, n])]
-        table = scores if m <= n else scores.transpose(0, 2, 1)
-        each, paired, free = np.arange(len(at)), np.zeros(len(at)), np.ones((len(at), max(m, n)), bool)
-        for row in range(min(m, n)):
-            k = np.where(free, table[:, row], -1.0).argmax(1)
-            best = np.where(free[each, k], table[each, row, k], 0.0)
-            free[each, k] &= best <= 0
-            paired += best
-        parts = {"paired": paired / min(m, n), "last": scores[:, -1, -1], "share": min(m, n) / max(m, n)}
-        found[at] = np.minimum(MOST, sum(WEIGHTS[x] * v for x, v in parts.items()))
+        found[at] = _paired(scored[np.searchsorted(met, asked[m, n])])
+    return found
+
+
+def _paired(scores: np.ndarray) -> np.ndarray:
+    """The scores of names that have no case of their own, from the tables of their words' scores: one for each two names."""
+    _, m, n = scores.shape
+    table = scores if m <= n else scores.transpose(0, 2, 1)
+    each, paired, free = np.arange(len(scores)), np.zeros(len(scores)), np.ones((len(scores), max(m, n)), bool)
+    for row in range(min(m, n)):
+        k = np.where(free, table[:, row], -1.0).argmax(1)
+        best = np.where(free[each, k], table[each, row, k], 0.0)
+        free[each, k] &= best <= 0
+        paired += best
+    parts = {"paired": paired / min(m, n), "last": scores[:, -1, -1], "share": min(m, n) / max(m, n)}
+    return np.minimum(MOST, sum(WEIGHTS[x] * v for x, v in parts.items()))
+
+
+def _crossed_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``name_score`` of each name of ``a``, a row, with each of ``b``. Two words are scored once."""
+    p, q = [x.split() for x in a], [x.split() for x in b]
+    words = [{w: k for k, w in enumerate(dict.fromkeys(w for x in names for w in x))} for names in (p, q)]
+    own, others = (list(w) for w in words)
+    scored, step = np.zeros((len(own), len(others))), max(1, CELLS // 8 // max(1, len(others)))
+    for k in range(0, len(own) * bool(others), step):
+        part = own[k : k + step]
+        each = np.divmod(np.arange(len(part) * len(others)), len(others))
+        scored[k : k + step] = word_scores(part, others, *each).reshape(len(part), -1)
+    found, lengths = np.zeros((len(a), len(b))), [defaultdict(list), defaultdict(list)]
+    for side, names in enumerate((p, q)):
+        for i, x in enumerate(names):
+            lengths[side][len(x)].append(i)
+    for m, rows in lengths[0].items():
+        for n, at in lengths[1].items():
+            y, step = np.array([[words[1][w] for w in q[j]] for j in at], int), max(1, CELLS // max(1, len(at) * m * n))
+            for k in range(0, len(rows) * bool(m and n), step):
+                x = np.array([[words[0][w] for w in p[i]] for i in rows[k : k + step]], int)
+                found[np.ix_(rows[k : k + step], at)] = _paired(scored[x[:, None, :, None], y[None, :, None, :]].reshape(-1, m, n)).reshape(len(x), -1)
+    same = lambda x, y: np.equal.outer(*(np.array([codes[v] for v in side], int) for codes in [{v: k for k, v in enumerate({*x, *y})}] for side in (x, y)))
+    found[same([frozenset(x) for x in p], [frozenset(x) for x in q])] = SAME_WORDS
+    found[same(a, b)] = EQUAL
+    found[[not x for x in a]] = 0.0
+    found[:, [not x for x in b]] = 0.0
     return found
 
 
@@ -162,6 +202,22 @@ def name_scores(a: Column, b: Column) -> Column:
     return score(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
+def crossed_scores(a: Column, b: Column) -> Column:
+    """``name_scores`` of each name of the array ``a`` with each of ``b``, as one array, in which those of a name of ``a`` follow each other."""
+
+    @F.pandas_udf("array<double>")
+    def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = []
+        for names, others in zip(left, right, strict=True):
+            (x, own), (y, theirs) = pd.factorize(np.asarray(names, object)), pd.factorize(np.asarray(others, object))
+            kinds, place = np.unique(_crossed_scores(list(own), list(theirs)), return_inverse=True)
+            known = np.array([round(v, 9) for v in kinds.tolist()])[place].reshape(len(own), len(theirs))
+            found.append(known[np.ix_(x, y)].ravel())
+        return pd.Series(found)
+
+    return score(a, b)
+
+
 def contained(a: Column, b: Column) -> Column:
     """Whether the shorter of two names, of two words at least and with the same first word, is part of the longer: each of its
     words as often as it has it. False if either is unknown."""
@@ -187,18 +243,59 @@ def candidates(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) ->
     return compared(left, right, max_block).select("left_id", "right_id")
 
 
-def compared(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """``candidates`` with all columns of both rows, as left_<column> and right_<column>.
+def compared(left: DataFrame, right: DataFrame, max_block: int | None = MAX_BLOCK, named: bool = True) -> DataFrame:
+    """``candidates`` with all columns of both rows, as left_<column> and right_<column>. Without ``max_block`` surnames may have any
+    number of rows; without ``named``, the pairs that ``named_kinds`` has are left out.
 
     One equality join on what a pair can have in common. A pair of one date isn't met again by its year, so that pairs need no
     shuffle to be told apart; only those of an id that several rows have are, and of these one is kept."""
-    a, b = _known("left", left), _known("right", right)
-    sizes = b.groupBy(_surname("right").alias("_s")).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_block)
+    a, b = _known("left", left), _known("right", right).withColumn("_s", _surname("right"))
     a = _keyed(a, "left", F.when(F.col("left_born").isNull(), F.concat(F.lit("s"), _surname("left"))))
-    b = _keyed(b.withColumn("_s", _surname("right")).join(sizes, "_s", "left"), "right", F.when(F.col("_n").isNotNull(), F.concat(F.lit("s"), F.col("_s")))).drop("_s", "_n")
+    if max_block is not None:
+        sizes = b.groupBy("_s").agg(F.count("*").alias("_n")).where(F.col("_n") <= max_block)
+        b = b.join(sizes, "_s", "left").withColumn("_s", F.when(F.col("_n").isNotNull(), F.col("_s"))).drop("_n")
+    b = _keyed(b, "right", F.concat(F.lit("s"), F.col("_s"))).drop("_s")
     own = lambda df, many: df.where(F.col("_many") == many).drop("_many")
     again = _met(own(a, True), b.drop("_many")).unionByName(_met(own(a, False), own(b, True)))
-    return _met(own(a, False), own(b, False)).unionByName(again.dropDuplicates(["left_id", "right_id"]))
+    once = [own(df, False) if named else own(df, False).where(~_named()) for df in (a, b)]
+    return _met(*once).unionByName(again.dropDuplicates(["left_id", "right_id"]))
+
+
+def named_kinds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of ``compared`` without ``max_block`` that have a surname in common and no date, but for ids that several rows have, by
+    kind: rows of a surname, or of a surname and year, that differ in id and date only. A name is scored once with another of its block.
+
+    (left_<column>, left_rows, right_<column>, right_rows, same_year, name_score): each of left_rows (left_id, left_born) makes a pair
+    with each of right_rows, unless they are of one date. A key's kinds are dealt into parts of about ROWS rows on either side, and
+    tasks get as many blocks of them as hold about SHARE pairs, so that neither a surname nor a kind of many rows is one task's work."""
+    kinds, what = {}, [c for c in left.columns if c not in ("id", "born")]
+    for side, df, name in (("left", left, F.when(F.col("left_born").isNull(), F.concat(F.lit("s"), _surname("left")))), ("right", right, F.concat(F.lit("s"), _surname("right")))):
+        rows = _keyed(_known(side, df).where(~F.col("_many")), side, name).where(_named())
+        grouped = rows.groupBy("_key", *[f"{side}_{c}" for c in what]).agg(F.sort_array(F.collect_list(F.struct(f"{side}_id", f"{side}_born"))).alias("_rows"))
+        few = F.transform(F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / ROWS).cast("int")), lambda k: F.slice("_rows", k * ROWS + 1, F.lit(ROWS)))
+        kinds[side] = written(grouped.withColumn(f"{side}_rows", F.explode(few)).drop("_rows"), "kinds")
+    n = {side: df.groupBy("_key").agg(F.sum(F.size(f"{side}_rows")).alias(f"_{side}")) for side, df in kinds.items()}
+    sizes = written(n["left"].join(n["right"], "_key"), "sizes")
+    pairs = sizes.agg(F.sum(F.col("_left") * F.col("_right"))).first()[0] or 0
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) + math.ceil(pairs / SHARE)
+
+    def dealt(side: str, other: str) -> DataFrame:
+        columns = kinds[side].drop("_key").columns
+        part = F.pmod(F.xxhash64(*columns[:-1], F.get(columns[-1], F.lit(0))), F.ceil(F.col(f"_{side}") / ROWS))
+        rows = kinds[side].join(sizes, "_key").groupBy("_key", part.cast("int").alias(f"_p{side}"), F.ceil(F.col(f"_{other}") / ROWS).cast("int").alias("_n")).agg(F.collect_list(F.struct(*columns)).alias(side))
+        return rows.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").repartition(tasks, "_key", "_pleft", "_pright")
+
+    blocks = dealt("left", "right").hint("merge").join(dealt("right", "left"), ["_key", "_pleft", "_pright"])
+    scored = blocks.withColumn("_scores", crossed_scores(F.col("left")["left_name"], F.col("right")["right_name"]))
+    # No array is empty. Inner generators would have Spark look for empty ones first, by scoring the names once more.
+    each = scored.select("left", "right", F.col("_key").startswith("y").alias("same_year"), F.posexplode_outer("_scores").alias("_k", "name_score"))
+    width = F.size("right")
+    return each.select(F.get("left", (F.col("_k") / width).cast("int")).alias("_x"), F.get("right", F.col("_k") % width).alias("_y"), "same_year", "name_score").select("_x.*", "_y.*", "same_year", "name_score")
+
+
+def _named() -> Column:
+    """Whether a key of ``_keyed`` has a surname."""
+    return ~F.col("_key").startswith("d")
 
 
 def _surname(side: str) -> Column:
@@ -231,13 +328,22 @@ def _met(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def pair_scores(pairs: DataFrame) -> DataFrame:
     """``pairs`` (left_name, right_name, left_born, right_born, same_nation, same_club) with confidence and method."""
-
     rows = pairs.withColumn("name_score", name_scores(F.col("left_name"), F.col("right_name"))).withColumn("within", contained(F.col("left_name"), F.col("right_name")))
-    n = F.col("name_score")
-    club, nation = (F.coalesce(F.col(c), F.lit(False)) for c in ("same_club", "same_nation"))
     dated = F.coalesce(F.col("left_born") == F.col("right_born"), F.lit(False))
     both = F.col("left_born").isNotNull() & F.col("right_born").isNotNull()
     year = F.coalesce(F.year("left_born") == F.year("right_born"), F.lit(False))
+    return _ruled(rows, dated, both, year, F.col("within")).drop("within")
+
+
+def kind_scores(kinds: DataFrame) -> DataFrame:
+    """``named_kinds`` (same_nation and same_club besides) with confidence and method. No rule gives ACCEPT without a date in common."""
+    no, year = F.lit(False), F.col("same_year")
+    return _ruled(kinds, no, year, year, no)
+
+
+def _ruled(rows: DataFrame, dated: Column, both: Column, year: Column, within: Column) -> DataFrame:
+    n = F.col("name_score")
+    club, nation = (F.coalesce(F.col(c), F.lit(False)) for c in ("same_club", "same_nation"))
     # The confidence of each rule and its name scores. The first that holds decides.
     rules = [
         (dated & (n >= 1) & club, F.lit(1.00), "name, date, club"),
@@ -246,8 +352,8 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
         (dated & (n >= STRONG) & nation & club, F.lit(0.92), "date, like name, nation, club"),
         (dated & (n >= STRONG) & (nation | club), F.lit(0.90), "date, like name, nation or club"),
         (dated & (n >= STRONG), F.lit(0.86), "date, like name"),
-        (dated & F.col("within") & nation & club, F.lit(0.92), "date, part of name, nation, club"),
-        (dated & F.col("within") & (nation | club), F.lit(0.90), "date, part of name, nation or club"),
+        (dated & within & nation & club, F.lit(0.92), "date, part of name, nation, club"),
+        (dated & within & (nation | club), F.lit(0.90), "date, part of name, nation or club"),
         (dated, F.least(F.lit(0.70), 0.45 + n * 0.3), "date, weak name"),
         (both & ~year, F.least(F.lit(0.30), n * 0.3), "years differ"),
         (both & (n >= VERY_STRONG) & (nation | club), F.lit(0.88), "year, very like name, nation or club"),
@@ -259,7 +365,7 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     step = last
     for holds, confidence, method in reversed(rules):
         step = F.when(holds, F.struct(confidence.alias("confidence"), F.lit(method).alias("method"))).otherwise(step)
-    return rows.withColumn("_s", step).select(*pairs.columns, "name_score", "_s.confidence", "_s.method")
+    return rows.withColumn("_s", step).select(*rows.columns, "_s.confidence", "_s.method")
 
 
 def unblocked(left: DataFrame, right: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import aliased, same
-from ..sources.shared import written
-from .identity import compared, decide, normalised, pair_scores, same_club
+from ..sources.shared import apart, written
+from .identity import MAX_BLOCK, compared, decide, kind_scores, named_kinds, normalised, pair_scores, same_club
 
 SEED = 41
 #: Letters that are taken for others: each of the first stands for the one below it.
@@ -77,12 +77,36 @@ def shadow(identities: DataFrame, errors: Errors | None = None, seed: int = SEED
     return identities.select("id", misnamed(F.col("name"), key, e, seed).alias("name"), born.alias("born"), F.when(u("nation") >= e.nation_lost, F.col("nation")).alias("nation"), club.alias("club"))
 
 
-def scored(left: DataFrame, right: DataFrame, nations: Mapping[str, str], club_stop: list[str]) -> DataFrame:
+def scored(left: DataFrame, right: DataFrame, nations: Mapping[str, str], club_stop: list[str], max_block: int | None = MAX_BLOCK) -> DataFrame:
     """(left_id, right_id, name_score, confidence, method) of the candidate pairs of two sources (id, name, born, nation, club).
-    Names are normalised once, on the way, and written; nations are compared through ``nations``, their other names."""
-    plain = [written(df.select("id", normalised(F.col("name")).alias("name"), "born", aliased("nation", nations).alias("nation"), normalised(F.col("club")).alias("club")), "plain") for df in (left, right)]
-    told = compared(*plain).withColumn("same_nation", same(F.col("left_nation"), F.col("right_nation"))).withColumn("same_club", same_club(F.col("left_club"), F.col("right_club"), club_stop))
-    return pair_scores(told).select("left_id", "right_id", "name_score", F.round("confidence", 6).alias("confidence"), "method")
+    Names are normalised once, on the way, and written; nations are compared through ``nations``, their other names.
+
+    Without ``max_block``, rows without a date are compared with all of their surname. Names are then compared kind by kind where
+    rows have no date in common."""
+    plain = _plain(left, right, nations)
+    if max_block is not None:
+        return _scores(compared(*plain, max_block), club_stop)
+    pairs = _kinds(*plain, club_stop).withColumn("_x", F.explode_outer("left_rows")).withColumn("_y", F.explode_outer("right_rows"))
+    named = pairs.select("_x.*", "_y.*", "name_score", "confidence", "method").where(~F.coalesce(F.col("left_born") == F.col("right_born"), F.lit(False)))
+    return _scores(compared(*plain, None, named=False), club_stop).unionByName(named.drop("left_born", "right_born"))
+
+
+def _plain(left: DataFrame, right: DataFrame, nations: Mapping[str, str]) -> list[DataFrame]:
+    return [written(df.select("id", normalised(F.col("name")).alias("name"), "born", aliased("nation", nations).alias("nation"), normalised(F.col("club")).alias("club")), "plain") for df in (left, right)]
+
+
+def _alike(pairs: DataFrame, club_stop: list[str]) -> DataFrame:
+    return pairs.withColumn("same_nation", same(F.col("left_nation"), F.col("right_nation"))).withColumn("same_club", same_club(F.col("left_club"), F.col("right_club"), club_stop))
+
+
+def _scores(pairs: DataFrame, club_stop: list[str]) -> DataFrame:
+    return pair_scores(_alike(pairs, club_stop)).select("left_id", "right_id", "name_score", F.round("confidence", 6).alias("confidence"), "method")
+
+
+def _kinds(left: DataFrame, right: DataFrame, club_stop: list[str]) -> DataFrame:
+    """(left_rows, right_rows, name_score, confidence, method) of ``named_kinds``."""
+    alike = _alike(apart(named_kinds(left, right)), club_stop)
+    return apart(kind_scores(alike).select("left_rows", "right_rows", "name_score", F.round("confidence", 6).alias("confidence"), "method"))
 
 
 def outcome(left: DataFrame, decided: DataFrame) -> DataFrame:

@@ -28,14 +28,16 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of a shadow and a person that blocking lets through, with its name score, confidence and the rule that decided."""
+    """Every pair of a shadow and a person that share a date, or surname and year, or surname if the shadow has no date, with its name
+    score, confidence and the rule that decided."""
     own = people(spark, d)
-    return shadow.scored(shadow.shadow(own), own, NATIONS, CLUB_STOP)
+    return shadow.scored(shadow.shadow(own), own, NATIONS, CLUB_STOP, None)
 
 
 def shadow_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What is decided for each shadow that has a candidate."""
-    return identity.decide(identity_pair_scores(spark, d).select("left_id", "right_id", "confidence"))
+    own = people(spark, d)
+    return identity.decide(shadow.scored(shadow.shadow(own), own, NATIONS, CLUB_STOP).select("left_id", "right_id", "confidence"))
 
 
 def shadow_evaluation(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +83,7 @@ _E = shadow.Errors()
 _NAME = [round(sum((_E.kept, _E.swapped, _E.middle_dropped, _E.initial, _E.typo)[: k + 1]), 9) for k in range(5)]
 _OWN = "list_filter(list_distinct(string_split({0}, ' ')), lambda w: w NOT IN ('fc', 'club'))"
 _MATCH = "list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: {'k': k, 'i': -i, 'j': strpos(b, substr(a, i, k))}))), lambda z: z.j > 0))"
+_FEW = f" AND ls.s IN (SELECT s FROM rs GROUP BY s HAVING count(*) <= {identity.MAX_BLOCK})"
 
 SCORED = f"""
 people AS (
@@ -111,7 +114,7 @@ people AS (
 ), blocked AS (
   SELECT ls.id AS left_id, rs.id AS right_id FROM ls JOIN rs ON ls.born = rs.born
   UNION SELECT ls.id, rs.id FROM ls JOIN rs ON ls.s = rs.s AND year(ls.born) = year(rs.born)
-  UNION SELECT ls.id, rs.id FROM ls JOIN rs ON ls.s = rs.s WHERE ls.born IS NULL AND ls.s IN (SELECT s FROM rs GROUP BY s HAVING count(*) <= {identity.MAX_BLOCK})
+  UNION SELECT ls.id, rs.id FROM ls JOIN rs ON ls.s = rs.s WHERE ls.born IS NULL{_FEW}
 ), pairs AS (
   SELECT left_id, right_id, l.name AS a, r.name AS b, string_split(l.name, ' ') AS p, string_split(r.name, ' ') AS q, l.born AS left_born, r.born AS right_born, l.nation = r.nation AS same_nation,
     CASE WHEN l.club IS NULL OR r.club IS NULL THEN NULL
@@ -182,9 +185,11 @@ people AS (
     FROM (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS runner_up FROM scored WINDOW w AS (PARTITION BY left_id ORDER BY confidence DESC, right_id)) WHERE place = 1
   )
 )"""
+#: The same with surnames of any number of people.
+WHOLE = SCORED.replace(_FEW, "")
 
 ORACLES = {
-    "identity_pair_scores": f"WITH RECURSIVE {SCORED} SELECT * FROM scored",
+    "identity_pair_scores": f"WITH RECURSIVE {WHOLE} SELECT * FROM scored",
     "shadow_decisions": f"WITH RECURSIVE {SCORED} SELECT * FROM decided",
     "shadow_evaluation": f"""WITH RECURSIVE {SCORED}, sums AS (
   SELECT count(*) AS total, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'matched' AND right_id = id) AS correct, count(*) FILTER (status = 'ambiguous') AS ambiguous,
