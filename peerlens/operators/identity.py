@@ -23,8 +23,9 @@ ACCEPT = 0.90
 MARGIN = 0.05
 MAX_BLOCK = 400
 BLOCK = 2048
-#: Of pairs by kind: the rows on either side of a block, the pairs of rows that a task gets, and the cells that are worked on at once.
-ROWS, SHARE, CELLS = 1024, 1 << 21, 1 << 18
+#: Of pairs by kind: the rows on either side of a block, the pairs of rows that a task gets, the cells that are worked on at once, and
+#: the pairs of names of a block that is worked on together with others.
+ROWS, SHARE, CELLS, FEW = 1024, 1 << 21, 1 << 18, 1 << 10
 #: Longer words are compared one by one.
 WIDE = 32
 
@@ -189,6 +190,12 @@ def _crossed_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return found
 
 
+def _told(scores: np.ndarray) -> np.ndarray:
+    """Scores to nine decimals."""
+    kinds, place = np.unique(scores, return_inverse=True)
+    return np.array([round(v, 9) for v in kinds.tolist()], float)[place].reshape(scores.shape)
+
+
 def name_scores(a: Column, b: Column) -> Column:
     """``name_score`` to nine decimals; in each batch a pair of names that comes again is scored once."""
 
@@ -207,12 +214,20 @@ def crossed_scores(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        found = []
-        for names, others in zip(left, right, strict=True):
-            (x, own), (y, theirs) = pd.factorize(np.asarray(names, object)), pd.factorize(np.asarray(others, object))
-            kinds, place = np.unique(_crossed_scores(list(own), list(theirs)), return_inverse=True)
-            known = np.array([round(v, 9) for v in kinds.tolist()])[place].reshape(len(own), len(theirs))
-            found.append(known[np.ix_(x, y)].ravel())
+        found, few, n = [None] * len(left), [[]], 0
+        for k, (names, others) in enumerate(zip(left, right, strict=True)):
+            if len(names) * len(others) <= FEW:
+                few[-1].append(k)
+                n += len(names) * len(others)
+                if n > CELLS // 16:
+                    few, n = [*few, []], 0
+            else:
+                (x, own), (y, theirs) = pd.factorize(np.asarray(names, object)), pd.factorize(np.asarray(others, object))
+                found[k] = _told(_crossed_scores(list(own), list(theirs)))[np.ix_(x, y)].ravel()
+        for at in few:
+            scored = _told(_name_scores([x for k in at for x in left[k] for _ in right[k]], [y for k in at for _ in left[k] for y in right[k]]))
+            for k, part in zip(at, np.split(scored, np.cumsum([len(left[k]) * len(right[k]) for k in at])[:-1]) if at else [], strict=True):
+                found[k] = part
         return pd.Series(found)
 
     return score(a, b)

@@ -91,6 +91,17 @@ def scored(left: DataFrame, right: DataFrame, nations: Mapping[str, str], club_s
     return _scores(compared(*plain, None, named=False), club_stop).unionByName(named.drop("left_born", "right_born"))
 
 
+def decided(left: DataFrame, right: DataFrame, nations: Mapping[str, str], club_stop: list[str]) -> DataFrame:
+    """``decide`` of ``scored`` without ``max_block``. Without a date in common nothing is accepted, so that of such pairs only a left
+    row's highest confidence decides, and none is made but by kind."""
+    plain = _plain(left, right, nations)
+    dated = _scores(compared(*plain, None, named=False), club_stop).select("left_id", "right_id", "confidence")
+    pairs = _kinds(*plain, club_stop).withColumn("_x", F.explode_outer("left_rows")).select("_x.*", "right_rows", "confidence")
+    other = lambda row: F.coalesce(row["right_born"] != F.col("left_born"), F.lit(True))
+    best = pairs.where(other(F.get("right_rows", F.lit(0))) | F.exists("right_rows", other)).groupBy("left_id").agg(F.max("confidence").alias("confidence"))
+    return decide(dated.unionByName(best.select("left_id", F.lit(None).cast(dated.schema["right_id"].dataType).alias("right_id"), "confidence")))
+
+
 def _plain(left: DataFrame, right: DataFrame, nations: Mapping[str, str]) -> list[DataFrame]:
     return [written(df.select("id", normalised(F.col("name")).alias("name"), "born", aliased("nation", nations).alias("nation"), normalised(F.col("club")).alias("club")), "plain") for df in (left, right)]
 

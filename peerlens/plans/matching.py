@@ -37,7 +37,7 @@ def identity_pair_scores(spark: SparkSession, d: str) -> DataFrame:
 def shadow_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What is decided for each shadow that has a candidate."""
     own = people(spark, d)
-    return identity.decide(shadow.scored(shadow.shadow(own), own, NATIONS, CLUB_STOP).select("left_id", "right_id", "confidence"))
+    return shadow.decided(shadow.shadow(own), own, NATIONS, CLUB_STOP)
 
 
 def shadow_evaluation(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +190,7 @@ WHOLE = SCORED.replace(_FEW, "")
 
 ORACLES = {
     "identity_pair_scores": f"WITH RECURSIVE {WHOLE} SELECT * FROM scored",
-    "shadow_decisions": f"WITH RECURSIVE {SCORED} SELECT * FROM decided",
+    "shadow_decisions": f"WITH RECURSIVE {WHOLE} SELECT * FROM decided",
     "shadow_evaluation": f"""WITH RECURSIVE {SCORED}, sums AS (
   SELECT count(*) AS total, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'matched' AND right_id = id) AS correct, count(*) FILTER (status = 'ambiguous') AS ambiguous,
     count(*) FILTER (coalesce(status, 'unmatched') = 'unmatched') AS unmatched

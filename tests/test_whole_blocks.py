@@ -66,3 +66,24 @@ def test_crossed_names_are_scored_as_pairs_are():
     a, b = ([" ".join(r.choice(words) for _ in range(r.randrange(5))) for _ in range(n)] + ["", " ", words[0]] for n in (60, 90))
     assert identity._crossed_scores(a, b).ravel().tolist() == identity._name_scores([x for x in a for _ in b], b * len(a)).tolist()
     assert identity._crossed_scores([], b).shape == (0, len(b))
+
+
+def test_decisions_of_a_common_surname(spark, folder, monkeypatch):
+    """Those of all pairs, though those without a date in common are scored by kind only."""
+    monkeypatch.setattr(identity, "ROWS", 64)
+    pairs = matching.identity_pair_scores(spark, folder).select("left_id", "right_id", "confidence")
+    got = sorted(map(tuple, matching.shadow_decisions(spark, folder).collect()))
+    undated = {r["id"] for r in shadow.shadow(matching.people(spark, folder)).where("born IS NULL AND name LIKE '%attion'").collect()}
+    assert undated and undated <= {r[0] for r in got}
+    assert got == sorted(map(tuple, identity.decide(pairs).collect())) == sorted(want(folder, "shadow_decisions"))
+
+
+def test_one_date_is_no_other_pair_of_a_year(spark):
+    """A row whose kind has its own date only has no runner-up there."""
+    rows = lambda *x: spark.createDataFrame([(i, "ann lee", d, "en", "s fc") for i, d in x], "id long, name string, born date, nation string, club string")
+    day, other = date(1990, 1, 1), date(1990, 2, 1)
+    decided = lambda a, b: [tuple(r) for r in shadow.decided(a, b, {}, ["fc"]).collect()]
+    assert decided(rows((1, day)), rows((7, day))) == [(1, 7, 1.0, "matched")]
+    assert decided(rows((1, day)), rows((7, day), (8, day))) == [(1, None, 1.0, "ambiguous")]
+    assert decided(rows((1, other)), rows((7, day), (8, day))) == [(1, None, 0.88, "unmatched")]
+    assert decided(rows((1, None)), rows((7, day), (8, None))) == [(1, None, 0.85, "unmatched")]
